@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_duplicates
+from .language_id import identify, learn
+from .mixing import mix, taken
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,7 +17,16 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup}
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return identify(docs, learn(docs))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken(mix(read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_language_id": op3_language_id, "op9_mixing": op9_mixing}
 
 ORACLES = {
     "op2_exact_dedup": """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -24,6 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+#: Bytes of text that a Python worker gets at a time, but for a single longer text.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes; by records alone, a batch of long documents would outgrow a worker's memory.
+
+    A session setting, since Spark has none for a single operator; a lower bound that the session has is kept.
+    """
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not re.fullmatch(r"\d{1,6}b?", spark.conf.get(setting)):
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 class Scratch:
     """Parquet tables that cut lineage: a lost executor costs a reread, never a recomputation of what was written.
 
