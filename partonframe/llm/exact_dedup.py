@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, bound_batches
 from .skew import HOT_PARTS, salted_join
 
 HEAD = 32
@@ -55,6 +55,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
+    bound_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     facts = scratch.table(plain.mapInArrow(_facts, f"id {id_type}, size bigint, head binary, sha string"))
