@@ -134,3 +134,17 @@ def taken(plan: Mix) -> DataFrame:
     table = F.broadcast(table) if len(table.take(BROADCAST_SOURCES + 1)) <= BROADCAST_SOURCES else table
     rows = plan.facts.join(table, F.col("source").eqNullSafe(F.col("_source"))).join(sums, F.col("row") == F.col("_row"), "left")
     return rows.select("id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, plan: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The mix as documents, with the columns of ``docs``: a row for every time that the mix takes a document.
+
+    The last document of a source's stream may be cut by the source's target; it is a row if at least half of
+    its words are taken. Documents that the mix doesn't take are left out. Rows that repeat an id share
+    the id's rows in the mix, so ids should be unique here.
+    """
+    passes = plan.pieces.groupBy("row", "repeat").agg(F.sum("words").alias("words"))
+    whole = passes.join(plan.facts, "row").where(2 * F.col("words") >= F.col("size"))
+    times = whole.groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    found = docs.join(times, docs[id_col].eqNullSafe(F.col("_id")))
+    return found.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode, read_tokenizer
 from .exact_dedup import exact_duplicates
 from .language_id import identify, learn
 from .mixing import mix, taken
+from .simhash import near_duplicates
+
+
+def tokenizer_path() -> str:
+    """Where the tokenizer of op10 lies; a parameter of the query, not a part of the repository."""
+    import public_tokenizers
+
+    return os.environ.get("PARTONFRAME_TOKENIZER") or public_tokenizers.path("byte_bpe_50k.json")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,11 +33,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(mix(read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_language_id": op3_language_id, "op9_mixing": op9_mixing}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(read(spark, sf_dir, "documents"), read_tokenizer(tokenizer_path()), digests=True)
+
+
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_language_id": op3_language_id, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
 
 ORACLES = {
     "op2_exact_dedup": """
