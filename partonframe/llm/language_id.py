@@ -18,13 +18,13 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import bound_batches
 
 ORDER = 3
-#: Documents of each language that are learned from, the ones with the smallest hash; the bound of the sample.
+#: Documents of each language that are learned from, picked by a hash of the id; the bound of the sample.
 SAMPLE_DOCS = 400
 #: Documents longer than this many bytes aren't learned from; with SAMPLE_DOCS it bounds the sample's size.
 SAMPLE_BYTES = 65_536
@@ -185,15 +185,18 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """Context trees of the labelled documents that aren't held out; None if there are none.
 
-    The sample is bounded by ``sample_docs`` documents a language and SAMPLE_BYTES a document.
+    The sample is bounded: the ids' hashes pick ``sample_docs`` documents of each language on average, or all
+    there are, of SAMPLE_BYTES at most. It takes one count a language, and no language's rows meet in a task.
     """
     bound_batches(docs.sparkSession)
     size = F.octet_length(text_col)
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & size.between(1, SAMPLE_BYTES))
-    first = Window.partitionBy("_lang").orderBy("_h", "_id")
-    ids = usable.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(F.col(id_col).cast("string")).alias("_h"))
-    chosen = ids.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample_docs).select("_id").distinct()
-    sample = usable.join(F.broadcast(chosen), F.col(id_col) == F.col("_id"), "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    place = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 31))
+    known = usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()
+    below = F.lit(0)
+    for row in known:
+        below = F.when(F.col(lang_col) == row["lang"], F.lit(-(-(sample_docs << 31) // row["n"]))).otherwise(below)
+    sample = usable.where(place < below).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     grams = sample.mapInArrow(_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = grams.toArrow()
     if not table.num_rows:
