@@ -10,6 +10,8 @@ from .bpe import encode, read_tokenizer
 from .exact_dedup import exact_duplicates
 from .language_id import identify, learn
 from .mixing import mix, taken
+from .quality import oracle_sql as quality_sql
+from .quality import score
 from .simhash import near_duplicates
 
 
@@ -33,6 +35,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(read(spark, sf_dir, "documents")).drop("good_probability")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -45,7 +51,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(read(spark, sf_dir, "documents"), read_tokenizer(tokenizer_path()), digests=True)
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_language_id": op3_language_id, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_language_id": op3_language_id, "op5_quality_rules": op5_quality_rules, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
 
 ORACLES = {
     "op2_exact_dedup": """
@@ -53,4 +59,5 @@ ORACLES = {
              g as (select t, max(doc_id) keep_id, count(*) group_size from n group by t)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(n.t) as text_sha256
         from n join g on n.t = g.t""",
+    "op5_quality_rules": quality_sql(),
 }
