@@ -5,11 +5,15 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode, read_tokenizer
 from .exact_dedup import exact_duplicates
 from .language_id import identify, learn
+from .line_dedup import ORACLE as LINE_ORACLE
+from .line_dedup import drop_boilerplate
 from .mixing import mix, taken
+from .pii import find
 from .quality import oracle_sql as quality_sql
 from .quality import score
 from .simhash import near_duplicates
@@ -35,10 +39,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = drop_boilerplate(read(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(read(spark, sf_dir, "documents")).drop("good_probability")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(read(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -51,7 +64,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(read(spark, sf_dir, "documents"), read_tokenizer(tokenizer_path()), digests=True)
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_language_id": op3_language_id, "op5_quality_rules": op5_quality_rules, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_language_id": op3_language_id, "op4_line_dedup": op4_line_dedup, "op5_quality_rules": op5_quality_rules, "op6_pii": op6_pii, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
 
 ORACLES = {
     "op2_exact_dedup": """
@@ -59,5 +72,6 @@ ORACLES = {
              g as (select t, max(doc_id) keep_id, count(*) group_size from n group by t)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(n.t) as text_sha256
         from n join g on n.t = g.t""",
+    "op4_line_dedup": LINE_ORACLE,
     "op5_quality_rules": quality_sql(),
 }
