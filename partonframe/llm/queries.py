@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode, read_tokenizer
+from .chat_format import ORACLE as CHAT_ORACLE
+from .chat_format import format_chats
 from .exact_dedup import exact_duplicates
 from .language_id import identify, learn
 from .line_dedup import ORACLE as LINE_ORACLE
@@ -17,6 +19,7 @@ from .pii import find
 from .quality import oracle_sql as quality_sql
 from .quality import score
 from .simhash import near_duplicates
+from .substring_dedup import repeated_passages
 
 
 def tokenizer_path() -> str:
@@ -30,6 +33,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read(spark, sf_dir, "documents")).drop("mark")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -52,6 +59,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(read(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(read(spark, sf_dir, "conversations"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -64,7 +75,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(read(spark, sf_dir, "documents"), read_tokenizer(tokenizer_path()), digests=True)
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_language_id": op3_language_id, "op4_line_dedup": op4_line_dedup, "op5_quality_rules": op5_quality_rules, "op6_pii": op6_pii, "op8_simhash": op8_simhash, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_language_id": op3_language_id,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_pii": op6_pii,
+    "op7_chat_format": op7_chat_format,
+    "op8_simhash": op8_simhash,
+    "op9_mixing": op9_mixing,
+    "op10_bpe": op10_bpe,
+}
 
 ORACLES = {
     "op2_exact_dedup": """
@@ -74,4 +96,5 @@ ORACLES = {
         from n join g on n.t = g.t""",
     "op4_line_dedup": LINE_ORACLE,
     "op5_quality_rules": quality_sql(),
+    "op7_chat_format": CHAT_ORACLE,
 }
