@@ -6,14 +6,17 @@ split and counted in Spark; each distinct word is encoded once; ids go back to t
 the word. Decoding looks every id up in the vocabulary's table of pieces.
 
 The join has two arms. Frequent words, HEAD_WORDS of at most HEAD_BYTES bytes, go to every task as one table
-(a broadcast of bounded size). All other occurrences are shuffled to the distinct-word table and back to
-their document, into the holes that the first arm left.
+(a broadcast of bounded size). For the other words there is a choice: ``rare="join"`` shuffles their
+occurrences to the distinct-word table and back to their document, into the holes that the first arm left;
+``rare="local"`` encodes each batch's distinct rare words in the task that meets them, and shuffles neither
+words nor ids.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -23,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import Scratch, bound_batches
 from .skew import salted_join
@@ -98,26 +102,36 @@ def _tokenizer(spec: str):
     return tokenizer
 
 
-def _encode(batches: Iterator[pa.RecordBatch], spec) -> Iterator[pa.RecordBatch]:
-    import os
-
+def _ids(words: list[str], spec: str) -> list[list[int]]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = _tokenizer(spec.value)
+    tokenizer = _tokenizer(spec)
+    return [e.ids for at in range(0, len(words), 4096) for e in tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
+
+
+def _encode(batches: Iterator[pa.RecordBatch], spec) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = batch.column(0).to_pylist()
-        ids = [np.array(e.ids, "<u4").tobytes() for at in range(0, len(words), 4096) for e in tokenizer.encode_batch(words[at : at + 4096], add_special_tokens=False)]
+        ids = [np.array(x, "<u4").tobytes() for x in _ids(batch.column(0).to_pylist(), spec.value)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
 
 class Head:
-    """The frequent words and their ids."""
+    """The frequent words and their ids; a worker builds the lookup table once."""
 
     def __init__(self, table: pa.Table):
         self.words = table.column("word").combine_chunks().cast(pa.string())
         ids = table.column("ids").combine_chunks().cast(pa.binary())
-        self.lengths = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        self.lengths = np.append(pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4, 1)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.ids = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
+        # after the last word's ids, a hole
+        self.ids = np.append(np.frombuffer(b"".join(ids.to_pylist()), "<u4"), HOLE).astype("<u4")
+        self.entries: dict[str, int] | None = None
+
+    def lookup(self, words: list[str]) -> np.ndarray:
+        """Entry of each word, or the hole's."""
+        if self.entries is None:
+            self.entries = {w: i for i, w in enumerate(self.words.to_pylist())}
+        get, hole = self.entries.get, len(self.words)
+        return np.fromiter((get(w, hole) for w in words), np.int64, len(words))
 
 
 def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -127,17 +141,32 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _place(batch: pa.RecordBatch, column: int, split: Splitter, head: Head) -> tuple:
-    """Ids of the texts with a hole for every word that isn't frequent: ids, ids of each text, and each hole's text and word."""
+    """Ids of the texts with a hole for every word that isn't frequent: ids, ids of each text, each hole's text, and its word."""
     words, counts = _words(batch, column, split)
-    codes = words.indices.to_numpy()
-    entry = pc.fill_null(pc.index_in(words.dictionary, value_set=head.words), -1).to_numpy(zero_copy_only=False)[codes] if len(codes) else codes
-    rare = entry < 0
-    lengths = np.where(rare, 1, head.lengths[np.maximum(entry, 0)]) if len(head.lengths) else np.ones(len(codes), np.int64)
-    starts = np.where(rare, len(head.ids), head.starts[np.maximum(entry, 0)]) if len(head.lengths) else np.zeros(len(codes), np.int64)
-    ids = np.append(head.ids, HOLE).astype("<u4")[_ragged(starts, lengths)]
+    entry = head.lookup(words.dictionary.to_pylist())[words.indices.to_numpy()]
+    lengths = head.lengths[entry]
     text = np.repeat(np.arange(len(counts)), counts)
     per_text = np.bincount(text, lengths, len(counts)).astype(np.int64)
-    return ids, per_text, text[rare], words.take(pa.array(np.flatnonzero(rare))).dictionary_decode() if rare.any() else pa.array([], pa.string())
+    rare = np.flatnonzero(entry == len(head.words))
+    return head.ids[_ragged(head.starts[entry], lengths)], per_text, text[rare], words.take(pa.array(rare))
+
+
+def _whole(batches: Iterator[pa.RecordBatch], spec, split: Splitter, head, digests: bool) -> Iterator[pa.RecordBatch]:
+    """The result, with every batch's distinct rare words encoded where they stand."""
+    for batch in batches:
+        words, counts = _words(batch, 1, split)
+        found = words.dictionary.to_pylist()
+        entry = head.value.lookup(found)
+        rare = np.flatnonzero(entry == len(head.value.words))
+        own = _ids([found[i] for i in rare], spec.value)
+        own_lengths = np.array([len(x) for x in own], np.int64)
+        pool = np.concatenate([head.value.ids, *[np.array(x, "<u4") for x in own]]) if own else head.value.ids
+        starts, lengths = head.value.starts[entry], head.value.lengths[entry]
+        starts[rare], lengths[rare] = len(head.value.ids) + np.cumsum(own_lengths) - own_lengths, own_lengths
+        codes = words.indices.to_numpy()
+        ids = pool[_ragged(starts[codes], lengths[codes])]
+        ends = np.cumsum(np.bincount(np.repeat(np.arange(len(counts)), counts), lengths[codes], len(counts)).astype(np.int64))
+        yield _results(batch.column(0), np.split(ids, ends[:-1]) if len(ends) else [], spec.value, digests)
 
 
 def _rare(batches: Iterator[pa.RecordBatch], split: Splitter, head) -> Iterator[pa.RecordBatch]:
@@ -149,7 +178,7 @@ def _rare(batches: Iterator[pa.RecordBatch], split: Splitter, head) -> Iterator[
         first = np.searchsorted(text, np.arange(len(batch.column(0))))
         hole = np.arange(len(text)) - first[text]
         take = pa.array(text)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(hole.astype(np.int32)), word], ["id", "mark", "hole", "word"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(hole.astype(np.int32)), word.dictionary_decode()], ["id", "mark", "hole", "word"])
 
 
 def _frequent(batches: Iterator[pa.RecordBatch], split: Splitter, head) -> Iterator[pa.RecordBatch]:
@@ -211,45 +240,54 @@ def _decimals(size: int) -> np.ndarray:
     return np.array([str(i) for i in range(size)], object)
 
 
-def _finish(batches: Iterator[pa.RecordBatch], spec, digests: bool) -> Iterator[pa.RecordBatch]:
-    pieces = _pieces(spec.value)
+def _results(names: pa.Array, texts: list[np.ndarray], spec: str, digests: bool) -> pa.RecordBatch:
+    """(id, n_tokens, first, second): ids and decoded texts, or their digests."""
+    pieces = _pieces(spec)
     decimals = _decimals(len(pieces))
     sha = lambda x: hashlib.sha256(x).hexdigest()
+    one, two = [], []
+    for ids in texts:
+        text = b"".join(pieces[ids]).decode("utf-8", "replace")
+        one.append(sha(",".join(decimals[ids]).encode()) if digests else ids.astype(np.int32))
+        two.append(sha(text.encode()) if digests else text)
+    kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.string())
+    return pa.RecordBatch.from_arrays([names, pa.array([len(x) for x in texts], pa.int64()), pa.array(one, kinds[0]), pa.array(two, kinds[1])], ["id", "n_tokens", "first", "second"])
+
+
+def _finish(batches: Iterator[pa.RecordBatch], spec, digests: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, one, two = [], [], []
-        for body, fills in zip(batch.column(1), batch.column(2), strict=True):
-            ids = _filled(body.as_py(), fills.as_py())
-            n.append(len(ids))
-            text = b"".join(pieces[ids]).decode("utf-8", "replace")
-            one.append(sha(",".join(decimals[ids]).encode()) if digests else ids.astype(np.int32))
-            two.append(sha(text.encode()) if digests else text)
-        kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, kinds[0]), pa.array(two, kinds[1])], ["id", "n_tokens", "first", "second"])
-
-
-def word_table(docs: DataFrame, spec: str, text_col: str = "text") -> DataFrame:
-    """(word, n, ids): every distinct word of the texts, how often it occurs, and its ids (four bytes each)."""
+        texts = [_filled(body.as_py(), fills.as_py()) for body, fills in zip(batch.column(1), batch.column(2), strict=True)]
+        yield _results(batch.column(0), texts, spec.value, digests)
+
+
+def word_counts(docs: DataFrame, spec: str, text_col: str = "text") -> DataFrame:
+    """(word, n): every distinct word of the texts and how often it occurs."""
     bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(spec)
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(partial(_count, split=Splitter(_specials(spec))), "word string, n bigint")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(partial(_encode, spec=shared), "word string, n bigint, ids binary")
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(partial(_count, split=Splitter(_specials(spec))), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
 
+def word_table(words: DataFrame, spec: str) -> DataFrame:
+    """(word, n, ids): distinct words with their ids, four bytes each."""
+    shared = words.sparkSession.sparkContext.broadcast(spec)
+    return words.select("word", "n").mapInArrow(partial(_encode, spec=shared), "word string, n bigint, ids binary")
 
-def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, head_words: int = HEAD_WORDS, scratch: Scratch | None = None) -> DataFrame:
+
+def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, head_words: int = HEAD_WORDS, rare: str = "local", scratch: Scratch | None = None) -> DataFrame:
     """Ids of every text under the tokenizer ``spec`` (its JSON), and the text that they decode to:
     ``id_col``, n_tokens, ids and decoded, or with ``digests`` ids_sha256 and decoded_sha256.
 
-    Ids equal those of the tokenizers library with add_special_tokens=False. Defined cases: null counts as
-    empty; an empty text has no ids; strings of added tokens become their ids; texts without blanks are one
-    word; repeated rows each get their row; null ids are kept; an empty table gives an empty result; extra
-    columns are ignored.
+    Ids equal those of the tokenizers library with add_special_tokens=False, for tokenizers that split as
+    byte-level BPE does. Defined cases: null counts as empty; an empty text has no ids; strings of added tokens
+    become their ids; texts without blanks are one word; repeated rows each get their row; null ids are kept;
+    an empty table gives an empty result; extra columns are ignored.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     bound_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     split, shared = Splitter(_specials(spec)), spark.sparkContext.broadcast(spec)
-    words = scratch.table(word_table(docs, spec, text_col))
+    words = scratch.table(word_counts(docs, spec, text_col))
 
     # as many frequent words as the table may have, whole steps of the count at a time; a word that occurs once saves no work
     small = words.where((F.col("n") > 1) & (F.octet_length("word") <= HEAD_BYTES))
@@ -259,21 +297,25 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
         if (room := room - n) < 0:
             break
         least = at
-    head = spark.sparkContext.broadcast(Head(small.where(step >= least).select("word", "ids").toArrow()))
-    frequent = (F.col("n") > 1) & (F.octet_length("word") <= HEAD_BYTES) & (step >= least)
+    head = spark.sparkContext.broadcast(Head(word_table(small.where(step >= least), spec).select("word", "ids").toArrow()))
+    first, second = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
+    result = f"id {id_type}, n_tokens bigint, first {'string' if digests else 'array<int>'}, second string"
 
     # rows are named by id and text, so that both arms and a second run name them alike
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    bodies = rows.mapInArrow(partial(_frequent, split=split, head=head), f"id {id_type}, mark bigint, body binary")
-    rare = rows.mapInArrow(partial(_rare, split=split, head=head), f"id {id_type}, mark bigint, hole int, word string")
-    total = words.where(~frequent).agg(F.sum("n")).first()[0] or 0
-    filled = salted_join(rare, words.where(~frequent), ["word"], "n", total, F.col("mark")).select("id", "mark", F.struct("hole", "ids").alias("fill"))
-    fills = filled.groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set("fill").alias("fills"))
-    joined = bodies.join(fills, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select("id", "body", "fills")
-    first, second = ("ids_sha256 string", "decoded_sha256 string") if digests else ("ids array<int>", "decoded string")
-    out = joined.mapInArrow(partial(_finish, spec=shared, digests=digests), f"id {id_type}, n_tokens bigint, first {first.split()[1]}, second {second.split()[1]}")
-    return out.withColumnsRenamed({"id": id_col, "first": first.split()[0], "second": second.split()[0]})
+    if rare == "local":
+        out = rows.select("id", "text").mapInArrow(partial(_whole, spec=shared, split=split, head=head, digests=digests), result)
+    else:
+        bodies = rows.mapInArrow(partial(_frequent, split=split, head=head), f"id {id_type}, mark bigint, body binary")
+        places = rows.mapInArrow(partial(_rare, split=split, head=head), f"id {id_type}, mark bigint, hole int, word string")
+        others = words.where((F.col("n") == 1) | (F.octet_length("word") > HEAD_BYTES) | (step < least))
+        total = others.agg(F.sum("n")).first()[0] or 0
+        filled = salted_join(places, word_table(others, spec), ["word"], "n", total, F.col("mark")).select("id", "mark", F.struct("hole", "ids").alias("fill"))
+        fills = filled.groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set("fill").alias("fills"))
+        joined = bodies.join(fills, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select("id", "body", "fills")
+        out = joined.mapInArrow(partial(_finish, spec=shared, digests=digests), result)
+    return out.withColumnsRenamed({"id": id_col, "first": first, "second": second})
 
 
 def decode(rows: DataFrame, spec: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -287,6 +329,4 @@ def decode(rows: DataFrame, spec: str, ids_col: str = "ids", out_col: str = "dec
             found = [b"".join(pieces[np.array(x or [], np.int64)]).decode("utf-8", "replace") for x in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, out_col])
 
-    from pyspark.sql import types as T
-
     return rows.mapInArrow(texts, T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())]))
