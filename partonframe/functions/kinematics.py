@@ -107,7 +107,7 @@ def _lift(formula: Callable[..., Column], inputs: list[Column], depth: int) -> C
     if not depth:
         return formula(*inputs)
     zipped = F.arrays_zip(*[x.alias(f"x{i}") for i, x in enumerate(inputs)])
-    return F.transform(zipped, lambda s: _lift(formula, [s.getItem(str(i)) if False else s[f"{i}"] for i in range(len(inputs))], depth - 1))
+    return F.transform(zipped, lambda s: _lift(formula, [s[f"x{i}"] for i in range(len(inputs))], depth - 1))
 
 
 def add_pt(df: DataFrame, prefix=None, depth: int = 0) -> DataFrame:

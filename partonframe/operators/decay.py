@@ -31,5 +31,5 @@ def edge_instance(particles: DataFrame, edges: DataFrame, start: DataFrame, firs
 def edges_from_lists(events: DataFrame, children: str = "Children", parents: str | None = None) -> DataFrame:
     """(event_id, parent, child) of events with a list of children, or of parents, for each particle."""
     name = parents or children
-    each = events.select("event_id", F.posexplode(name).alias("at", "others")).select("event_id", F.col("at").cast("long"), F.explode("others").cast("long").alias("other"))
+    each = events.select("event_id", F.posexplode(name).alias("at", "others")).select("event_id", F.col("at").cast("long").alias("at"), F.explode("others").alias("other")).withColumn("other", F.col("other").cast("long"))
     return each.select("event_id", *([F.col("other").alias("parent"), F.col("at").alias("child")] if parents else [F.col("at").alias("parent"), F.col("other").alias("child")]))

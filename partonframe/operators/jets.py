@@ -53,7 +53,12 @@ def nested(nodes: DataFrame) -> DataFrame:
     names = [c for c in nodes.columns if c not in ("event_id", "jet_id")]
     each = nodes.groupBy("event_id", "jet_id").agg(F.sort_array(F.collect_list(F.struct("label", *[c for c in names if c != "label"]))).alias("n"))
     whole = each.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("jet_id", "n"))).alias("j"))
-    return whole.select("event_id", *[F.transform("j", lambda x, c=c: F.transform(x["n"], lambda y: y[c])).alias(c) for c in names])
+    return whole.select("event_id", *[F.transform("j", _inner(c)).alias(c) for c in names])
+
+
+def _inner(name: str):
+    """A list's elements of one name, for each list."""
+    return lambda x: F.transform(x["n"], lambda y: y[name])
 
 
 def from_nested(table: DataFrame) -> DataFrame:

@@ -84,9 +84,9 @@ PSEUDO = f"(case when {THETA} > pi() / 2 then -1e0 else 1e0 end) * -ln(tan(least
 MASS = "sqrt(energy * energy - px * px - py * py - pz * pz)"
 
 
-def _kin(**columns: Column):
+def _kin(columns: Callable[[], dict[str, Column]]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return particles(spark, sf_dir).select("event_id", "idx", *[rounded(c, n) for n, c in columns.items()])
+        return particles(spark, sf_dir).select("event_id", "idx", *[rounded(c, n) for n, c in columns().items()])
 
     return run
 
@@ -96,17 +96,17 @@ def _kin_sql(**columns: str) -> str:
 
 
 for _name, _spark, _duck in (
-    ("kin_pt_phi", {"pt": K.pt("px", "py"), "phi": K.phi("px", "py")}, {"pt": "pt", "phi": "phi"}),
-    ("kin_theta", {"theta": K.theta("pt", "pz")}, {"theta": THETA}),
-    ("kin_rapidity", {"rapidity": K.rapidity("pt", "pz", "energy")}, {"rapidity": "rapidity"}),
-    ("kin_pseudorapidity", {"pseudorapidity": K.pseudorapidity(K.theta("pt", "pz"))}, {"pseudorapidity": PSEUDO}),
-    ("kin_mass", {"mass": K.mass("energy", "px", "py", "pz")}, {"mass": MASS}),
-    ("angle_confine", {"angle": confine_angle(F.col("phi") * 3)}, {"angle": "((((phi * 3 + pi()) % (2 * pi())) + 2 * pi()) % (2 * pi())) - pi()"}),
-    ("angle_distance", {"gap": angular_distance("phi", "rapidity")}, {"gap": "least((((phi - rapidity) % (2 * pi())) + 2 * pi()) % (2 * pi()), (((rapidity - phi) % (2 * pi())) + 2 * pi()) % (2 * pi()))"}),
-    ("birr_fix", {"birr": references.birr(F.col("pt"), F.col("pz"))}, {"birr": "sqrt(pt * pt + pz * pz)"}),
-    ("inverse_momenta", dict(zip(("x", "y", "z"), K.px_py_pz("energy", "pt", "rapidity", "phi"), strict=True)), {"x": "pt * cos(phi)", "y": "pt * sin(phi)", "z": "energy * (exp(rapidity) - exp(-rapidity)) / (exp(rapidity) + exp(-rapidity))"}),
+    ("kin_pt_phi", lambda: {"pt": K.pt("px", "py"), "phi": K.phi("px", "py")}, {"pt": "pt", "phi": "phi"}),
+    ("kin_theta", lambda: {"theta": K.theta("pt", "pz")}, {"theta": THETA}),
+    ("kin_rapidity", lambda: {"rapidity": K.rapidity("pt", "pz", "energy")}, {"rapidity": "rapidity"}),
+    ("kin_pseudorapidity", lambda: {"pseudorapidity": K.pseudorapidity(K.theta("pt", "pz"))}, {"pseudorapidity": PSEUDO}),
+    ("kin_mass", lambda: {"mass": K.mass("energy", "px", "py", "pz")}, {"mass": MASS}),
+    ("angle_confine", lambda: {"angle": confine_angle(F.col("phi") * 3)}, {"angle": "((((phi * 3 + pi()) % (2 * pi())) + 2 * pi()) % (2 * pi())) - pi()"}),
+    ("angle_distance", lambda: {"gap": angular_distance("phi", "rapidity")}, {"gap": "least((((phi - rapidity) % (2 * pi())) + 2 * pi()) % (2 * pi()), (((rapidity - phi) % (2 * pi())) + 2 * pi()) % (2 * pi()))"}),
+    ("birr_fix", lambda: {"birr": references.birr(F.col("pt"), F.col("pz"))}, {"birr": "sqrt(pt * pt + pz * pz)"}),
+    ("inverse_momenta", lambda: dict(zip(("x", "y", "z"), K.px_py_pz("energy", "pt", "rapidity", "phi"), strict=True)), {"x": "pt * cos(phi)", "y": "pt * sin(phi)", "z": "energy * (exp(rapidity) - exp(-rapidity)) / (exp(rapidity) + exp(-rapidity))"}),
 ):
-    query(_name, _kin_sql(**_duck))(_kin(**_spark))
+    query(_name, _kin_sql(**_duck))(_kin(_spark))
 
 
 @query("kin_all", _kin_sql(Theta=THETA, PT="pt", Phi="phi", Rapidity="rapidity", PseudoRapidity=PSEUDO, Mass=MASS))

@@ -19,10 +19,14 @@ def to_long(events: DataFrame, columns: list[str]) -> DataFrame:
     return events.select("event_id", F.posexplode(zipped).alias("idx", "x")).select("event_id", F.col("idx").cast("long").alias("idx"), *[F.col("x").getField(c).alias(c) for c in columns])
 
 
+def _field(name: str):
+    return lambda x: x[name]
+
+
 def to_wide(particles: DataFrame, columns: list[str]) -> DataFrame:
     """A row for every event, the columns as lists by idx."""
     rows = particles.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("idx", *columns))).alias("x"))
-    return rows.select("event_id", *[F.transform("x", lambda y, c=c: y[c]).alias(c) for c in columns])
+    return rows.select("event_id", *[F.transform("x", _field(c)).alias(c) for c in columns])
 
 
 def import_record(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, object]]:
