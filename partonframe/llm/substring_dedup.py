@@ -71,8 +71,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blank = BLANK[data]
             begins = np.cumsum(~blank & np.r_[True, blank[:-1]]) if len(data) else blank.astype(np.int64)
             ends.append(e)
-            words.append(np.diff(begins[e - 1], prepend=0))
-            digests.append(np.array([xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip([0, *e[:-1].tolist()], e.tolist(), strict=True)], np.uint64).view(np.int64))
+            words.append(np.diff(begins[e - 1], prepend=0).astype(np.int32))
+            places = [0, *e.tolist()]
+            digests.append(np.array([xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(places[:-1], places[1:], strict=True)], np.uint64).view(np.int64))
         made = [_lists(ends, pa.int64()), _lists(words, pa.int32()), _lists(digests, pa.int64())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "mark", "ends", "words", "digests"])
 
@@ -122,12 +123,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
     """``docs``, with all columns, without the passages that an earlier document has."""
     passages = repeated_passages(docs, id_col, text_col, min_words, scratch).where("removed")
-    gone = passages.groupBy(F.col(id_col).alias("_id"), F.col("mark").alias("_mark")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_gone"))
+    gone = passages.groupBy(F.col(id_col).alias("_pf_id"), F.col("mark").alias("_pf_mark")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_pf_gone"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_mark")), "left")
+    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("_pf_id")) & (F.xxhash64(text) == F.col("_pf_mark")), "left")
     data = text.cast("binary")
-    edges = F.concat(F.array(F.lit(0).cast("long")), F.transform("_gone", lambda x: x["end"]))
-    nexts = F.concat(F.transform("_gone", lambda x: x["start"]), F.array(F.octet_length(text).cast("long")))
+    edges = F.concat(F.array(F.lit(0).cast("long")), F.transform("_pf_gone", lambda x: x["end"]))
+    nexts = F.concat(F.transform("_pf_gone", lambda x: x["start"]), F.array(F.octet_length(text).cast("long")))
     parts = F.zip_with(edges, nexts, lambda a, b: F.substring(data, (a + 1).cast("int"), (b - a).cast("int")))
     cleaned = F.aggregate(parts, F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b)).cast("string")
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(cleaned)).select(*docs.columns)
+    return joined.withColumn(text_col, F.when(F.col("_pf_gone").isNull(), F.col(text_col)).otherwise(cleaned)).select(*docs.columns)
