@@ -107,9 +107,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of which the text stays (a row repeated with its id stays as it is)."""
+    """The rows of ``docs``, with all their columns, that stay; of rows that repeat an id and its text, one."""
     verdict = exact_duplicates(docs, id_col, text_col, scratch)
-    gone = verdict.where(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
+    named = verdict.select(F.col(id_col).alias("_pf_id"), F.col("text_sha256").alias("_pf_sha"), "kept")
     # an id that names different texts is decided text by text; the digest is computed for matching ids only
     normal = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")) & (normal == F.col("_sha")), "left_anti")
+    match = docs[id_col].eqNullSafe(F.col("_pf_id")) & (normal == F.col("_pf_sha"))
+    stay = docs.join(named.where(~F.col("kept")).distinct(), match, "left_anti")
+    again = named.where(F.col("kept")).groupBy("_pf_id", "_pf_sha").agg(F.count(F.lit(1)).alias("_pf_n")).where("_pf_n > 1")
+    if again.isEmpty():
+        return stay
+    repeated = stay.join(again, match, "left_semi").withColumn("_pf_text", normal).dropDuplicates([id_col, "_pf_text"]).drop("_pf_text")
+    return stay.join(again, match, "left_anti").unionByName(repeated)

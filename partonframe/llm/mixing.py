@@ -68,7 +68,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), F.col("id").cast("string"), "size")).withColumn("row", F.monotonically_increasing_id())
     facts = scratch.table(rows)
 
@@ -145,6 +145,6 @@ def mixed_documents(docs: DataFrame, plan: Mix, id_col: str = "doc_id", text_col
     """
     passes = plan.pieces.groupBy("row", "repeat").agg(F.sum("words").alias("words"))
     whole = passes.join(plan.facts, "row").where(2 * F.col("words") >= F.col("size"))
-    times = whole.groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).cast("int").alias("_times"))
-    found = docs.join(times, docs[id_col].eqNullSafe(F.col("_id")))
-    return found.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    times = whole.groupBy(F.col("id").alias("_pf_id")).agg(F.count(F.lit(1)).cast("int").alias("_pf_times"))
+    found = docs.join(times, docs[id_col].eqNullSafe(F.col("_pf_id")))
+    return found.withColumn("_pf_time", F.explode(F.sequence(F.lit(1), F.col("_pf_times")))).select(*docs.columns)

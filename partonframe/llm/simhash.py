@@ -180,5 +180,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``docs`` that name their class, one document of each, with all their columns."""
     verdict = near_duplicates(docs, id_col, text_col, scratch)
-    gone = verdict.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    gone = verdict.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_pf_gone")).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_pf_gone")), "left_anti")
