@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import kinematics as K
 from ..plans.params import check_params, jet_name
-from ..schema import CLUSTERED, NODE_FLOATS, NODE_INTS, NODES
+from ..schema import CLUSTERED, NODE_FLOATS, NODE_INTS, NODES, PARTICLES
 from .kernels import cone, genkt, spectral, wavelet
 from .kernels.physics import Nodes
 
@@ -32,7 +32,7 @@ def from_kinematics(particles: DataFrame) -> DataFrame:
     if not {"pt", "rapidity", "phi"} <= set(particles.columns):
         particles = particles.withColumns({"pt": K.pt("px", "py"), "phi": K.phi("px", "py")})
         particles = particles.withColumn("rapidity", K.rapidity("pt", "pz", "energy"))
-    return particles.select(F.col("event_id").cast("long").alias("event_id"), F.col("idx").cast("long").alias("idx"), *[F.col(c).cast("double").alias(c) for c in INPUTS[2:]])
+    return particles.select("event_id", "idx", *INPUTS[2:]).to(PARTICLES)
 
 
 def _events(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, np.ndarray, int]]:
@@ -93,12 +93,13 @@ def _cluster(batches: Iterator[pa.RecordBatch], kernel: Callable[..., Nodes], pa
         yield flush()
 
 
-def cluster(particles: DataFrame, algorithm: str, params: Mapping[str, object] | None = None, most_particles: int = MOST_PARTICLES, kernel: Callable[..., Nodes] | None = None, partitions: int | None = None) -> DataFrame:
+def cluster(particles: DataFrame, algorithm: str, params: Mapping[str, object] | None = None, most_particles: int = MOST_PARTICLES, kernel: Callable[..., Nodes] | None = None, partitions: int | None = None, clustered: bool = False) -> DataFrame:
     """Nodes of all events with status and duration (CLUSTERED).
 
     ``algorithm`` is a name of the registry, or any name with a ``kernel`` of one's own (Nodes and parameters
     to Nodes). Events of more than ``most_particles`` get status too_large, a failed eigen-decomposition
-    linalg_error: one row without node and duration NaN; the job goes on.
+    linalg_error: one row without node and duration NaN; the job goes on. ``clustered`` says that the rows of
+    an event are in one partition already, as after a window or an aggregate by event; it saves the shuffle.
     """
     checked = dict(params or {}) if kernel else check_params(algorithm, params)
     if not kernel:
@@ -106,7 +107,7 @@ def cluster(particles: DataFrame, algorithm: str, params: Mapping[str, object] |
         if algorithm == "Spectral":
             checked.pop("PhyDistance")
     rows = from_kinematics(particles)
-    dealt = rows.repartition(partitions, "event_id") if partitions else rows.repartition("event_id")
+    dealt = rows if clustered else rows.repartition(partitions, "event_id") if partitions else rows.repartition("event_id")
     ordered = dealt.sortWithinPartitions("event_id", "idx", *INPUTS[2:])
     return ordered.mapInArrow(partial(_cluster, kernel=kernel, params=checked, most=most_particles), CLUSTERED)
 

@@ -24,14 +24,17 @@ from ..streaming.clustering import cluster_stream
 from .eventset import EventSet
 
 VIEW = """
-    with b as (
-      select {event} event_id,
-             row_number() over (partition by {event} order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) - 1 idx,
+    with e as (
+      select {event} event_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate
+      from {lineitem} join {orders} on l_orderkey = o_orderkey),
+    b as (
+      select event_id,
+             row_number() over (partition by event_id order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) - 1 idx,
              l_quantity pt,
              ((cast(l_partkey as double) * cast(0.1 as double)) % (2 * pi())) - pi() phi,
              (l_extendedprice % cast(500 as double)) / cast(100 as double) - cast(2.5 as double) y,
              cast(1.01 as double) + l_tax m
-      from {lineitem} join {orders} on l_orderkey = o_orderkey),
+      from e),
     k as (select event_id, idx, pt * cos(phi) px, pt * sin(phi) py, m * pt * (exp(y) - exp(-y)) / 2 pz, m * pt * (exp(y) + exp(-y)) / 2 energy from b)
     select event_id, cast(idx as bigint) idx, px, py, pz, energy from k"""
 
@@ -443,7 +446,7 @@ for _name, _algorithm, _params, _flat in (
     ("wavelet_jets", "Wavelet", {}, True),
     ("cone_jets", "IterativeCone", {"DeltaR": 0.6}, True),
 ):
-    query(_name, _INVARIANT)(lambda s, d, a=_algorithm, p=_params, f=_flat: _invariants(nodes(cluster(particles(s, d), a, p)), f))
+    query(_name, _INVARIANT)(lambda s, d, a=_algorithm, p=_params, f=_flat: _invariants(nodes(cluster(particles(s, d), a, p, clustered=True)), f))
 
 
 @query("antikt_two_particle_events", _sql("""select event_id, case when d12 < b1 and d12 <= b2 then 1::bigint else 2 end as n_jets from
@@ -451,14 +454,14 @@ for _name, _algorithm, _params, _flat in (
 def antikt_two_particle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = particles(spark, sf_dir, "l_orderkey")
     pair = p.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("event_id"))).where("n = 2").drop("n")
-    found = nodes(cluster(pair, "GeneralisedKT", ANTIKT | {"DeltaR": 0.8}))
+    found = nodes(cluster(pair, "GeneralisedKT", ANTIKT | {"DeltaR": 0.8}, clustered=True))
     return found.groupBy("event_id").agg(F.count_if(F.col("parent") == -1).alias("n_jets"))
 
 
 @query("merge_sequence", _sql("select event_id, true as ordered, true as unique_children from p group by event_id having count(*) > 1"))
 def merge_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In a wide merge every label is a child once at most, and children are made before their parent."""
-    steps = jets.merge_sequence(nodes(cluster(particles(spark, sf_dir), "GeneralisedKT", ANTIKT | {"DeltaR": 100.0})))
+    steps = jets.merge_sequence(nodes(cluster(particles(spark, sf_dir), "GeneralisedKT", ANTIKT | {"DeltaR": 100.0}, clustered=True)))
     return steps.groupBy("event_id").agg(F.bool_and(F.col("label") > F.greatest("child1", "child2")).alias("ordered"), (F.size(F.array_distinct(F.flatten(F.collect_list(F.array("child1", "child2"))))) == 2 * F.count(F.lit(1))).alias("unique_children"))
 
 
@@ -499,5 +502,5 @@ def _folder(spark: SparkSession) -> str:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anti-kt jets of good events: scan, join, window, kinematics, clustering, aggregate, selection."""
-    found = nodes(cluster(particles(spark, sf_dir), "GeneralisedKT", ANTIKT))
+    found = nodes(cluster(particles(spark, sf_dir), "GeneralisedKT", ANTIKT, clustered=True))
     return jets.filter_jets(jets.jets(found)).select("event_id", "jet_id", "pt", "rapidity", "phi", "energy", "n_leaves")
