@@ -10,17 +10,21 @@ import shutil
 import tempfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import kinematics as K
+from ..functions import udtf
 from ..functions.angles import angular_distance, confine_angle
 from ..functions.factors import ca_distance2, factor, singularity_factor
 from ..operators import decay, integrity, jets, matching, pairwise, references
 from ..operators.cluster import cluster, cluster_batch, from_kinematics, nodes
-from ..sources import particle_data
-from ..streaming.clustering import cluster_stream
+from ..operators.kernels import wavelet
+from ..sources import external, particle_data
+from ..sources.parquet import to_wide
+from ..streaming.clustering import cluster_stream, windowed
 from .eventset import EventSet
 
 VIEW = """
@@ -487,6 +491,71 @@ def stream_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/out")).groupBy("event_id").agg(F.count_if(F.col("child1") == -1).alias("n_leaves"))
 
 
+@query("cluster_udtf", _INVARIANT)
+def cluster_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same clustering called from SQL."""
+    udtf.register(spark)
+    raw_particles(spark, sf_dir).createOrReplaceTempView("udtf_particles")
+    found = spark.sql("select * from cluster_events(table(udtf_particles) partition by event_id order by (idx), 'GeneralisedKT', '{\"DeltaR\": 0.4}')")
+    return _invariants(found, False)
+
+
+@query("tree_descendants", _sql("select event_id, count(*) as n_leaves from p group by event_id"))
+def tree_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves that a walk down from the roots of a flat partition reaches: all of them."""
+    found = manual(spark, sf_dir)
+    below = jets.descendants(found, jets.roots(found).select("event_id", "label"))
+    return below.groupBy("event_id").agg(F.count_distinct("label").alias("n_leaves"))
+
+
+@query("nested_jets", _sql("select event_id, count(*) as n_jets, sum(n + 1)::bigint as n_nodes from j group by event_id", MANUAL))
+def nested_jets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = jets.from_nested(jets.nested(manual(spark, sf_dir)))
+    return back.groupBy("event_id").agg(F.count_distinct("jet_id").alias("n_jets"), F.count(F.lit(1)).alias("n_nodes"))
+
+
+@query("long_to_wide", _sql(f"select event_id, count(*) as n, {r('sum(pt * (idx + 1))', 'weighted')} from p group by event_id"))
+def long_to_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = to_wide(particles(spark, sf_dir), ["pt"])
+    weighted = F.aggregate(F.transform("pt", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+    return wide.select("event_id", F.size("pt").cast("long").alias("n"), rounded(weighted, "weighted"))
+
+
+@query("matrix_dot_vector", _sql(f"select event_id, i, {r(f'sum(exp(-d2 / {SIGMA}e0) * pt_j)', 'value')} from q group by event_id, i", BOTH))
+def matrix_dot_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Affinity matrix times the vector of transverse momenta."""
+    _, pairs = _affine(spark, sf_dir)
+    return pairs.groupBy("event_id", "i").agg(rounded(F.sum(F.col("affinity") * F.col("pt_j")), "value"))
+
+
+@query("wavelet_scaled_range", _sql("select event_id, true as in_range from p group by event_id having count(*) > 1"))
+def wavelet_scaled_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heat wavelet at each event's first seed lies between -1 and 1, and reaches both."""
+
+    def one(group):
+        rows = group.sort_values("idx")
+        y, phi, pt = (rows[c].to_numpy() for c in ("rapidity", "phi", "pt"))
+        found = wavelet.scaled(wavelet.wavelet(wavelet.graph(y, phi, 0.1), int(wavelet.seeds(y, phi, pt)[0])))
+        return pd.DataFrame({"event_id": [rows["event_id"].iloc[0]], "in_range": [bool(abs(found.min() + 1) < 1e-9 and abs(found.max() - 1) < 1e-9)]})
+
+    several = particles(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("event_id"))).where("n > 1").drop("n")
+    return several.groupBy("event_id").applyInPandas(one, "event_id long, in_range boolean")
+
+
+@query("event_windows", "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 2) + 0e0 as total from events group by 1, 2")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tumbling windows; the same code runs on a stream."""
+    return windowed(read(spark, sf_dir, "events"), "1 hour").select("start", "event_type", "n", rounded("total", "total", 2))
+
+
+@query("summary_lines", _sql("select event_id, count(*) as n, count(distinct idx) as n_idx from p group by event_id"))
+def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Particles written as an external clusterer's input lines and read again."""
+    path = _folder(spark)
+    external.write_summary(raw_particles(spark, sf_dir), path)
+    return external.read_summary(spark, path).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("idx").alias("n_idx"))
+
+
 def _folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
     import atexit

@@ -131,3 +131,37 @@ def read_lines(batches: Iterator[list[str]]) -> Iterator[tuple]:
     """Answers one after another."""
     for lines in batches:
         yield parse_clusters(lines)
+
+
+def read_summary(spark, path: str) -> DataFrame:
+    """Particles of text files of :func:`write_summary`."""
+    fields = "idx long, px double, py double, pz double, energy double"
+    return spark.read.csv(path, sep=" ", schema=fields).select(F.col("event_id").cast("long").alias("event_id"), "idx", "px", "py", "pz", "energy")
+
+
+def answer_lines(nodes: DataFrame, delta_r: float, algorithm: str) -> DataFrame:
+    """(event_id, place, value): the answer's lines for node tables, in order of place."""
+    ints = nodes.select("event_id", (F.col("label") + 1).alias("place"), F.concat_ws(" ", *[F.col(c).cast("string") for c in ("label", *NODE_INTS[:4])]).alias("value"))
+    floats = nodes.select("event_id", (F.col("label") + F.lit(1 << 40)).alias("place"), F.concat_ws(" ", *[F.col(c).cast("string") for c in NODE_FLOATS[:7]]).alias("value"))
+    events = nodes.select("event_id").distinct()
+    heads = events.select("event_id", F.lit(0).cast("long").alias("place"), F.lit(f"# deltaR={delta_r} {algorithm} pseudojet_id Label Parent Child1 Child2").alias("value"))
+    middle = events.select("event_id", F.lit((1 << 40) - 1).alias("place"), F.lit("# " + " ".join(NODE_FLOATS[:7])).alias("value"))
+    return heads.union(ints).union(middle).union(floats)
+
+
+def draw_tree(ints: np.ndarray) -> str:
+    """A merge tree in letters, a line per node, children under their parent."""
+    children = {int(r[0]): [int(c) for c in r[2:4] if c >= 0 and c != r[0]] for r in ints}
+    lines: list[str] = []
+
+    def draw(label: int, depth: int) -> None:
+        stack = [(label, depth)]
+        while stack:
+            node, deep = stack.pop()
+            lines.append("  " * deep + str(node))
+            stack += [(c, deep + 1) for c in reversed(children[node])]
+
+    for row in ints:
+        if row[1] < 0:
+            draw(int(row[0]), 0)
+    return "\n".join(lines)

@@ -141,3 +141,16 @@ def test_windows(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:01", "a", 1.0), ("2024-01-01 00:00:09", "a", 2.0), ("2024-01-01 00:00:11", "b", 4.0)], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((r.event_type, r.n, r.total) for r in windowed(df, "10 seconds").collect()) == [("a", 2, 3.0), ("b", 1, 4.0)]
     assert math.isclose(sum(r.n for r in windowed(df, "10 seconds", "5 seconds").collect()), 6)
+
+
+def test_answers_of_node_tables(spark):
+    from partonframe.operators.cluster import cluster, nodes
+    from partonframe.schema import NODE_INTS
+
+    found = nodes(cluster(particles(spark, [5]), "GeneralisedKT", {"DeltaR": 100.0}))
+    lines = [r.value for r in external.answer_lines(found, 100.0, "cambridge").orderBy("place").collect()]
+    _, ints, floats = external.parse_clusters(lines)
+    want = np.array([list(r) for r in found.orderBy("label").select(*NODE_INTS).collect()])
+    assert ints.tolist() == want.tolist() and floats.shape == (9, 7)
+    drawn = external.draw_tree(want).split("\n")
+    assert drawn[0] == "8" and sorted(int(x) for x in drawn) == list(range(9))
