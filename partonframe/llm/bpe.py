@@ -24,6 +24,7 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,35 +116,49 @@ def _encode(batches: Iterator[pa.RecordBatch], spec) -> Iterator[pa.RecordBatch]
 
 
 class Head:
-    """The frequent words and their ids; a worker builds the lookup table once."""
+    """The frequent words and their ids, in flat arrays: words are found by hash and then compared."""
 
     def __init__(self, table: pa.Table):
-        self.words = table.column("word").combine_chunks().cast(pa.string())
-        ids = table.column("ids").combine_chunks().cast(pa.binary())
-        self.lengths = np.append(pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4, 1)
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        words = table.column("word").combine_chunks().cast(pa.string())
+        hashes = self._hashes(words)
+        # of words with one hash, the first stays; the others count as rare
+        self.hashes, first = np.unique(hashes, return_index=True)
+        self.words = words.take(pa.array(first))
+        ids = table.column("ids").combine_chunks().cast(pa.binary()).take(pa.array(first))
+        self.lengths = np.append(pc.binary_length(ids).to_numpy(zero_copy_only=False) // 4, 1).astype(np.int32)
+        self.starts = (np.cumsum(self.lengths, dtype=np.int64) - self.lengths).astype(np.int32)
         # after the last word's ids, a hole
         self.ids = np.append(np.frombuffer(b"".join(ids.to_pylist()), "<u4"), HOLE).astype("<u4")
-        self.entries: dict[str, int] | None = None
 
-    def lookup(self, words: list[str]) -> np.ndarray:
+    @staticmethod
+    def _hashes(words: pa.StringArray) -> np.ndarray:
+        digest = xxhash.xxh3_64_intdigest
+        return np.fromiter((digest(w) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+
+    def lookup(self, words: pa.StringArray) -> np.ndarray:
         """Entry of each word, or the hole's."""
-        if self.entries is None:
-            self.entries = {w: i for i, w in enumerate(self.words.to_pylist())}
-        get, hole = self.entries.get, len(self.words)
-        return np.fromiter((get(w, hole) for w in words), np.int64, len(words))
+        n = len(self.words)
+        if not n:
+            return np.zeros(len(words), np.int32)
+        hashes = self._hashes(words)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), n - 1)
+        hit = np.flatnonzero(self.hashes[place] == hashes)
+        equal = pc.equal(self.words.take(pa.array(place[hit])), words.take(pa.array(hit))).to_numpy(zero_copy_only=False)
+        out = np.full(len(words), n, np.int32)
+        out[hit[equal]] = place[hit[equal]]
+        return out
 
 
 def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of consecutive runs: starts[i], starts[i] + 1, ... , lengths[i] of them."""
-    ends = np.cumsum(lengths)
+    ends = np.cumsum(lengths, dtype=np.int64)
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def _place(batch: pa.RecordBatch, column: int, split: Splitter, head: Head) -> tuple:
     """Ids of the texts with a hole for every word that isn't frequent: ids, ids of each text, each hole's text, and its word."""
     words, counts = _words(batch, column, split)
-    entry = head.lookup(words.dictionary.to_pylist())[words.indices.to_numpy()]
+    entry = head.lookup(words.dictionary)[words.indices.to_numpy()]
     lengths = head.lengths[entry]
     text = np.repeat(np.arange(len(counts)), counts)
     per_text = np.bincount(text, lengths, len(counts)).astype(np.int64)
@@ -155,17 +170,17 @@ def _whole(batches: Iterator[pa.RecordBatch], spec, split: Splitter, head, diges
     """The result, with every batch's distinct rare words encoded where they stand."""
     for batch in batches:
         words, counts = _words(batch, 1, split)
-        found = words.dictionary.to_pylist()
-        entry = head.value.lookup(found)
+        entry = head.value.lookup(words.dictionary)
         rare = np.flatnonzero(entry == len(head.value.words))
-        own = _ids([found[i] for i in rare], spec.value)
+        own = _ids(words.dictionary.take(pa.array(rare)).to_pylist(), spec.value)
         own_lengths = np.array([len(x) for x in own], np.int64)
         pool = np.concatenate([head.value.ids, *[np.array(x, "<u4") for x in own]]) if own else head.value.ids
         starts, lengths = head.value.starts[entry], head.value.lengths[entry]
         starts[rare], lengths[rare] = len(head.value.ids) + np.cumsum(own_lengths) - own_lengths, own_lengths
         codes = words.indices.to_numpy()
-        ids = pool[_ragged(starts[codes], lengths[codes])]
-        ends = np.cumsum(np.bincount(np.repeat(np.arange(len(counts)), counts), lengths[codes], len(counts)).astype(np.int64))
+        lengths = lengths[codes]
+        ids = pool[_ragged(starts[codes], lengths)]
+        ends = np.r_[0, np.cumsum(lengths, dtype=np.int64)][np.cumsum(counts)]
         yield _results(batch.column(0), np.split(ids, ends[:-1]) if len(ends) else [], spec.value, digests)
 
 

@@ -31,7 +31,7 @@ SAMPLE_BYTES = 65_536
 #: Most frequent contexts of full order in the table; the others are coded from their shorter context.
 MOST_CONTEXTS = 32_768
 #: Bytes scored at a time; texts of any length pass through in such pieces.
-PIECE = 1 << 20
+PIECE = 1 << 18
 PAD = 10
 UNDETERMINED = "und"
 
@@ -249,5 +249,5 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 def keep_identified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is determined with at least ``min_score``, with all their columns."""
     verdict = identify(docs, learn(docs, id_col, text_col, lang_col), id_col, text_col)
-    gone = verdict.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < min_score)).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    gone = verdict.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < min_score)).select(F.col(id_col).alias("_pf_gone")).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_pf_gone")), "left_anti")

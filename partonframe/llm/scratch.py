@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of text that a Python worker gets at a time, but for a single longer text.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
