@@ -35,7 +35,7 @@ PRIOR, RIGHT = 0.7, 0.8
 #: Documents' worth of those beliefs that every estimate keeps, and bounds of the estimates: no vote is taken
 #: for certain, and none is turned round.
 SMOOTH = 1.0
-BOUNDS, PRIOR_BOUNDS = (0.55, 0.95), (0.3, 0.9)
+BOUNDS, PRIOR_BOUNDS = (0.55, 0.9), (0.3, 0.95)
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 
