@@ -30,7 +30,7 @@ def get_sequence(algorithm: str, params: dict, rows: np.ndarray) -> tuple[list[i
         return [], [], []
     energy, px, py, pz, pt, y, phi = rows.T
     checked = check_params(algorithm, params)
-    if algorithm == "Spectral":
+    if algorithm.startswith("Spectral"):
         checked.pop("PhyDistance")
     _, ints, _ = KERNELS[algorithm](Nodes(px, py, pz, energy, pt, y, phi), **checked).table()
     merged = ints[ints[:, 2] >= 0]

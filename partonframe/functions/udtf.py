@@ -28,7 +28,7 @@ class ClusterEvents:
             return
         algorithm, text = self.how
         params = check_params(algorithm, json.loads(text))
-        if algorithm == "Spectral":
+        if algorithm.startswith("Spectral"):
             params.pop("PhyDistance")
         px, py, pz, energy = np.array(self.rows, float).T
         pt = np.hypot(px, py)

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Mapping
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,9 @@ from .kernels.physics import Nodes
 
 MOST_PARTICLES = 20_000
 INPUTS = ["event_id", "idx", "px", "py", "pz", "energy", "pt", "rapidity", "phi"]
-KERNELS: dict[str, Callable[..., Nodes]] = {"GeneralisedKT": genkt.cluster, "Spectral": spectral.cluster, "Wavelet": wavelet.cluster, "IterativeCone": cone.cluster}
+KERNELS: dict[str, Callable[..., Nodes]] = {
+    "GeneralisedKT": genkt.cluster, "Spectral": spectral.cluster, "SpectralMean": partial(spectral.cluster, embedding_update="mean"), "Wavelet": wavelet.cluster, "IterativeCone": cone.cluster,
+}
 
 
 def from_kinematics(particles: DataFrame) -> DataFrame:
@@ -104,7 +107,7 @@ def cluster(particles: DataFrame, algorithm: str, params: Mapping[str, object] |
     checked = dict(params or {}) if kernel else check_params(algorithm, params)
     if not kernel:
         kernel = KERNELS[algorithm]
-        if algorithm == "Spectral":
+        if algorithm.startswith("Spectral"):
             checked.pop("PhyDistance")
     rows = from_kinematics(particles)
     dealt = rows if clustered else rows.repartition(partitions, "event_id") if partitions else rows.repartition("event_id")
@@ -112,6 +115,24 @@ def cluster(particles: DataFrame, algorithm: str, params: Mapping[str, object] |
     return ordered.mapInArrow(partial(_cluster, kernel=kernel, params=checked, most=most_particles), CLUSTERED)
 
 
+def spectral_trace(particles: DataFrame, params: Mapping[str, object] | None = None) -> DataFrame:
+    """Steps of spectral clustering: (event_id, step, n_live, n_dims, mean_distance, min_distance, child1, child2)."""
+    checked = check_params("Spectral", params)
+    checked.pop("PhyDistance")
+    names = ["n_live", "n_dims", "mean_distance", "min_distance", "child1", "child2"]
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        steps: list[tuple] = []
+        g = group.sort_values("idx")
+        spectral.cluster(Nodes(*(g[c].to_numpy() for c in INPUTS[2:])), trace=steps, **checked)
+        out = pd.DataFrame(steps, columns=names)
+        out.insert(0, "step", range(len(out)))
+        out.insert(0, "event_id", g["event_id"].iloc[0])
+        return out
+
+    return from_kinematics(particles).groupBy("event_id").applyInPandas(one, "event_id long, step long, n_live long, n_dims long, mean_distance double, min_distance double, child1 long, child2 long")
+
+
 def nodes(clustered: DataFrame) -> DataFrame:
     """The nodes of events that were clustered."""
     return clustered.where("status = 'ok'").select(*NODES.fieldNames())

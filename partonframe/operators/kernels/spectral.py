@@ -40,15 +40,32 @@ class Local:
         return self.affine if k is None else np.where(nearest(-self.affine, k - 1), self.affine, 0.0)
 
 
+def embedding_space(matrix: np.ndarray, num_dims: int | None = None, max_eigval: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues and eigenvectors (columns) of a symmetric matrix, the first left out: the next ``num_dims``, or all up to ``max_eigval``."""
+    if num_dims is None and max_eigval is None:
+        raise ValueError("num_dims or max_eigval is needed")
+    if not len(matrix):
+        return np.zeros(0), np.zeros((0, 0))
+    values, vectors = np.linalg.eigh(matrix)
+    chosen = np.arange(len(values))[1 : num_dims + 1] if num_dims is not None else np.flatnonzero(values <= max_eigval)[1:]
+    return values[chosen], vectors[:, chosen]
+
+
+def dimension_scaling(values: np.ndarray, beta: float, clip: float) -> np.ndarray:
+    return np.maximum(values, clip) ** -beta
+
+
+def dimension_hardness(vectors: np.ndarray, pt: np.ndarray) -> np.ndarray:
+    return (np.abs(vectors) * pt[:, None]).mean(0)
+
+
 def embed(affine: np.ndarray, pt: np.ndarray, size: np.ndarray, p: dict) -> np.ndarray:
     """Coordinates by the eigenvectors up to the limit, but for the first; scaled by eigenvalue and hardness."""
     norm = {"unnormed": None, "symmetric": affine.sum(0), "pt": pt, "symmetric_carried": size}[p["Laplacian"]]
-    values, vectors = np.linalg.eigh(laplacian(affine, norm))
-    chosen = np.flatnonzero(values <= p["EigenvalueLimit"])[1:]
-    values, vectors = values[chosen], vectors[:, chosen]
-    scale = np.maximum(values, p["ClipBeta"]) ** -p["Beta"] if p["Beta"] else np.ones(len(values))
+    values, vectors = embedding_space(laplacian(affine, norm), max_eigval=p["EigenvalueLimit"])
+    scale = dimension_scaling(values, p["Beta"], p["ClipBeta"]) if p["Beta"] else np.ones(len(values))
     if p["EmbedHardness"] == "pt":
-        scale = scale * (np.abs(vectors) * pt[:, None]).mean(0)
+        scale = scale * dimension_hardness(vectors, pt)
     return vectors * scale
 
 
@@ -65,11 +82,12 @@ def embedding_distance2(points: np.ndarray, kind: str) -> np.ndarray:
     return out
 
 
-def cluster(nodes: Nodes, steps: int | None = None, embedding_update: str = "recompute", **p) -> Nodes:
+def cluster(nodes: Nodes, steps: int | None = None, embedding_update: str = "recompute", trace: list | None = None, **p) -> Nodes:
     """Merges the pair that is closest in the embedding, until the mean or least distance is too large.
 
     The choice is by suppressed distances, the stop by plain ones. No eigenvector in range means stop. With
     ``embedding_update`` "mean" a merged node gets the mean of its parts' coordinates instead of a new embedding.
+    ``trace`` gets a row for every step: live nodes, dimensions, mean and least distance, labels of the pair.
     """
     if nodes.n < 2:
         return nodes
@@ -85,6 +103,9 @@ def cluster(nodes: Nodes, steps: int | None = None, embedding_update: str = "rec
         raw2 = embedding_distance2(points, p["EmbedDistance"]) * f * f
         distance2 = local.single * raw2
         below = np.tril_indices(len(live), -1)
+        if trace is not None:
+            pair = divmod(int(distance2.argmin()), len(live))
+            trace.append((len(live), points.shape[1], float(np.sqrt(raw2[below]).mean()), float(np.sqrt(raw2[below].min())), *(int(nodes.ints[live[k], 0]) for k in pair)))
         if p["MaxMeanDist"] is not None and not np.sqrt(raw2[below]).mean() < p["MaxMeanDist"]:
             break
         if p["MaxMinDist"] is not None and not np.sqrt(raw2[below].min()) < p["MaxMinDist"]:

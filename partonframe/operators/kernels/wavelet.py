@@ -75,6 +75,12 @@ def scaled(values: np.ndarray) -> np.ndarray:
         return 2 * (values - values.min()) / (values.max() - values.min()) - 1
 
 
+def max_eigenvalue(matrix: np.ndarray) -> float:
+    """Eigenvalue of the largest magnitude of a symmetric matrix."""
+    values = np.linalg.eigvalsh(matrix)
+    return float(values[np.abs(values).argmax()])
+
+
 def graph(y: np.ndarray, phi: np.ndarray, sigma: float, normalised: bool = True) -> np.ndarray:
     affine = affinity(ca_distance2(y[:, None], phi[:, None], y[None, :], phi[None, :]), sigma, 2.0)
     np.fill_diagonal(affine, 0.0)

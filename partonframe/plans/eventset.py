@@ -7,6 +7,7 @@ content is in array columns. Hyper-parameters are values of the whole set, in a
 from __future__ import annotations
 
 import json
+import subprocess
 from collections.abc import Callable, Mapping
 from functools import reduce
 
@@ -17,6 +18,15 @@ EVENT = "event_id"
 SIDECAR = "_event_set.json"
 
 
+def provenance(folder: str = ".") -> dict[str, str]:
+    """Branch, time and message of the code's last commit; outdated where they can't be read."""
+    asked = {"branch": ["rev-parse", "--abbrev-ref", "HEAD"], "time": ["log", "-1", "--format=%cI"], "message": ["log", "-1", "--format=%s"]}
+    try:
+        return {k: subprocess.run(["git", "-C", folder, *a], capture_output=True, text=True, check=True).stdout.strip() for k, a in asked.items()} | {"outdated": "False"}
+    except (OSError, subprocess.CalledProcessError):
+        return {"outdated": "True"}
+
+
 def _fs(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target

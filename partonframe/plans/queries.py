@@ -19,8 +19,8 @@ from ..functions import kinematics as K
 from ..functions import udtf
 from ..functions.angles import angular_distance, confine_angle
 from ..functions.factors import ca_distance2, factor, singularity_factor
-from ..operators import decay, integrity, jets, matching, pairwise, references
-from ..operators.cluster import cluster, cluster_batch, from_kinematics, nodes
+from ..operators import decay, integrity, jets, kmeans, matching, pairwise, references
+from ..operators.cluster import cluster, cluster_batch, from_kinematics, nodes, spectral_trace
 from ..operators.kernels import wavelet
 from ..sources import external, particle_data
 from ..sources.parquet import to_wide
@@ -447,6 +447,7 @@ for _name, _algorithm, _params, _flat in (
     ("ca_jets", "GeneralisedKT", {"DeltaR": 0.4}, False),
     ("ratiokt_jets", "GeneralisedKT", {"DeltaR": 0.4, "ExpofPTFormatInput": "ratiokt", "ExpofPTInput": 1.0}, False),
     ("spectral_jets", "Spectral", {}, False),
+    ("spectral_mean_jets", "SpectralMean", {}, False),
     ("wavelet_jets", "Wavelet", {}, True),
     ("cone_jets", "IterativeCone", {"DeltaR": 0.6}, True),
 ):
@@ -556,6 +557,27 @@ def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return external.read_summary(spark, path).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("idx").alias("n_idx"))
 
 
+@query("spectral_trace", _sql("select event_id, count(*) as first_live, true as falling from p group by event_id having count(*) > 1"))
+def spectral_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step of spectral clustering has one live node less than the one before."""
+    steps = spectral_trace(particles(spark, sf_dir))
+    return steps.groupBy("event_id").agg(F.max("n_live").alias("first_live"), (F.max(F.col("n_live") + F.col("step")) == F.min(F.col("n_live") + F.col("step"))).alias("falling"))
+
+
+@query("kmeans_fit", "select count(*) as n, count(distinct label) as k from embeddings")
+def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many clusters as labels, every vector in one."""
+    e = read(spark, sf_dir, "embeddings")
+    k = e.select("label").distinct().count()
+    return kmeans.kmeans(e, k).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").alias("k"))
+
+
+@query("kmeans_by_event", _sql("select event_id, count(*) as n, least(count(*), 3) as k from p group by event_id"))
+def kmeans_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kmeans.kmeans_by_event(particles(spark, sf_dir), 3, ["rapidity", "phi"])
+    return found.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").alias("k"))
+
+
 def _folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
     import atexit
