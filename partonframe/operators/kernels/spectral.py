@@ -33,13 +33,21 @@ class Local:
         grid = np.ix_(keep, keep)
         old = [m[grid] for m in (self.physical2, self.single, self.affine)]
         fresh = self._pair(np.full(len(keep), new), live[keep])
-        self.physical2, self.single, self.affine = (np.block([[m, r[:, None]], [r[None, :], np.array([[d]])]]) for m, r, d in zip(old, fresh, (0.0, 1.0, 0.0), strict=True))
+        self.physical2, self.single, self.affine = (_bordered(*x) for x in zip(old, fresh, (0.0, 1.0, 0.0), strict=True))
 
     def masked(self) -> np.ndarray:
         k = self.p["CutoffKNN"]
         return self.affine if k is None else np.where(nearest(-self.affine, k - 1), self.affine, 0.0)
 
 
+def _bordered(matrix: np.ndarray, row: np.ndarray, corner: float) -> np.ndarray:
+    """A symmetric matrix with one more row and column."""
+    n = len(row)
+    out = np.empty((n + 1, n + 1))
+    out[:n, :n], out[n, :n], out[:n, n], out[n, n] = matrix, row, row, corner
+    return out
+
+
 def embedding_space(matrix: np.ndarray, num_dims: int | None = None, max_eigval: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvalues and eigenvectors (columns) of a symmetric matrix, the first left out: the next ``num_dims``, or all up to ``max_eigval``."""
     if num_dims is None and max_eigval is None:
@@ -102,15 +110,15 @@ def cluster(nodes: Nodes, steps: int | None = None, embedding_update: str = "rec
         f = factor(p["ExpofPTFormatEmbedding"], p["ExpofPTEmbedding"], nodes.pt[live][:, None], nodes.pt[live][None, :])
         raw2 = embedding_distance2(points, p["EmbedDistance"]) * f * f
         distance2 = local.single * raw2
-        below = np.tril_indices(len(live), -1)
+        i, j = divmod(int(distance2.argmin()), len(live))
+        apart = np.sqrt(raw2)
+        least = apart.min()
+        np.fill_diagonal(apart, 0.0)
+        mean = apart.sum() / (len(live) * (len(live) - 1))
         if trace is not None:
-            pair = divmod(int(distance2.argmin()), len(live))
-            trace.append((len(live), points.shape[1], float(np.sqrt(raw2[below]).mean()), float(np.sqrt(raw2[below].min())), *(int(nodes.ints[live[k], 0]) for k in pair)))
-        if p["MaxMeanDist"] is not None and not np.sqrt(raw2[below]).mean() < p["MaxMeanDist"]:
-            break
-        if p["MaxMinDist"] is not None and not np.sqrt(raw2[below].min()) < p["MaxMinDist"]:
+            trace.append((len(live), points.shape[1], float(mean), float(least), *(int(nodes.ints[live[k], 0]) for k in (i, j))))
+        if p["MaxMeanDist"] is not None and not mean < p["MaxMeanDist"] or p["MaxMinDist"] is not None and not least < p["MaxMinDist"]:
             break
-        i, j = divmod(int(distance2.argmin()), len(live))
         suppressed = local.single[i, j]
         new = nodes.merge(live[i], live[j], distance2[i, j])
         keep = np.array([k for k in range(len(live)) if k not in (i, j)], np.int64)
