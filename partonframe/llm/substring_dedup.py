@@ -1,9 +1,10 @@
 """Passages that repeat across documents, by content-defined chunking.
 
-A gear hash rolls over the bytes of a text; where it meets a condition at the end of a word, a chunk ends.
-The condition sees WINDOW bytes only, so the same passage is cut alike wherever it stands, and insertions
-before it shift nothing. Chunks are compared by digest; consecutive chunks that other documents have too make
-up a repeated passage. Its first and last words, up to the nearest cuts, stay outside.
+A gear hash rolls over the bytes of a text; where it meets a condition at the end of a word, a chunk ends, and
+so it does after each sentence and line. The condition sees WINDOW bytes only, so the same passage is cut
+alike wherever it stands, and insertions before it shift nothing. Chunks are compared by digest; consecutive
+chunks that other documents have too make up a repeated passage. Its first and last words, up to the nearest
+cuts, stay outside.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from .skew import salted_join
 
 #: Bytes that a cut depends on; a power of two.
 WINDOW = 16
-#: One word in so many ends a chunk; without blanks, one byte in so many does; and no chunk is longer.
-WORDS_PER_CUT, BYTES_PER_CUT, MOST_BYTES = 5, 4096, 1 << 16
-#: Words in whole shared chunks that make a passage. A passage of 51 words has that many but for one in 200.
-MIN_WORDS = 14
+#: One word in so many ends a chunk by the hash; without blanks, one byte in so many does; and no chunk is longer.
+WORDS_PER_CUT, BYTES_PER_CUT, MOST_BYTES = 6, 4096, 1 << 16
+#: Words in whole shared chunks that make a passage: a passage of 51 words keeps so many after what it loses up
+#: to its first cut, and to its last where it doesn't end a sentence.
+MIN_WORDS = 25
 #: Bytes cut at a time.
 PIECE = 1 << 22
 
@@ -32,6 +34,9 @@ PIECE = 1 << 22
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes that end a sentence before a blank.
+STOP = np.zeros(256, bool)
+STOP[[ord(c) for c in ".!?"]] = True
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
@@ -56,7 +61,8 @@ def _natural(data: np.ndarray, before: int) -> np.ndarray:
         h = h + more
         step *= 2
     place = (h >> np.uint64(40)).astype(np.int64)
-    word = BLANK[data] & (place % WORDS_PER_CUT == 0)
+    stop = (data == 10) | BLANK[data] & np.r_[False, STOP[data[:-1]]]
+    word = stop | BLANK[data] & (place % WORDS_PER_CUT == 0)
     return np.flatnonzero((word | (place % BYTES_PER_CUT == 0))[before:]) + 1
 
 

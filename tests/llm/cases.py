@@ -31,3 +31,10 @@ def documents(spark, texts, first=0):
 def prose(rng, n, vocabulary=4000):
     """Words of an invented language."""
     return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+def sentences(rng, n):
+    """The same in sentences of some ten words."""
+    words = prose(rng, n).split()
+    ends = [w + "." if rng.random() < 0.1 else w for w in words]
+    return " ".join([*ends[:-1], words[-1] + "."])

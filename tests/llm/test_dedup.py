@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from partonframe.llm import exact_dedup, line_dedup, simhash, substring_dedup
 from partonframe.llm.components import components
 from partonframe.llm.scratch import Scratch
-from tests.llm.cases import documents, prose, table
+from tests.llm.cases import documents, prose, sentences, table
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -149,10 +149,10 @@ def test_components(spark):
 
 def test_passages_that_repeat_are_found_and_others_left_alone(spark):
     rng = random.Random(7)
-    passages = [prose(rng, rng.randrange(51, 90)) for _ in range(40)]
-    texts = [f"{prose(rng, 60)} {p} {prose(rng, 33)}" for p in passages]
+    passages = [sentences(rng, rng.randrange(51, 90)) for _ in range(40)]
+    texts = [f"{prose(rng, 60)} {p} {sentences(rng, 33)}" for p in passages]
     copies = [f"{prose(rng, rng.randrange(5, 80))}\n{p}\n{prose(rng, 20)}" for p in passages]
-    clean = [prose(rng, 150) for _ in range(60)]
+    clean = [sentences(rng, 150) for _ in range(60)]
     found = substring_dedup.repeated_passages(documents(spark, texts + copies + clean)).collect()
     pairs = {(r.doc_id, r.other_id) for r in found}
     assert pairs == {(i, 40 + i) for i in range(40)} | {(40 + i, i) for i in range(40)}
