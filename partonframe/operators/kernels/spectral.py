@@ -106,6 +106,8 @@ def cluster(nodes: Nodes, steps: int | None = None, embedding_update: str = "rec
         if points is None or embedding_update == "recompute":
             points = embed(local.masked(), nodes.pt[live], nodes.size[live], p)
         if not points.shape[1]:
+            if trace is not None:
+                trace.append((len(live), 0, np.nan, np.nan, -1, -1))
             break
         f = factor(p["ExpofPTFormatEmbedding"], p["ExpofPTEmbedding"], nodes.pt[live][:, None], nodes.pt[live][None, :])
         raw2 = embedding_distance2(points, p["EmbedDistance"]) * f * f

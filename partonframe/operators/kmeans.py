@@ -21,12 +21,12 @@ def kmeans(points: DataFrame, k: int, vector: str = "embedding", distance: str =
     return model.transform(ready).drop("_features")
 
 
-def kmeans_by_event(points: DataFrame, k: int, columns: list[str], distance: Callable[[np.ndarray, np.ndarray], np.ndarray] = kernel.euclidean, seed: int = 0) -> DataFrame:
+def kmeans_by_event(points: DataFrame, k: int, columns: list[str], distance: Callable[[np.ndarray, np.ndarray], np.ndarray] = kernel.euclidean, seed: int = 0, patience: int = 5) -> DataFrame:
     """(event_id, idx, cluster): k-means within each event by any distance of points to centres; fewer points than k get a cluster each."""
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("idx")
-        labels, _, _ = kernel.fit(g[columns].to_numpy(float), min(k, len(g)), distance, seed=seed)
+        labels, _, _ = kernel.fit(g[columns].to_numpy(float), min(k, len(g)), distance, patience=patience, seed=seed)
         return pd.DataFrame({"event_id": g["event_id"], "idx": g["idx"], "cluster": labels})
 
     return points.select("event_id", "idx", *columns).groupBy("event_id").applyInPandas(one, "event_id long, idx long, cluster long")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,11 +54,13 @@ def match_events(left: DataFrame, right: DataFrame, key: str = KEY) -> DataFrame
     """(left_id, right_id) of every left event; -1 where nothing matches.
 
     The least gap is matched first, each event once; ties go to the least ids. Candidates never cross keys,
-    so the assignment runs per key; keys with a single candidate need none.
+    so the assignment runs per key; candidates that are the only one of both their events need none.
     """
     found = candidates(left, right, key)
-    counted = found.join(found.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key)
-    single = counted.where("n = 1").select("left_id", "right_id")
-    several = counted.where("n > 1").select(key, "left_id", "right_id", "gap").groupBy(key).applyInPandas(_greedy, "left_id long, right_id long")
+    rivals = F.greatest(*[F.count(F.lit(1)).over(Window.partitionBy(key, c)) for c in ("left_id", "right_id")])
+    counted = found.withColumn("rivals", rivals)
+    single = counted.where("rivals = 1").select("left_id", "right_id")
+    # an event with rivals competes with candidates of its rivals only, all of which have rivals themselves
+    several = counted.where("rivals > 1").select(key, "left_id", "right_id", "gap").groupBy(key).applyInPandas(_greedy, "left_id long, right_id long")
     pairs = single.select(F.col("left_id").cast("long"), F.col("right_id").cast("long")).union(several)
     return left.select(F.col("event_id").cast("long").alias("left_id")).join(pairs, "left_id", "left").withColumn("right_id", F.coalesce("right_id", F.lit(-1).cast("long")))

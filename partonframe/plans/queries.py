@@ -179,10 +179,9 @@ def affinity_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _laplacian(norm: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        p, pairs = _affine(spark, sf_dir)
         on = F.col("i") == F.col("j")
         value = F.col("value")
-        return pairwise.laplacian(pairs, p, norm).groupBy("event_id").agg(rounded(F.sum(F.when(on, value)), "trace"), rounded(F.sum(value * value), "frobenius2"), rounded(F.min(F.when(~on, value)), "low"))
+        return pairwise.graph_laplacian(particles(spark, sf_dir), SIGMA, norm=norm).groupBy("event_id").agg(rounded(F.sum(F.when(on, value)), "trace"), rounded(F.sum(value * value), "frobenius2"), rounded(F.min(F.when(~on, value)), "low"))
 
     return run
 
@@ -574,7 +573,7 @@ def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("kmeans_by_event", _sql("select event_id, count(*) as n, least(count(*), 3) as k from p group by event_id"))
 def kmeans_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = kmeans.kmeans_by_event(particles(spark, sf_dir), 3, ["rapidity", "phi"])
+    found = kmeans.kmeans_by_event(particles(spark, sf_dir), 3, ["rapidity", "phi"], patience=2)
     return found.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").alias("k"))
 
 

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import NODE_FLOATS, NODE_INTS, NODES
@@ -26,8 +26,9 @@ def summary_lines(particles: DataFrame) -> DataFrame:
 
 
 def write_summary(particles: DataFrame, path: str) -> None:
-    """The lines as text files, in a folder per event."""
-    summary_lines(particles).repartition("event_id").sortWithinPartitions("event_id").write.mode("overwrite").partitionBy("event_id").text(path)
+    """The lines as text files, each after its event and a tab; the events of a file are whole and in order."""
+    lines = summary_lines(particles).repartition("event_id").sortWithinPartitions("event_id")
+    lines.select(F.concat_ws("\t", F.col("event_id").cast("string"), "value").alias("value")).write.mode("overwrite").text(path)
 
 
 def parse_clusters(lines: list[str]) -> tuple[dict[str, object], np.ndarray, np.ndarray]:
@@ -133,10 +134,11 @@ def read_lines(batches: Iterator[list[str]]) -> Iterator[tuple]:
         yield parse_clusters(lines)
 
 
-def read_summary(spark, path: str) -> DataFrame:
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
     """Particles of text files of :func:`write_summary`."""
-    fields = "idx long, px double, py double, pz double, energy double"
-    return spark.read.csv(path, sep=" ", schema=fields).select(F.col("event_id").cast("long").alias("event_id"), "idx", "px", "py", "pz", "energy")
+    halves = F.split("value", "\t", 2)
+    fields = F.split(halves[1], " ")
+    return spark.read.text(path).select(halves[0].cast("long").alias("event_id"), fields[0].cast("long").alias("idx"), *[fields[i + 1].cast("double").alias(c) for i, c in enumerate(("px", "py", "pz", "energy"))])
 
 
 def answer_lines(nodes: DataFrame, delta_r: float, algorithm: str) -> DataFrame:
