@@ -25,7 +25,7 @@ CYCLE = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
 BLOCK_WORDS = 1024
 #: Rows that one task orders at a time.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 #: Sources up to which their table is broadcast; with more it is joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 
