@@ -205,28 +205,41 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit({x: (gram.filter(pc.equal(lang, x)).to_numpy(zero_copy_only=False), n.filter(pc.equal(lang, x)).to_numpy(zero_copy_only=False)) for x in pc.unique(lang).to_pylist()})
 
 
+def _scored(known: Model | None, text: pa.Array, lettered: pa.Array) -> tuple[list, list, list]:
+    """Language, score and bits per byte of each text."""
+    names, scores, lengths = [], [], []
+    for at in range(0, len(text), 256):
+        part = [x.as_buffer().to_pybytes().lower() if y else b"" for x, y in zip(text[at : at + 256], lettered[at : at + 256].to_pylist(), strict=True)]
+        if known is None:
+            names += [UNDETERMINED] * len(part)
+            scores += [0.0] * len(part)
+            lengths += [None] * len(part)
+            continue
+        bits = known.code_lengths(part)
+        best = bits.argmin(1)
+        odds = np.exp2(bits[np.arange(len(part)), best][:, None] - bits)
+        for i, x in enumerate(part):
+            names.append(known.languages[best[i]] if x else UNDETERMINED)
+            scores.append(float(1 / odds[i].sum()) if x else 0.0)
+            lengths.append(float(bits[i, best[i]] / len(x)) if x else None)
+    return names, scores, lengths
+
+
 def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    known: Model | None = model.value if model else None
     for batch in batches:
         ids, held, lettered, text = (batch.column(i) for i in range(4))
-        names, scores, lengths = [], [], []
-        for at in range(0, len(ids), 256):
-            part = [x.as_buffer().to_pybytes().lower() if y else b"" for x, y in zip(text[at : at + 256], lettered[at : at + 256].to_pylist(), strict=True)]
-            if known is None:
-                names += [UNDETERMINED] * len(part)
-                scores += [0.0] * len(part)
-                lengths += [None] * len(part)
-                continue
-            bits = known.code_lengths(part)
-            best = bits.argmin(1)
-            odds = np.exp2(bits[np.arange(len(part)), best][:, None] - bits)
-            for i, x in enumerate(part):
-                names.append(known.languages[best[i]] if x else UNDETERMINED)
-                scores.append(float(1 / odds[i].sum()) if x else 0.0)
-                lengths.append(float(bits[i, best[i]] / len(x)) if x else None)
+        names, scores, lengths = _scored(model.value if model else None, text, lettered)
         yield pa.RecordBatch.from_arrays([ids, held, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(lengths, pa.float64())], ["id", "held_out", "lang_pred", "score", "bits_per_byte"])
 
 
+def _keep(batches: Iterator[pa.RecordBatch], model, column: int, min_score: float) -> Iterator[pa.RecordBatch]:
+    """The rows that pass, without the last column, which says whether a text has a letter."""
+    for batch in batches:
+        names, scores, _ = _scored(model.value if model else None, batch.column(column), batch.column(batch.num_columns - 1))
+        good = pa.array([n != UNDETERMINED and s >= min_score for n, s in zip(names, scores, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(good)
+
+
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, held_out, lang_pred, score (probability of the language among the learned ones, all as
     likely before) and bits_per_byte (its code length by the text's bytes).
@@ -247,7 +260,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose language is determined with at least ``min_score``, with all their columns."""
-    verdict = identify(docs, learn(docs, id_col, text_col, lang_col), id_col, text_col)
-    gone = verdict.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < min_score)).select(F.col(id_col).alias("_pf_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_pf_gone")), "left_anti")
+    """The rows of ``docs`` whose language is determined with at least ``min_score``, with all their columns; no row moves."""
+    model = learn(docs, id_col, text_col, lang_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model) if model else None
+    flagged = docs.withColumn("_pf_lettered", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    return flagged.mapInArrow(partial(_keep, model=shared, column=docs.columns.index(text_col), min_score=min_score), docs.schema)
