@@ -1,10 +1,12 @@
 """Passages that repeat across documents, by content-defined chunking.
 
-A gear hash rolls over the bytes of a text; where it meets a condition at the end of a word, a chunk ends, and
-so it does after each sentence and line. The condition sees WINDOW bytes only, so the same passage is cut
-alike wherever it stands, and insertions before it shift nothing. Chunks are compared by digest; consecutive
-chunks that other documents have too make up a repeated passage. Its first and last words, up to the nearest
-cuts, stay outside.
+A gear hash rolls over the bytes of a text, one blank between words; a chunk ends where it is the least of
+NEAR successive word ends. It sees WINDOW bytes only, so the same passage is cut alike wherever it stands, and
+insertions before it shift nothing. Around each cut the LEAD words before it, which hold the hash's bytes, and
+those after it make a gram of GRAM words. Every run of MIN_PASSAGE words holds NEAR successive grams whole, of which
+one is at a cut wherever the run stands; so all passages of that length have a gram in common, which is
+compared by digest. Consecutive grams that other documents have too make up a repeated passage. Its first and
+last words, fewer than NEAR at each end, stay outside.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ from .skew import salted_join
 
 #: Bytes that a cut depends on; a power of two.
 WINDOW = 16
-#: One word in so many ends a chunk by the hash; without blanks, one byte in so many does; and no chunk is longer.
-WORDS_PER_CUT, BYTES_PER_CUT, MOST_BYTES = 6, 4096, 1 << 16
-#: Words in whole shared chunks that make a passage: a passage of 51 words keeps so many after what it loses up
-#: to its first cut, and to its last where it doesn't end a sentence.
-MIN_WORDS = 25
+#: Words of a passage that is never missed, and word ends among which the one with the least hash is a cut.
+MIN_PASSAGE, NEAR = 51, 9
+#: Words of a gram, and how many of them stand before the cut: WINDOW bytes are of so many words at most.
+GRAM, LEAD = MIN_PASSAGE - NEAR + 1, WINDOW // 2
+#: Words in shared grams that make a passage.
+MIN_WORDS = GRAM
 #: Bytes cut at a time.
 PIECE = 1 << 22
 
@@ -34,25 +37,23 @@ PIECE = 1 << 22
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
-#: Bytes that end a sentence before a blank.
-STOP = np.zeros(256, bool)
-STOP[[ord(c) for c in ".!?"]] = True
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
     """Ends of the chunks of a text's bytes."""
-    ends = [_natural(data[max(0, at - WINDOW) : at + PIECE], min(at, WINDOW)) + at for at in range(0, len(data), PIECE)]
-    found = np.append(np.concatenate(ends) if ends else np.zeros(0, np.int64), len(data))
-    found = found[: len(found) - (len(found) > 1 and found[-2] == len(data))]
-    wide = np.flatnonzero(np.diff(found, prepend=0) > MOST_BYTES)
-    if len(wide):
-        starts = np.r_[0, found][wide]
-        found = np.sort(np.concatenate([found, *(np.arange(s + MOST_BYTES, e, MOST_BYTES) for s, e in zip(starts, found[wide], strict=True))]))
-    return found
-
-
-def _natural(data: np.ndarray, before: int) -> np.ndarray:
-    """Cuts after each byte that meets the condition; the first ``before`` bytes are context. Relative to the first byte after them."""
+    parts = [_word_ends(data[max(0, at - WINDOW) : at + PIECE], min(at, WINDOW)) for at in range(0, len(data), PIECE)]
+    found = np.zeros(0, np.int64)
+    if parts:
+        places = np.concatenate([p + at for (p, _), at in zip(parts, range(0, len(data), PIECE), strict=True)])
+        values = np.concatenate([v for _, v in parts])
+        if len(values) >= NEAR:
+            least = np.lib.stride_tricks.sliding_window_view(values, NEAR).argmin(axis=1) + np.arange(len(values) - NEAR + 1)
+            found = places[least[np.r_[True, least[1:] != least[:-1]]]]
+    return found if len(found) and found[-1] == len(data) else np.append(found, len(data))
+
+
+def _word_ends(data: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places after the first blank behind each word, and the gear hash there; the first ``before`` bytes are context. Relative to the first byte after them."""
     h = GEAR[data]
     step = 1
     while step < WINDOW:
@@ -60,28 +61,36 @@ def _natural(data: np.ndarray, before: int) -> np.ndarray:
         more[step:] = h[:-step] << np.uint64(step)
         h = h + more
         step *= 2
-    place = (h >> np.uint64(40)).astype(np.int64)
-    stop = (data == 10) | BLANK[data] & np.r_[False, STOP[data[:-1]]]
-    word = stop | BLANK[data] & (place % WORDS_PER_CUT == 0)
-    return np.flatnonzero((word | (place % BYTES_PER_CUT == 0))[before:]) + 1
+    blank = BLANK[data]
+    at = np.flatnonzero((blank & ~np.r_[True, blank[:-1]])[before:])
+    # the upper bits see all WINDOW bytes
+    return at + 1, h[before:][at] >> np.uint64(16)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, mark, ends, words, digests) of every text."""
+    """(id, mark, words, starts, ends, digests) of every text: the first word of each gram, its bytes and digest."""
     for batch in batches:
-        ends, words, digests = [], [], []
+        words, starts, ends, digests = [], [], [], []
         for x in batch.column(2):
             text = x.as_buffer().to_pybytes() if x.is_valid else b""
-            data = np.frombuffer(text, np.uint8)
-            e = cuts(data) if len(data) else np.zeros(0, np.int64)
-            blank = BLANK[data]
-            begins = np.cumsum(~blank & np.r_[True, blank[:-1]]) if len(data) else blank.astype(np.int64)
-            ends.append(e)
-            words.append(np.diff(begins[e - 1], prepend=0).astype(np.int32))
-            places = [0, *e.tolist()]
-            digests.append(np.array([xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(places[:-1], places[1:], strict=True)], np.uint64).view(np.int64))
-        made = [_lists(ends, pa.int64()), _lists(words, pa.int32()), _lists(digests, pa.int64())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "mark", "ends", "words", "digests"])
+            plain = b" ".join(text.split())
+            n = plain.count(b" ") + 1
+            if n < GRAM:
+                parts = [np.zeros(0, np.int64)] * 4
+            else:
+                data, blank = np.frombuffer(plain, np.uint8), BLANK[np.frombuffer(text, np.uint8)]
+                # where the words begin and end in the text, and in the text with one blank between words
+                begin, end = np.flatnonzero(~blank & np.r_[True, blank[:-1]]), np.flatnonzero(~blank & np.r_[blank[1:], True]) + 1
+                begins = np.r_[0, np.flatnonzero(data == 32) + 1]
+                first = np.searchsorted(begins, cuts(data)[:-1]) - LEAD
+                first = first[(first >= 0) & (first + GRAM <= n)]
+                froms, tos = begins[first], np.r_[begins[1:] - 1, len(data)][first + GRAM - 1]
+                made = [xxhash.xxh3_64_intdigest(plain[a:b]) for a, b in zip(froms.tolist(), tos.tolist(), strict=True)]
+                parts = [first, begin[first], end[first + GRAM - 1], np.array(made, np.uint64).view(np.int64)]
+            for held, part in zip((words, starts, ends, digests), parts, strict=True):
+                held.append(part)
+        made = [*(_lists([p.astype(np.int32) for p in x], pa.int32()) for x in (words, starts, ends)), _lists(digests, pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "mark", "words", "starts", "ends", "digests"])
 
 
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -92,10 +101,11 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
     """A row for every passage that another document has too: ``id_col``, other_id, start, end, n_words, removed, mark.
 
-    start and end are bytes of the UTF-8 text; n_words counts the words of whole shared chunks. other_id is the
-    first document that has most of the passage's chunks, or the last one where this document is the first;
+    start and end are bytes of the UTF-8 text; n_words counts its words. other_id is the
+    first document that has most of the passage's grams, or the last one where this document is the first;
     ``removed`` is false there, so every passage stays once. mark names the text (its hash). Defined cases:
-    null and empty texts have no passages; a passage that repeats within one document only is none; rows that
+    null and empty texts have no passages, nor
+    have texts of fewer than GRAM words between blanks; blanks of any kind and number are alike; a passage that repeats within one document only is none; rows that
     repeat an id are one document; a null id is no other document; an empty table gives an empty result;
     extra columns are ignored; texts are cut to their end.
     """
@@ -105,7 +115,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     id_type = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("text"))
-    facts = scratch.table(plain.mapInArrow(_chunks, f"id {id_type}, mark bigint, ends array<bigint>, words array<int>, digests array<bigint>").withColumn("row", F.monotonically_increasing_id()))
+    facts = scratch.table(plain.mapInArrow(_chunks, f"id {id_type}, mark bigint, words array<int>, starts array<int>, ends array<int>, digests array<bigint>").withColumn("row", F.monotonically_increasing_id()))
 
     chunks = facts.select("row", "id", F.posexplode("digests").alias("at", "digest"))
     common = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -115,14 +125,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = salted_join(alike, spread, ["digest"], "n", total, F.col("row"))
     other = F.when(F.col("id") == F.col("low"), F.col("high")).otherwise(F.col("low"))
 
-    # consecutive shared chunks of a document have the same difference of place and rank
+    # consecutive shared grams of a document have the same difference of place and rank
     rank = F.row_number().over(Window.partitionBy("row").orderBy("at"))
     runs = shared.select("row", "at", other.alias("other_id")).withColumn("run", F.col("at") - rank)
     runs = runs.groupBy("row", "run").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.mode("other_id", True).alias("other_id"))
     found = facts.drop("digests").join(runs, "row")
-    words = F.aggregate(F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + 1), F.lit(0), lambda a, b: a + b)
-    start = F.when(F.col("first") == 0, F.lit(0)).otherwise(F.get("ends", F.col("first") - 1))
-    out = found.select(F.col("id").alias(id_col), "other_id", start.cast("long").alias("start"), F.get("ends", F.col("last")).alias("end"), words.cast("long").alias("n_words"), (F.col("other_id") < F.col("id")).alias("removed"), "mark")
+    words = F.get("words", F.col("last")) - F.get("words", F.col("first")) + GRAM
+    out = found.select(F.col("id").alias(id_col), "other_id", F.get("starts", F.col("first")).cast("long").alias("start"), F.get("ends", F.col("last")).cast("long").alias("end"), words.cast("long").alias("n_words"), (F.col("other_id") < F.col("id")).alias("removed"), "mark")
     return out.where(F.col("n_words") >= min_words)
 
 

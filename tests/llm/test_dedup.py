@@ -165,6 +165,19 @@ def test_passages_that_repeat_are_found_and_others_left_alone(spark):
     assert all(len(kept[40 + i]) < len(copies[i]) for i in range(40))
 
 
+@pytest.mark.parametrize("end", ["", "。"])
+def test_no_passage_of_51_words_is_missed(spark, end):
+    rng = random.Random(13)
+    passages = [" ".join(w + end * (rng.random() < 0.1) for w in prose(rng, 51).split()) for _ in range(400)]
+    texts = [f"{prose(rng, 30)} {p} {prose(rng, 30)}" for p in passages]
+    copies = [f"{prose(rng, 30)}\n{p.replace(' ', rng.choice([' ', '  ', chr(10)]))} {prose(rng, 30)}" for p in passages]
+    found = substring_dedup.repeated_passages(documents(spark, texts + copies)).collect()
+    assert {(r.doc_id, r.other_id) for r in found} == {(i, (i + 400) % 800) for i in range(800)}
+    for r in found:
+        part = (texts + copies)[r.doc_id].encode()[r.start : r.end].decode()
+        assert " ".join(part.split()) in passages[r.doc_id % 400] and len(part.split()) == r.n_words >= 43
+
+
 def test_insertions_shift_only_nearby_chunks():
     rng = random.Random(1)
     text = prose(rng, 2000).encode()
