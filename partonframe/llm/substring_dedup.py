@@ -12,6 +12,7 @@ last words, fewer than NEAR at each end, stay outside.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -98,14 +99,79 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts) if parts else [], kind))
 
 
+def _passages(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of :func:`repeated_passages` from (id, mark, words, starts, ends, parts) of every text."""
+    for batch in batches:
+        docs, parts, rows = [], [], []
+        offsets, flat = batch.column(5).offsets.to_pylist(), batch.column(5).values
+        places = np.stack([flat.field(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
+        for doc, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+            own = places[a:b]
+            order = np.argsort(own[:, 0])
+            words, starts, ends = (batch.column(i)[doc].values.to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+            for k, *row in _stretches(own[order].tolist(), words.tolist(), starts.tolist(), ends.tolist(), min_words):
+                docs.append(doc)
+                parts.append(a + int(order[k]))
+                rows.append(row)
+        start, end, n_words, removed = zip(*rows, strict=True) if rows else ((),) * 4
+        doc = pa.array(docs, pa.int32())
+        made = [batch.column(0).take(doc), flat.field(3).take(pa.array(parts, pa.int32())), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(n_words, pa.int64()), pa.array(removed, pa.bool_()), batch.column(1).take(doc)]
+        yield pa.RecordBatch.from_arrays(made, ["id", "other_id", "start", "end", "n_words", "removed", "mark"])
+
+
+def _stretches(parts: list[list[int]], words: list[int], starts: list[int], ends: list[int], min_words: int) -> Iterator[tuple[int, int, int, int, bool]]:
+    """(part, start, end, words, removed) for a text's parts (first gram, last gram, later) in their order.
+
+    What is removed leaves out the grams that stay, so that each is whole in its first document, and what an
+    earlier part removes.
+    """
+    spans = [((words[first], starts[first]), (words[last] + GRAM, ends[last])) for first, last, _ in parts]
+    stay: list[list[tuple[int, int]]] = []
+    for (_, _, later), (low, high) in zip(parts, spans, strict=True):
+        if later:
+            continue
+        if stay and low <= stay[-1][1]:
+            stay[-1][1] = high
+        else:
+            stay.append([low, high])
+    # neighbours make up a passage, whichever partners they have
+    size, head = [0] * len(parts), 0
+    for k in range(len(parts)):
+        if k + 1 == len(parts) or parts[k + 1][0] > parts[k][1] + 1:
+            size[head : k + 1] = [spans[k][1][0] - spans[head][0][0]] * (k + 1 - head)
+            head = k + 1
+    gone, near = (0, 0), 0
+    for k, (low, high) in enumerate(spans):
+        if size[k] < min_words:
+            continue
+        left = []
+        if parts[k][2]:
+            at = max(low, gone)
+            while near < len(stay) and stay[near][1] <= at:
+                near += 1
+            next_one = near
+            while next_one < len(stay) and stay[next_one][0] < high:
+                a, b = stay[next_one]
+                next_one += 1
+                if at < a:
+                    left.append((at, a))
+                at = max(at, b)
+            if at < high:
+                left.append((at, high))
+            gone = high
+        for a, b in left or [(low, high)]:
+            yield k, a[1], b[1], b[0] - a[0], bool(left)
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
     """A row for every passage that another document has too: ``id_col``, other_id, start, end, n_words, removed, mark.
 
-    start and end are bytes of the UTF-8 text; n_words counts its words. other_id is the
-    first document that has most of the passage's grams, or the last one where this document is the first;
-    ``removed`` is false there, so every passage stays once. mark names the text (its hash). Defined cases:
-    null and empty texts have no passages, nor
-    have texts of fewer than GRAM words between blanks; blanks of any kind and number are alike; a passage that repeats within one document only is none; rows that
+    start and end are bytes of the UTF-8 text; n_words counts its words. A passage has a row for each stretch of
+    grams with the same other_id: the first document that has them, or the last one where this document is the
+    first. ``removed`` is false there, and removed rows leave out the words of such grams and of each other, so
+    every gram stays whole in its first document; ``min_words`` is of the passage. mark names the text (its hash).
+    Defined cases: null and empty texts have no passages, nor have texts of fewer than GRAM words between blanks;
+    blanks of any kind and number are alike; a passage that repeats within one document only is none; rows that
     repeat an id are one document; a null id is no other document; an empty table gives an empty result;
     extra columns are ignored; texts are cut to their end.
     """
@@ -125,14 +191,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = salted_join(alike, spread, ["digest"], "n", total, F.col("row"))
     other = F.when(F.col("id") == F.col("low"), F.col("high")).otherwise(F.col("low"))
 
-    # consecutive shared grams of a document have the same difference of place and rank
-    rank = F.row_number().over(Window.partitionBy("row").orderBy("at"))
-    runs = shared.select("row", "at", other.alias("other_id")).withColumn("run", F.col("at") - rank)
-    runs = runs.groupBy("row", "run").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.mode("other_id", True).alias("other_id"))
-    found = facts.drop("digests").join(runs, "row")
-    words = F.get("words", F.col("last")) - F.get("words", F.col("first")) + GRAM
-    out = found.select(F.col("id").alias(id_col), "other_id", F.get("starts", F.col("first")).cast("long").alias("start"), F.get("ends", F.col("last")).cast("long").alias("end"), words.cast("long").alias("n_words"), (F.col("other_id") < F.col("id")).alias("removed"), "mark")
-    return out.where(F.col("n_words") >= min_words)
+    # consecutive grams of a document with the same partner, hence the same verdict, have the same difference of place and rank
+    rank = F.row_number().over(Window.partitionBy("row", "other_id").orderBy("at"))
+    parts = shared.select("row", "at", other.alias("other_id"), (F.col("id") > F.col("low")).alias("later")).withColumn("part", F.col("at") - rank)
+    parts = parts.groupBy("row", "other_id", "part").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("later").alias("later"))
+    parts = parts.groupBy("row").agg(F.collect_list(F.struct("first", "last", F.coalesce("later", F.lit(False)).alias("later"), "other_id")).alias("parts"))
+    found = facts.join(parts, "row").select("id", "mark", "words", "starts", "ends", "parts")
+    kinds = f"id {id_type}, other_id {id_type}, start bigint, end bigint, n_words bigint, removed boolean, mark bigint"
+    return found.mapInArrow(partial(_passages, min_words), kinds).withColumnRenamed("id", id_col)
 
 
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:

@@ -178,6 +178,44 @@ def test_no_passage_of_51_words_is_missed(spark, end):
         assert " ".join(part.split()) in passages[r.doc_id % 400] and len(part.split()) == r.n_words >= 43
 
 
+@pytest.mark.parametrize("sizes", [(120, 60), (60, 120)])
+def test_adjacent_passages_of_different_partners_stay_once_each(spark, sizes):
+    rng = random.Random(9)
+    one, two = (sentences(rng, n) for n in sizes)
+    own = [sentences(rng, 40) for _ in range(6)]
+    texts = [f"{own[0]} {one} {own[1]}", f"{own[2]} {one} {two} {own[3]}", f"{own[4]} {two} {own[5]}"]
+    df = documents(spark, texts)
+    found = substring_dedup.repeated_passages(df).collect()
+    assert {(r.doc_id, r.other_id, r.removed) for r in found} == {(0, 1, False), (1, 0, True), (1, 2, False), (2, 1, True)}
+    for r in found:
+        part = texts[r.doc_id].encode()[r.start : r.end].decode().strip()
+        assert part in (one if {r.doc_id, r.other_id} == {0, 1} else two)
+    kept = [r.text for r in substring_dedup.drop_repeated_passages(df).orderBy("doc_id").collect()]
+    middle = lambda p: " ".join(p.split()[20:-20])
+    assert [sum(middle(p) in t for t in kept) for p in (one, two)] == [1, 1] and one in kept[0] and two in kept[1]
+
+
+def test_every_gram_stays_in_its_first_document(spark):
+    rng = random.Random(10)
+    words = [f"w{i}" for i in range(3000)]
+    starts = [rng.randrange(2600) for _ in range(60)]
+    texts = [" ".join(words[a : a + rng.randrange(60, 400)]) for a in starts]
+    df = documents(spark, texts)
+    found = substring_dedup.repeated_passages(df).collect()
+    kept = [r.text.split() for r in substring_dedup.drop_repeated_passages(df).orderBy("doc_id").collect()]
+    assert set(words).intersection(*[" ".join(texts).split()]) == {w for t in kept for w in t}
+    for i, t in enumerate(texts):
+        mine = sorted((r.start, r.end, r.n_words) for r in found if r.doc_id == i and r.removed)
+        assert all(a[1] <= b[0] for a, b in zip(mine, mine[1:]))
+        assert all(len(t.encode()[a:b].decode().split()) == n for a, b, n in mine)
+        assert len(kept[i]) == len(t.split()) - sum(n for _, _, n in mine)
+    stays = [set(k) for k in kept]
+    for r in found:
+        if not r.removed and r.other_id > r.doc_id:
+            assert set(texts[r.doc_id].encode()[r.start : r.end].decode().split()) <= stays[r.doc_id]
+    assert sum(map(len, kept)) < 0.5 * sum(len(t.split()) for t in texts)
+
+
 def test_insertions_shift_only_nearby_chunks():
     rng = random.Random(1)
     text = prose(rng, 2000).encode()
