@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +51,11 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _mark(text: Column) -> Column:
+    """Hash of a text; with its id and source it names a row."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 class Mix:
     """What a mix holds. ``facts``: a row per document; ``sources``: a row per source; ``pieces``: a row per
     document, slot and pass (slot, row, repeat, first, words: the words [first, first + words) of the text)."""
@@ -68,7 +73,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), _mark(F.col(text_col)).alias("mark"))
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), F.col("id").cast("string"), "size")).withColumn("row", F.monotonically_increasing_id())
     facts = scratch.table(rows)
 
@@ -136,15 +141,20 @@ def taken(plan: Mix) -> DataFrame:
     return rows.select("id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, plan: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mixed_documents(docs: DataFrame, plan: Mix, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix as documents, with the columns of ``docs``: a row for every time that the mix takes a document.
 
     The last document of a source's stream may be cut by the source's target; it is a row if at least half of
-    its words are taken. Documents that the mix doesn't take are left out. Rows that repeat an id share
-    the id's rows in the mix, so ids should be unique here.
+    its words are taken. Documents that the mix doesn't take are left out. Rows are told apart by id, source and
+    text, so ids may be null or repeat; of rows that agree in all three, one stands for all, as often as they are taken together.
     """
     passes = plan.pieces.groupBy("row", "repeat").agg(F.sum("words").alias("words"))
-    whole = passes.join(plan.facts, "row").where(2 * F.col("words") >= F.col("size"))
-    times = whole.groupBy(F.col("id").alias("_pf_id")).agg(F.count(F.lit(1)).cast("int").alias("_pf_times"))
-    found = docs.join(times, docs[id_col].eqNullSafe(F.col("_pf_id")))
+    whole = passes.join(plan.facts, "row").where(2 * F.col("words") >= F.col("size")).groupBy(F.col("row").alias("_row")).agg(F.count(F.lit(1)).alias("passes"))
+    named = plan.facts.join(whole, F.col("row") == F.col("_row"), "left")
+    name = [F.col(c).alias(f"_pf_{c}") for c in ("id", "source", "mark")]
+    times = named.groupBy(*name).agg(F.count(F.lit(1)).alias("_pf_n"), F.sum("passes").cast("int").alias("_pf_times")).where("_pf_times > 0")
+    match = docs[id_col].eqNullSafe(F.col("_pf_id")) & docs[source_col].cast("string").eqNullSafe(F.col("_pf_source")) & (_mark(docs[text_col]) == F.col("_pf_mark"))
+    found = docs.join(times, match)
+    if not plan.facts.groupBy("id", "source", "mark").count().where("count > 1").isEmpty():
+        found = found.where("_pf_n = 1").unionByName(found.where("_pf_n > 1").dropDuplicates(["_pf_id", "_pf_source", "_pf_mark"]))
     return found.withColumn("_pf_time", F.explode(F.sequence(F.lit(1), F.col("_pf_times")))).select(*docs.columns)

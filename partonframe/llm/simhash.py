@@ -19,7 +19,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -74,7 +74,8 @@ def fingerprint_of(texts: list[bytes]) -> np.ndarray:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprint_of(texts).view(np.int64))], ["id", "fp"])
+        rest = [batch.column(i) for i in range(2, batch.num_columns)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprint_of(texts).view(np.int64)), *rest], ["id", "fp", *batch.schema.names[2:]])
 
 
 def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -156,12 +157,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their class; a null id is in its class but never names it, unless the class has no other; an empty table
     gives an empty result; extra columns are ignored.
     """
+    out = _classes(docs, id_col, text_col, scratch, named=False)
+    return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _mark(text: Column) -> Column:
+    """Hash of a text; with its id it names a row."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch | None, named: bool) -> DataFrame:
+    """(id, fp, component_id) of every row; if ``named``, also its mark and ``root``, which names the class where ids are null or repeat."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     bound_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    facts = scratch.table(plain.mapInArrow(_fingerprints, f"id {id_type}, fp bigint"))
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), *[_mark(F.col(text_col)).alias("mark")] * named)
+    facts = scratch.table(plain.mapInArrow(_fingerprints, f"id {id_type}, fp bigint" + ", mark bigint" * named))
     total = facts.count()
     distinct = scratch.table(facts.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
 
@@ -172,13 +184,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rooted = distinct.join(links, distinct["fp"] == links["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    labelled = salted_join(rooted, classes, ["root"], "members", total, F.col("fp")).select("fp", "n", "component_id")
-    out = salted_join(facts, labelled, ["fp"], "n", total, F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labelled = salted_join(rooted, classes, ["root"], "members", total, F.col("fp")).select("fp", "n", "component_id", *["root"] * named)
+    return salted_join(facts, labelled, ["fp"], "n", total, F.col("id")).select("id", "fp", "component_id", *["mark", "root"] * named)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """The rows of ``docs`` that name their class, one document of each, with all their columns."""
-    verdict = near_duplicates(docs, id_col, text_col, scratch)
-    gone = verdict.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_pf_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_pf_gone")), "left_anti")
+    """One row of ``docs`` of each class, with all columns: the row with the least id, and of rows that repeat it, one.
+
+    Rows are told apart by id and text, so ids may be null or repeat; a null id stays only in a class that has no other.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    verdict = _classes(docs, id_col, text_col, scratch, named=True)
+    names = verdict.groupBy(F.col("id").alias("_pf_id"), F.col("mark").alias("_pf_mark"), "root").agg(F.count(F.lit(1)).alias("_pf_n"), F.first("component_id").alias("component_id"))
+    names = scratch.table(names.withColumn("first", F.col("_pf_id").eqNullSafe(F.col("component_id"))).drop("component_id"))
+    # several texts with the id that names the class: the one with the least hash stays
+    rivals = names.where("first").groupBy("root").agg(F.min("_pf_mark").alias("least"), F.count(F.lit(1)).alias("rivals")).where("rivals > 1")
+    ranked = salted_join(names.where("first"), rivals, ["root"], "rivals", names.count(), F.col("_pf_mark"))
+    gone = names.where("not first").select("_pf_id", "_pf_mark").unionByName(ranked.where("_pf_mark != least").select("_pf_id", "_pf_mark"))
+    match = docs[id_col].eqNullSafe(F.col("_pf_id")) & (_mark(docs[text_col]) == F.col("_pf_mark"))
+    stay = docs.join(gone, match, "left_anti")
+    again = names.where("first and _pf_n > 1").select("_pf_id", "_pf_mark")
+    if again.isEmpty():
+        return stay
+    repeated = stay.join(again, match, "left_semi").withColumn("_pf_mark", _mark(F.col(text_col))).dropDuplicates([id_col, "_pf_mark"]).drop("_pf_mark")
+    return stay.join(again, match, "left_anti").unionByName(repeated)

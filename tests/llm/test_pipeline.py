@@ -7,7 +7,9 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
+from partonframe.llm.mixing import mix, mixed_documents
 from partonframe.llm.queries import tokenizer_path
+from partonframe.llm.simhash import drop_near_duplicates
 from tests.llm.cases import prose, table
 from tests.llm.test_dedup import UPPER, brute_components, brute_fingerprint
 
@@ -79,3 +81,23 @@ def test_stages_take_awkward_rows(spark, rows, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
+
+
+def test_near_keeps_one_of_each_class_whatever_the_ids(spark):
+    rng = random.Random(17)
+    a, b, c, d, e, f = (prose(rng, 300) for _ in range(6))
+    # a null id and a repeated one in classes that others name, and unique texts and names of classes with the same ids
+    rows = [(1, a), (None, a.upper()), (None, b), (2, c), (2, d), (3, d.upper()), (None, e), (None, e.upper()), (5, f), (2, f), (2, f)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int")
+    got = sorted((r.text.lower(), -1 if r.doc_id is None else r.doc_id) for r in drop_near_duplicates(df).collect())
+    assert got == sorted([(a, 1), (b, -1), (c, 2), (d, 2), (e, -1), (f, 2)])
+
+
+def test_the_mix_takes_rows_of_any_ids_three_times_at_most(spark):
+    rng = random.Random(19)
+    rows = [(None if i % 2 else 7, prose(rng, rng.randrange(40, 60)), f"s{i % 3}") for i in range(90)]
+    rows += [(7, rows[0][1], "s0")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    times = Counter(r.text for r in mixed_documents(df, mix(df, block_words=16)).collect())
+    assert all(n <= 3 for t, n in times.items() if t != rows[0][1]) and times[rows[0][1]] <= 9
+    assert sum(len(t.split()) * n for t, n in times.items()) == pytest.approx(sum(len(t.split()) for _, t, _ in rows), rel=0.1)
