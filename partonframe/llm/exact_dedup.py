@@ -58,25 +58,27 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bound_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    facts = scratch.table(plain.mapInArrow(_facts, f"id {id_type}, size bigint, head binary, sha string"))
+    facts = scratch.table(plain.mapInArrow(_facts, f"id {id_type}, size bigint, head binary, sha string").withColumn("row", F.monotonically_increasing_id()))
     total = facts.count()
     cut = max(1000, total // HOT_PARTS)
     salts = (F.floor(F.col("n") / F.lit(cut)) + 1).cast("int")
 
     # round 1: length and first bytes, without texts
     shared = facts.groupBy("size", "head").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    alike = salted_join(facts.select("id", "size", "head"), shared, ["size", "head"], "n", total, F.col("id"))
-    wanted = alike.groupBy(F.col("id").alias("_id"), F.col("size").alias("_size")).agg(F.max("n").alias("n"))
+    alike = salted_join(facts.select("id", "size", "head", "row"), shared, ["size", "head"], "n", total, F.col("row"))
+    wanted = alike.select(F.col("id").alias("_id"), F.col("size").alias("_size")).distinct()
+    # salts belong to a group, here to a size, never to a row; at most HOT_PARTS sizes have more than one
+    hot = shared.where(F.col("n") >= cut).groupBy(F.col("size").alias("_hot")).agg(F.max("n").alias("n")).select("_hot", salts.alias("salts"))
     sized = plain.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    texts = sized.join(wanted.withColumn("salts", salts), F.col("id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")))
-    state = texts.select("id", "text", "size", "salts").mapInArrow(_bodies, f"id {id_type}, sha string, size bigint, salts int, body binary")
-    state = scratch.table(state.withColumn("row", F.monotonically_increasing_id()).withColumn("gid", F.col("size")))
+    texts = sized.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size"))).join(F.broadcast(hot), F.col("size") == F.col("_hot"), "left")
+    state = texts.select("id", "text", "size", F.coalesce("salts", F.lit(1)).alias("salts")).mapInArrow(_bodies, f"id {id_type}, sha string, size bigint, salts int, body binary")
+    bodies = state = scratch.table(state.withColumn("row", F.monotonically_increasing_id()).withColumn("gid", F.col("size")))
 
     # later rounds: split every group by its next bytes
     members, offset, width = [], 0, FIRST_WIDTH
     while not state.isEmpty():
         keyed = state.withColumn("digit", F.substring("body", 1, width)).withColumn("salt", F.pmod("row", F.col("salts").cast("long")).cast("int"))
-        groups = keyed.groupBy("gid", "digit", "salts").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("next_gid"), F.max("id").alias("keep_id")).where("n > 1")
+        groups = keyed.groupBy("gid", "digit").agg(F.max("salts").alias("salts"), F.count(F.lit(1)).alias("n"), F.min("row").alias("next_gid"), F.max("id").alias("keep_id")).where("n > 1")
         groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
         ended = F.col("size") <= offset + width
         split = keyed.join(groups, ["gid", "digit", "salt"]).select(
@@ -84,7 +86,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             F.when(~ended, F.expr(f"substring(body, {width + 1})")).alias("body"),
         )
         done = scratch.table(split)
-        scratch.drop(state)
+        if not members:
+            scratch.drop(bodies)
         members.append(done.where(F.col("body").isNull()).select("id", "sha", "keep_id", "group_size"))
         state = done.where(F.col("body").isNotNull()).select("id", "sha", "size", "salts", "body", "row", "gid")
         offset, width = offset + width, min(MOST_WIDTH, width * GROWTH)

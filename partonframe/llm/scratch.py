@@ -2,28 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-SETTING = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none, as in local tests."""
-    named = spark.sparkContext.getConf().get(SETTING) or spark.conf.get(SETTING, None)
-    if named:
-        return named.rstrip("/")
-    own = tempfile.mkdtemp(prefix="partonframe-")
-    atexit.register(shutil.rmtree, own, True)
-    spark.conf.set(SETTING, f"file://{own}")
-    spark.sparkContext.setCheckpointDir(f"file://{own}")
-    return f"file://{own}"
-
+from ..shared import delete, new_folder
 
 #: Bytes of text that a Python worker gets at a time, but for a single longer text.
 BATCH_BYTES = 2 << 20
@@ -35,40 +16,33 @@ def bound_batches(spark: SparkSession) -> None:
     A session setting, since Spark has none for a single operator; a lower bound that the session has is kept.
     """
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not re.fullmatch(r"\d{1,6}b?", spark.conf.get(setting)):
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(setting))
+    if not 0 < now <= BATCH_BYTES:
         spark.conf.set(setting, str(BATCH_BYTES))
 
 
 class Scratch:
     """Parquet tables that cut lineage: a lost executor costs a reread, never a recomputation of what was written.
 
-    Results built on a scratch table stay lazy, so the caller decides when to :meth:`close`.
+    Results built on a scratch table stay lazy, so the caller decides when to :meth:`close`; what nobody
+    closes is deleted by ``partonframe.shared.sweep``, at the latest when Python ends.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
+        self.spark, self.tables = spark, 0
+        self.root = new_folder(spark, "scratch")
 
     def table(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self._paths)}-{uuid.uuid4().hex[:6]}"
+        path = f"{self.root}/{self.tables}"
+        self.tables += 1
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(back)] = path
-        # keep a reference so that ids stay unique for as long as the path is known
-        setattr(back, "_scratch_path", path)
+        back._scratch_path = path
         return back
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later plan reads."""
-        self._delete(getattr(df, "_scratch_path", ""))
+        delete(self.spark, df._scratch_path)
 
     def close(self) -> None:
-        self._delete(self.root)
-
-    def _delete(self, path: str) -> None:
-        if not path:
-            return
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        delete(self.spark, self.root)

@@ -35,6 +35,14 @@ def salted_join(many: DataFrame, one: DataFrame, keys: list[str], n: str, total:
     return dealt.join(copies, on, how).drop("_salt", "_o_salt", *[f"_o_{k}" for k in keys])
 
 
+def in_order(df: DataFrame, order: list[Column], bucket: str) -> DataFrame:
+    """``df`` with a bucket whose numbers follow the order, however few values its first columns have.
+
+    To be written before it is used: a second run may draw other borders.
+    """
+    return df.repartitionByRange(*order).withColumn(bucket, F.spark_partition_id().cast("long"))
+
+
 def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: Column, out: str) -> DataFrame:
     """Sum of ``value`` over the earlier rows of the same group, in the order (bucket, order).
 

@@ -5,8 +5,9 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from partonframe.llm.scratch import Scratch, bound_batches, shared_dir
+from partonframe.llm.scratch import BATCH_BYTES, Scratch, bound_batches
 from partonframe.llm.skew import running_total, salted_join
+from partonframe.shared import shared_dir
 
 
 def test_hot_and_null_keys_join_once(spark):
@@ -37,7 +38,12 @@ def test_scratch_tables_can_be_dropped(spark):
     assert table.count() == 5 and scratch.root.startswith(shared_dir(spark))
     scratch.drop(table)
     scratch.close()
-    bound_batches(spark)
-    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
-    bound_batches(spark)
-    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_batches_are_bounded_and_tighter_bounds_kept(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for now, then in (("64MB", str(BATCH_BYTES)), ("512k", "512k"), ("1000", "1000")):
+        spark.conf.set(setting, now)
+        bound_batches(spark)
+        assert spark.conf.get(setting) == then
+    spark.conf.set(setting, str(BATCH_BYTES))
