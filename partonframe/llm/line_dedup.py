@@ -15,6 +15,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import once
 from .scratch import Scratch
 from .skew import salted_join
 
@@ -24,17 +25,26 @@ SKETCH = 12
 #: Standard errors on either side of the threshold that count as near it, and sites at least.
 BAND, BAND_SITES = 6.0, 2
 BLANKS = " \t\n\x0b\x0c\r"
+#: Near lines up to which they are broadcast; with more they are joined by a shuffle.
+BROADCAST_LINES = 1 << 18
 
 
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(line, n): hashes of the lines that at least ``min_sites`` sites carry, and their occurrences; ``lines`` has line and site."""
+def boilerplate(lines: DataFrame, min_sites: int, total: int, scratch: Scratch) -> DataFrame:
+    """(line, n): hashes of the lines that at least ``min_sites`` sites carry, and their occurrences.
+
+    ``lines`` has ``total`` rows with line, site and row, a number that deals a common line's rows out.
+    """
     width = max(BAND_SITES, BAND * 1.04 / math.sqrt(1 << SKETCH) * min_sites)
     spread = lines.groupBy("line").agg(F.hll_sketch_agg("site", SKETCH).alias("sketch"), F.count(F.lit(1)).alias("n"))
     spread = spread.where("n >= 2" if min_sites > 1 else "true").select("line", "n", F.hll_sketch_estimate("sketch").alias("sites"))
-    spread = spread.where(F.col("sites") >= min_sites - width)
+    spread = scratch.table(spread.where(F.col("sites") >= min_sites - width))
     near = spread.where(F.col("sites") < min_sites + width).select("line", "n")
-    # distinct sites of near lines: pairs first, so that a common line is combined before it moves
-    pairs = lines.distinct().join(near.select("line"), "line", "left_semi")
+    # of all lines only the near ones move, and a common one's sites are combined before they do
+    if near.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
+        few = lines.select("line", "site").join(F.broadcast(near.select("line")), "line", "left_semi")
+    else:
+        few = salted_join(lines, near, ["line"], "n", total, F.col("row")).select("line", "site")
+    pairs = few.distinct()
     exact = pairs.where(F.col("site").isNotNull()).groupBy("line").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= min_sites)
     sure = spread.where(F.col("sites") >= min_sites + width).select("line", "n")
     return sure.unionByName(near.join(exact, "line", "left_semi"))
@@ -53,13 +63,15 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     split = rows.select("id", "mark", F.col("site").cast("string").alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("place", "raw"))
     # the site's hash is enough: it is only counted
     lines = split.where(F.btrim("raw", F.lit(BLANKS)) != "").select("id", "mark", "place", F.xxhash64("raw").alias("line"), F.when(F.col("site").isNotNull(), F.xxhash64("site")).alias("site"))
-    lines = scratch.table(lines)
-    common = scratch.table(boilerplate(lines.select("line", "site"), min_sites))
-    hits = salted_join(lines.select("id", "mark", "place", "line"), common, ["line"], "n", lines.count(), F.col("mark") + F.col("place"))
+    lines = scratch.table(lines.withColumn("row", F.monotonically_increasing_id()))
+    total = lines.count()
+    common = scratch.table(boilerplate(lines.select("line", "site", "row"), min_sites, total, scratch))
+    hits = salted_join(lines.select("id", "mark", "place", "line", "row"), common, ["line"], "n", total, F.col("row"))
     gone = hits.groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.sort_array(F.collect_set("place")).alias("_gone"))
     joined = rows.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
     parts = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    places = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "_gone")
+    kept = once(parts, lambda x: F.array_join(F.transform(places(x), lambda i: F.get(x, i)), "\n"))
     return joined.select(
         F.col("id").alias(id_col), F.coalesce(F.when(F.col("text").isNotNull(), F.size(parts)), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias(text_col),

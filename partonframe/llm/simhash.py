@@ -119,25 +119,27 @@ def linked(choice: np.ndarray, key: np.ndarray, fp: np.ndarray) -> np.ndarray:
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning links of each posting list; its rows come sorted by key, a list may span batches."""
-    held = None
+    """Spanning links of each posting list; its rows come sorted by key, a list may span batches.
+
+    A list has 2 ** 24 fingerprints at most, since its key leaves three bytes free.
+    """
+    held: list[list[np.ndarray]] = []  # parts of the list that may go on in the next batch
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        if held is not None:
-            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-        # the last list may go on in the next batch
-        last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
-        cut = int(last[-1]) + 1 if len(last) else 0
-        held = [x[cut:] for x in rows]
-        yield from _edges([x[:cut] for x in rows])
-    if held is not None:
+        others = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+        cut = int(others[-1]) + 1 if len(others) else 0
+        if cut or held and any(held[0][i][0] != rows[i][0] for i in range(2)):
+            yield from _edges([*held, [x[:cut] for x in rows]])
+            held = []
+        held.append([x[cut:] for x in rows])
+    if held:
         yield from _edges(held)
 
 
-def _edges(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    choice, key, fp = rows
+def _edges(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    choice, key, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
     parent = linked(choice, key, fp.view(np.uint64))
     i = np.flatnonzero(parent != np.arange(len(parent)))
     if len(i):
@@ -173,7 +175,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch | Non
     bound_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), *[_mark(F.col(text_col)).alias("mark")] * named)
-    facts = scratch.table(plain.mapInArrow(_fingerprints, f"id {id_type}, fp bigint" + ", mark bigint" * named))
+    facts = scratch.table(plain.mapInArrow(_fingerprints, f"id {id_type}, fp bigint" + ", mark bigint" * named).withColumn("row", F.monotonically_increasing_id()))
     total = facts.count()
     distinct = scratch.table(facts.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
 
@@ -185,7 +187,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch | Non
     rooted = distinct.join(links, distinct["fp"] == links["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
     labelled = salted_join(rooted, classes, ["root"], "members", total, F.col("fp")).select("fp", "n", "component_id", *["root"] * named)
-    return salted_join(facts, labelled, ["fp"], "n", total, F.col("id")).select("id", "fp", "component_id", *["mark", "root"] * named)
+    return salted_join(facts, labelled, ["fp"], "n", total, F.col("row")).select("id", "fp", "component_id", *["mark", "root"] * named)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -61,6 +62,21 @@ def test_hot_exact_group(spark):
     assert got.count() == 3000
 
 
+def test_an_id_repeated_in_a_hot_group(spark):
+    # texts of one length: those of a hot group and two others, one of them with an id of the group
+    rows = [(i, "a" * 50) for i in range(1500)] + [(0, "b" * 50), (2000, "b" * 50), (3, "c" * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(str(tuple(r)) for r in exact_dedup.exact_duplicates(df).collect()) == brute_exact(rows)
+    kept = exact_dedup.drop_exact_duplicates(df).collect()
+    assert sorted((r.doc_id, r.text[0]) for r in kept) == [(3, "c"), (1499, "a"), (2000, "b")]
+
+
+def test_a_hot_group_without_ids(spark):
+    rows = [(None, "a" * 50)] * 1500 + [(1, "b"), (None, "c" * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(str(tuple(r)) for r in exact_dedup.exact_duplicates(df).collect()) == brute_exact(rows)
+
+
 def brute_fingerprint(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
@@ -132,6 +148,20 @@ def test_posting_lists_of_any_length(monkeypatch):
     assert roots[0] == roots[1] == list(brute_components(links, range(len(fp))).values())
 
 
+def test_posting_lists_that_span_batches():
+    rng = np.random.default_rng(3)
+    choice, key, fp = np.sort(rng.integers(0, 3, 400).astype(np.int16)), np.zeros(400, np.int64), rng.integers(0, 7, 400)
+    key[choice == 1] = np.sort(rng.integers(0, 5, (choice == 1).sum()))
+    key[choice == 2] = np.sort(rng.integers(0, 200, (choice == 2).sum()))
+    table = pa.RecordBatch.from_arrays([pa.array(choice), pa.array(key), pa.array(fp)], ["choice", "key", "fp"])
+
+    def links(size):
+        found = [r for b in simhash._link(table.slice(i, size) for i in range(0, 400, size)) for r in zip(*b.to_pydict().values())]
+        return sorted(found)
+
+    assert links(1) == links(7) == links(400) and links(400)
+
+
 def test_near_on_awkward_rows(spark):
     df = table(spark)
     assert simhash.near_duplicates(df).count() == df.count() and simhash.near_duplicates(df.limit(0)).count() == 0
@@ -260,6 +290,11 @@ def test_lines_of_many_sites(spark):
     assert got == {i: "\n".join(x for x in t.split("\n") if x not in gone) for i, t, _, _ in rows} and gone
 
 
+def test_near_lines_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
+    test_lines_of_many_sites(spark)
+
+
 def test_lines_on_awkward_rows(spark):
     df = table(spark)
     got = line_dedup.drop_boilerplate(df).collect()
