@@ -7,7 +7,9 @@ the byte in the next shorter context without the bytes that the longer one has r
 code. The language with the fewest bits wins.
 
 Frozen statistics make a byte's cost a function of three bytes of context and the byte, so the trees are
-flattened once into a table (context, byte, language) -> bits, and a text is scored by array lookups.
+flattened once into a table (context, byte, language) -> bits, and a text is scored by array lookups. The table
+holds as many contexts as fit into DENSE_BYTES, the most frequent first; the bits of the others are made from
+the counts when a text has them, so every length is exact, however many contexts and languages there are.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ from .scratch import bound_batches
 ORDER = 3
 #: Documents of each language that are learned from, picked by a hash of the id; the bound of the sample.
 SAMPLE_DOCS = 400
-#: Documents longer than this many bytes aren't learned from; with SAMPLE_DOCS it bounds the sample's size.
-SAMPLE_BYTES = 65_536
-#: Most frequent contexts of full order in the table; the others are coded from their shorter context.
-MOST_CONTEXTS = 32_768
+#: Characters that are learned from in each of them, from its start; with SAMPLE_DOCS it bounds the sample's size.
+SAMPLE_CHARS = 16_384
+#: Size of the table of bits.
+DENSE_BYTES = 32 << 20
 #: Bytes scored at a time; texts of any length pass through in such pieces.
 PIECE = 1 << 18
 PAD = 10
@@ -65,11 +67,90 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), pa.array(grams), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
+class Tree:
+    """A language's counts by context: for each order the known contexts, sorted, and the symbols that followed each."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, symbol: np.ndarray, wide: int):
+        self.wide, self.orders = wide, []
+        column = symbol[grams & 255]
+        for order in range(ORDER + 1):
+            pairs, place = np.unique(packed(grams, order, symbol, wide) * wide + column, return_inverse=True)
+            known, starts = np.unique(pairs // wide, return_index=True)
+            self.orders.append((known, np.append(starts, len(pairs)), (pairs % wide).astype(np.int16), np.bincount(place, n).astype(np.float32)))
+
+    def counts(self, contexts: np.ndarray, order: int) -> np.ndarray:
+        """A row of counts by symbol for each context; zeros for those that the language doesn't know."""
+        known, starts, columns, n = self.orders[order]
+        out = np.zeros((len(contexts), self.wide), np.float32)
+        place = np.minimum(np.searchsorted(known, contexts), len(known) - 1)
+        length = np.where(known[place] == contexts, starts[place + 1] - starts[place], 0)
+        ends = np.cumsum(length)
+        at = np.repeat(starts[place] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+        out[np.repeat(np.arange(len(contexts)), length), columns[at]] = n[at]
+        return out
+
+    def bits(self, contexts: np.ndarray, order: int) -> np.ndarray:
+        """Bits of every symbol in each of the contexts, of one order."""
+        cost = np.zeros((len(contexts), self.wide))
+        spent, free = np.zeros(len(contexts)), np.ones((len(contexts), self.wide), bool)
+        for k in range(order, -1, -1):
+            here = np.where(free, self.counts(contexts % self.wide**k, k), 0)
+            hit = here > 0
+            total, kinds = here.sum(1), hit.sum(1)
+            cost = np.where(hit, spent[:, None] - np.log2(np.where(hit, here, 1) / np.maximum(total + kinds, 1)[:, None]), cost)
+            spent = spent + np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0)
+            free &= ~hit
+        rest = 256 - (~free).sum(1)  # bytes that are still possible, each as likely
+        return np.where(free, spent[:, None] + np.log2(np.maximum(rest, 1))[:, None], cost)
+
+
+def packed(grams: np.ndarray, order: int, symbol: np.ndarray, wide: int) -> np.ndarray:
+    """The last ``order`` bytes before a gram's last one, as a number of symbols, the oldest first."""
+    out = np.zeros(len(grams), np.int64)
+    for k in range(order, 0, -1):
+        out = out * wide + symbol[grams >> (8 * k) & 255]
+    return out
+
+
 class Model:
-    """Flattened context trees. ``symbol``: byte -> column; ``row``: packed context -> row; ``bits``: float32 [rows, columns, languages]."""
+    """Flattened context trees.
 
-    def __init__(self, languages: list[str], symbol: np.ndarray, row: np.ndarray, bits: np.ndarray):
-        self.languages, self.symbol, self.row, self.bits = languages, symbol, row, bits
+    Every known context has a number: ``one`` by a byte, ``two`` by two of them, ``three`` by the place of a known
+    pair (``pair``) and the byte before it. ``row`` is its place in ``dense`` [rows, symbols, languages], or -1; then its
+    bits are made from the trees, for which ``order`` and ``context`` say what it is.
+    """
+
+    def __init__(self, trees: dict[str, Tree], symbol: np.ndarray, wide: int, contexts: list[np.ndarray], weights: list[np.ndarray]):
+        self.languages, self.trees, self.symbol, self.wide = sorted(trees), [trees[x] for x in sorted(trees)], symbol, wide
+        base = np.cumsum([0, *map(len, contexts)])
+        self.order, self.context = np.repeat(np.arange(ORDER + 1), np.diff(base)).astype(np.int8), np.concatenate(contexts)
+        self.one = np.zeros(wide, np.int32)
+        self.one[contexts[1]] = base[1] + np.arange(len(contexts[1]))
+        self.two = np.tile(self.one, wide)
+        self.two[contexts[2]] = base[2] + np.arange(len(contexts[2]))
+        self.pair = np.zeros(wide * wide, np.int32)
+        self.pair[contexts[2]] = 1 + np.arange(len(contexts[2]))
+        self.three = np.zeros((len(contexts[2]) + 1) * wide, np.int32)
+        self.three[self.pair[contexts[3] % (wide * wide)].astype(np.int64) * wide + contexts[3] // (wide * wide)] = base[3] + np.arange(len(contexts[3]))
+        # short contexts come first, since all others fall back to them; then the most frequent ones
+        weight = np.concatenate(weights)
+        best = np.lexsort((np.arange(len(weight)), -weight, self.order > 1))
+        rows = np.sort(best[: max(1, DENSE_BYTES // (4 * wide * len(trees)))])
+        self.row = np.full(len(weight), -1, np.int32)
+        self.row[rows] = np.arange(len(rows))
+        self.dense = np.empty((len(rows), wide, len(trees)), np.float32)
+        for at in range(0, len(rows), 4096):
+            self.dense[at : at + 4096] = self._bits(rows[at : at + 4096])
+
+    def _bits(self, numbers: np.ndarray) -> np.ndarray:
+        """[contexts, symbols, languages] of some known contexts."""
+        out = np.empty((len(numbers), self.wide, len(self.trees)), np.float32)
+        for order in range(ORDER + 1):
+            own = np.flatnonzero(self.order[numbers] == order)
+            for l, tree in enumerate(self.trees):
+                if len(own):
+                    out[own, :, l] = tree.bits(self.context[numbers[own]], order)
+        return out
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of every text under every language."""
@@ -89,7 +170,7 @@ class Model:
 
     def _score(self, group: list[tuple[int, bytes, int]], out: np.ndarray) -> None:
         """Adds the bits of each piece (text, bytes, bytes of context that are scored already)."""
-        wide = int(self.symbol.max()) + 1
+        wide = self.wide
         data = self.symbol[np.frombuffer(b"".join(p[1] for p in group), np.uint8)].astype(np.int32)
         starts = np.cumsum([0, *(len(p[1]) for p in group[:-1])])
         fresh = np.array([s for s, p in zip(starts, group, strict=True) if not p[2]], np.int64)
@@ -101,8 +182,17 @@ class Model:
                 at = fresh + j
                 x[at[at < len(data)]] = self.symbol[PAD]
             back.append(x)
-        context = (back[2] * wide + back[1]) * wide + back[0]
-        cost = self.bits.reshape(-1, self.bits.shape[2])[self.row[context].astype(np.int64) * wide + data]
+        both = back[1] * wide + back[0]
+        known = self.three[self.pair[both].astype(np.int64) * wide + back[2]]
+        known = np.where(known > 0, known, self.two[both])
+        row = self.row[known]
+        cost = self.dense.reshape(-1, self.dense.shape[2])[np.maximum(row, 0).astype(np.int64) * wide + data]
+        rare = np.flatnonzero(row < 0)
+        if len(rare):
+            numbers, place = np.unique(known[rare], return_inverse=True)
+            for at in range(0, len(numbers), 1024):
+                here = (place >= at) & (place < at + 1024)
+                cost[rare[here]] = self._bits(numbers[at : at + 1024])[place[here] - at, data[rare[here]]]
         for s, p in zip(starts, group, strict=True):
             cost[s : s + p[2]] = 0
         np.add.at(out, [p[0] for p in group], np.add.reduceat(cost, starts, axis=0, dtype=np.float64))
@@ -110,71 +200,18 @@ class Model:
 
 def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     """Model of the grams and their counts of each language."""
-    languages = sorted(counts)
-    grams = np.concatenate([counts[x][0] for x in languages])
-    seen = np.unique([PAD, *np.unique(grams & 255), *np.unique(grams >> 8 & 255), *np.unique(grams >> 16 & 255), *np.unique(grams >> 24 & 255)]).astype(np.int64)
+    grams = np.concatenate([counts[x][0] for x in sorted(counts)])
+    totals = np.concatenate([counts[x][1] for x in sorted(counts)])
+    seen = np.unique([PAD, *(b for k in range(ORDER + 1) for b in np.unique(grams >> (8 * k) & 255))]).astype(np.int64)
     wide = len(seen) + 1
-    symbol = np.full(256, wide - 1, np.int64)  # the last column: any byte that was never seen
+    symbol = np.full(256, wide - 1, np.int64)  # the last symbol: any byte that was never seen
     symbol[seen] = np.arange(len(seen))
-
-    def packed(grams: np.ndarray, order: int) -> np.ndarray:
-        out = np.zeros(len(grams), np.int64)
-        for k in range(order, 0, -1):
-            out = out * wide + symbol[grams >> (8 * k) & 255]
-        return out
-
-    # rows of the table: the empty context, then those of each order
-    totals = np.concatenate([counts[x][1] for x in languages])
-    contexts = [np.zeros(1, np.int64)]
-    for order in range(1, ORDER + 1):
-        found, place = np.unique(packed(grams, order), return_inverse=True)
-        if order == ORDER and len(found) > MOST_CONTEXTS:
-            weight = np.bincount(place, totals)
-            found = np.sort(found[np.lexsort((found, -weight))[:MOST_CONTEXTS]])
+    contexts, weights = [], []
+    for order in range(ORDER + 1):
+        found, place = np.unique(packed(grams, order, symbol, wide), return_inverse=True)
         contexts.append(found)
-    row = np.zeros(wide**ORDER, np.int32)
-    base, starts = 0, []
-    for order, found in enumerate(contexts):
-        starts.append(base)
-        if order:
-            cube = row.reshape([-1, wide**order])
-            cube[:, found] = np.arange(base, base + len(found), dtype=np.int32)
-        base += len(found)
-
-    bits = np.zeros((base, wide, len(languages)), np.float32)
-    for l, name in enumerate(languages):
-        own, n = counts[name]
-        column = symbol[own & 255]
-        tables = []  # per order: contexts that this language knows, their counts by column
-        for order in range(ORDER + 1):
-            known, place = np.unique(packed(own, order), return_inverse=True)
-            table = np.zeros((len(known), wide), np.float32)
-            np.add.at(table, (place, column), n)
-            tables.append((known, table))
-        for order, found in enumerate(contexts):
-            for at in range(0, len(found), 4096):
-                part = found[at : at + 4096]
-                bits[starts[order] + at : starts[order] + at + len(part), :, l] = _ppm(part, order, tables, wide)
-    return Model(languages, symbol, row, bits)
-
-
-def _ppm(part: np.ndarray, order: int, tables: list, wide: int) -> np.ndarray:
-    """Bits of every column in each of the contexts, of one order."""
-    cost = np.zeros((len(part), wide))
-    spent, free = np.zeros(len(part)), np.ones((len(part), wide), bool)
-    for k in range(order, -1, -1):
-        known, table = tables[k]
-        suffix = part % wide**k
-        place = np.minimum(np.searchsorted(known, suffix), len(known) - 1)
-        here = np.where((known[place] == suffix)[:, None] & free, table[place], 0)
-        total, kinds = here.sum(1), (here > 0).sum(1)
-        hit = here > 0
-        with np.errstate(divide="ignore"):
-            cost = np.where(hit, spent[:, None] - np.log2(np.where(hit, here, 1) / np.maximum(total + kinds, 1)[:, None]), cost)
-        spent = spent + np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0)
-        free &= ~hit
-    rest = 256 - (~free).sum(1)  # bytes that are still possible, each as likely
-    return np.where(free, spent[:, None] + np.log2(np.maximum(rest, 1))[:, None], cost)
+        weights.append(np.bincount(place, totals))
+    return Model({x: Tree(*counts[x], symbol, wide) for x in counts}, symbol, wide, contexts, weights)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -186,17 +223,17 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Context trees of the labelled documents that aren't held out; None if there are none.
 
     The sample is bounded: the ids' hashes pick ``sample_docs`` documents of each language on average, or all
-    there are, of SAMPLE_BYTES at most. It takes one count a language, and no language's rows meet in a task.
+    there are, and of each the first SAMPLE_CHARS characters. It takes one count a language, and no language's
+    rows meet in a task.
     """
     bound_batches(docs.sparkSession)
-    size = F.octet_length(text_col)
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & size.between(1, SAMPLE_BYTES))
+    usable = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & (F.octet_length(text_col) > 0))
     place = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 31))
     known = usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()
     below = F.lit(0)
     for row in known:
         below = F.when(F.col(lang_col) == row["lang"], F.lit(-(-(sample_docs << 31) // row["n"]))).otherwise(below)
-    sample = usable.where(place < below).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sample = usable.where(place < below).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"))
     grams = sample.mapInArrow(_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = grams.toArrow()
     if not table.num_rows:
