@@ -37,11 +37,13 @@ HEAD_WORDS, HEAD_BYTES = 1 << 19, 64
 #: Steps in which counts are compared, to find how many words fit into that table.
 STEPS = 4
 #: Blanks as Unicode's White_Space has them, which the tokenizers' \s follows.
-BLANK = "\t-\r \x85\xa0  -     　"
+BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A blank run keeps all but its last character together before a word; the last one leads the word if it is a space.
 WORDS = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]")
 HOLE = np.uint32(0xFFFFFFFF)
 PIECE = 1 << 20
+#: Pieces of a vocabulary up to which its table is broadcast.
+MOST_PIECES = 1 << 20
 
 
 def read_tokenizer(path: str) -> str:
@@ -333,8 +335,14 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
     return out.withColumnsRenamed({"id": id_col, "first": first, "second": second})
 
 
-def decode(rows: DataFrame, spec: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``rows`` with the text of their ids (array<int>), special tokens included; null ids count as none."""
+def decode(rows: DataFrame, spec: str, ids_col: str = "ids", out_col: str = "decoded", how: str = "lookup", scratch: Scratch | None = None) -> DataFrame:
+    """``rows`` with the text of their ids (array<int>), special tokens included; null ids count as none.
+
+    ``how="lookup"`` looks each batch's ids up in the table of pieces; ``how="join"`` joins every id with that
+    table, which has a row for each id of the vocabulary, and puts the pieces together again by position.
+    """
+    if how == "join":
+        return _decode_by_join(rows, spec, ids_col, out_col, scratch or Scratch(rows.sparkSession))
     shared = rows.sparkSession.sparkContext.broadcast(spec)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,3 +353,15 @@ def decode(rows: DataFrame, spec: str, ids_col: str = "ids", out_col: str = "dec
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, out_col])
 
     return rows.mapInArrow(texts, T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())]))
+
+
+def _decode_by_join(rows: DataFrame, spec: str, ids_col: str, out_col: str, scratch: Scratch) -> DataFrame:
+    table = [(i, bytearray(p)) for i, p in enumerate(_pieces(spec))]
+    pieces = rows.sparkSession.createDataFrame(table, "_pf_id int, _pf_piece binary")
+    named = scratch.table(rows.withColumn("_pf_row", F.monotonically_increasing_id()))
+    each = named.select("_pf_row", F.posexplode(ids_col).alias("_pf_at", "_pf_id"))
+    joined = each.join(F.broadcast(pieces) if len(table) <= MOST_PIECES else pieces, "_pf_id")
+    whole = joined.groupBy("_pf_row").agg(F.sort_array(F.collect_list(F.struct("_pf_at", "_pf_piece"))).alias("_pf_all"))
+    text = F.aggregate("_pf_all", F.lit(b""), lambda a, x: F.concat(a, x["_pf_piece"]))
+    whole = whole.select("_pf_row", F.make_valid_utf8(text.cast("string")).alias(out_col))
+    return named.join(whole, "_pf_row", "left").drop("_pf_row").withColumn(out_col, F.coalesce(out_col, F.lit("")))
