@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode, read_tokenizer
+from .chat_fixture import ORACLE as CALLS_ORACLE
+from .chat_fixture import SCHEMAS, tool_turns
 from .chat_format import ORACLE as CHAT_ORACLE
 from .chat_format import format_chats
 from .exact_dedup import exact_duplicates
 from .language_id import identify, learn
 from .line_dedup import ORACLE as LINE_ORACLE
 from .line_dedup import drop_boilerplate
+from .mixing import ORACLE as MIX_ORACLE
 from .mixing import mix, taken
-from .pii import find
+from .pii import BASE_ORACLE, base_spans, find
 from .quality import oracle_sql as quality_sql
 from .quality import score
 from .simhash import near_duplicates
@@ -63,6 +66,16 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(read(spark, sf_dir, "conversations"))
 
 
+def chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls, results and awkward items in every conversation of the table, since its own have messages only."""
+    return format_chats(tool_turns(read(spark, sf_dir, "conversations")), SCHEMAS)
+
+
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op6 that SQL can express."""
+    return base_spans(read(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -86,6 +99,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
+    "chat_tool_calls": chat_tool_calls,
+    "pii_base_spans": pii_base_spans,
 }
 
 ORACLES = {
@@ -97,4 +112,7 @@ ORACLES = {
     "op4_line_dedup": LINE_ORACLE,
     "op5_quality_rules": quality_sql(),
     "op7_chat_format": CHAT_ORACLE,
+    "op9_mixing": MIX_ORACLE,
+    "chat_tool_calls": CALLS_ORACLE,
+    "pii_base_spans": BASE_ORACLE,
 }

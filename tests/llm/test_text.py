@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from partonframe.llm import bpe, chat_format, language_id, mixing, pii, quality
+from partonframe.llm.scratch import Scratch
 from partonframe.llm.queries import ORACLES, QUERIES, tokenizer_path
 from tests.llm.cases import documents, prose, table
 
@@ -71,6 +72,12 @@ def test_code_lengths_equal_brute_force():
     assert np.allclose(got, want, atol=1e-3)
 
 
+@pytest.mark.parametrize("room", [1, 3000])
+def test_contexts_without_a_row_in_the_table_are_exact(monkeypatch, room):
+    monkeypatch.setattr(language_id, "DENSE_BYTES", room)
+    test_code_lengths_equal_brute_force()
+
+
 def test_long_texts_are_scored_in_pieces(monkeypatch):
     model = language_id.fit({"a": (np.array([int.from_bytes(b"\n\n\na", "big"), int.from_bytes(b"aaab", "big")]), np.array([1, 2]))})
     text = b"aaabab" * 500
@@ -114,6 +121,38 @@ def test_repeated_words_and_lines(spark):
     assert (row.n_words, row.n_repeat_words, row.n_dup_lines, row.word_chars) == (11, 6, 1, 11)
 
 
+def votes(spark, rng, n, prior, rates):
+    """Vote patterns of documents whose quality is known, with how many there are of each, and how often it is good."""
+    found = defaultdict(lambda: [0, 0])
+    for _ in range(n):
+        good = rng.random() < prior
+        pattern = tuple(0 if rng.random() < 0.2 else (1 if rng.random() < a else -1) if good else (-1 if rng.random() < b else 1) for a, b in rates)
+        found[pattern][0] += 1
+        found[pattern][1] += good
+    return spark.createDataFrame([(*p, n) for p, (n, _) in found.items()], ", ".join([f"v{j} int" for j in range(len(rates))] + ["n long"])), found
+
+
+def test_estimates_recover_known_rates(spark):
+    rates = [(0.98, 0.9), (0.9, 0.3), (0.75, 0.8), (0.99, 0.5), (0.6, 0.45)]
+    patterns, _ = votes(spark, random.Random(21), 20_000, 0.8, rates)
+    prior, got = quality.estimate(patterns.coalesce(1), rounds=60)
+    assert prior == pytest.approx(0.8, abs=0.03)
+    assert np.allclose(got, rates, atol=0.06)
+
+
+def test_the_posterior_overrules_the_count_of_votes(spark):
+    rates = [(0.99, 0.95), (0.55, 0.5), (0.6, 0.45), (0.95, 0.6)]
+    patterns, found = votes(spark, random.Random(22), 20_000, 0.7, rates)
+    prior, got = quality.estimate(patterns.coalesce(1), rounds=60)
+    posterior = quality.posterior_sql(f"{prior!r}D", [(f"{a!r}D", f"{b!r}D") for a, b in got])
+    verdict = {tuple(r[f"v{j}"] for j in range(4)): r.p >= 0.5 for r in patterns.selectExpr("*", f"{posterior} as p").collect()}
+    # one vote of the best rule against two or three of the others, both ways
+    assert verdict[-1, 1, 1, 1] is False and verdict[1, -1, -1, 1] is True and verdict[1, -1, -1, 0] is True
+    right = sum(good if verdict[p] else n - good for p, (n, good) in found.items())
+    plain = sum(good if sum(p) >= 0 else n - good for p, (n, good) in found.items())
+    assert right > plain + 1000
+
+
 def test_junk_is_told_from_prose(spark):
     rng = random.Random(4)
     good = [". ".join(prose(rng, 12).replace("w", "wor").translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(12)) + "." for _ in range(60)]
@@ -162,6 +201,57 @@ def test_contexts_discover_what_no_pattern_knows(spark):
     assert got[6] == f"context:{start}:{start + 16}" and not any(got[i] for i in range(7, 37))
 
 
+def luhn_card(rng):
+    digits = [4, *(rng.randrange(10) for _ in range(14))]
+    total = sum(d if i % 2 else 2 * d - 9 * (d > 4) for i, d in enumerate(digits))
+    return "".join(map(str, digits)) + str(-total % 10)
+
+
+def planted(rng, cue, kinds=("code", "name")):
+    """Texts with identifiers behind cues, and their spans by kind; two thirds are cards that a base pattern knows."""
+    texts, spans = [], []
+    for i in range(60):
+        kind = kinds[i % len(kinds)]
+        value = luhn_card(rng) if i % 3 else "".join(rng.choice("BCDFGHKLM") for _ in range(7)) + (str(rng.randrange(1000)) if kind == "code" else "")
+        before = f"{prose(rng, rng.randrange(3, 30))} {cue} "
+        texts.append(f"{before}({value}), {prose(rng, 10)}")
+        spans.append((kind, len(before) + 1, len(before) + 1 + len(value), i % 3 > 0))
+    return texts, spans
+
+
+def test_recall_and_precision_of_contexts_by_kind(spark):
+    rng = random.Random(31)
+    texts, spans = planted(rng, "holder passport")
+    clean = [f"{prose(rng, 20)} the holder of room {i} and {prose(rng, 8)}" for i in range(60)]
+    # a word that follows the cue but is common elsewhere is none
+    texts.append(f"{prose(rng, 9)} holder passport office {prose(rng, 4)}")
+    clean += [f"post office {i} {prose(rng, 5)}" for i in range(30)]
+    got = {r.doc_id: r for r in pii.find(documents(spark, texts + clean)).collect()}
+    found = Counter()
+    for i, (kind, a, b, known) in enumerate(spans):
+        found[kind, known, got[i].spans == (f"card:{a}:{b}" if known else f"context:{a}:{b}")] += 1
+    assert {k for k in found if not k[2]} == set() and found["name", False, True] == found["code", False, True] == 10
+    assert not any(got[i].n_spans for i in range(60, len(got)))
+
+
+def test_words_discovered_make_patterns_of_their_own(spark):
+    rng = random.Random(32)
+    texts, spans = planted(rng, "holder passport", ("code",))
+    new = [t[a:b] for t, (_, a, b, known) in zip(texts, spans, strict=True) if not known]
+    # the discovered codes behind another cue, and codes that stand behind that one only
+    second = [f"{prose(rng, 12)} travel document ({c}), {prose(rng, 3)}" for c in new]
+    third = [f"{prose(rng, 12)} travel document (XX{i}YY), {prose(rng, 3)}" for i in range(6)]
+    got = {r.doc_id: r.n_context for r in pii.find(documents(spark, texts + second + third)).collect()}
+    assert len(new) == 20 and all(got[60 + i] == 1 for i in range(26))
+
+
+def test_seeds_of_several_words_and_at_the_ends(spark):
+    phones = [f"+1 (212) 555-01{i:02d}" for i in range(12)]
+    texts = [f"{p} reach me" if i % 2 else f"so call us {p}" for i, p in enumerate(phones)] + ["so call us maybe-KX17", "so call us KX18"]
+    got = {r.doc_id: r.spans for r in pii.find(documents(spark, texts)).collect()}
+    assert got[0] == "phone:11:28" and got[1] == "phone:0:17" and got[12] == "context:11:21" and got[13] == "context:11:15"
+
+
 def test_personal_data_on_awkward_rows(spark):
     df = table(spark)
     got = pii.find(df).collect()
@@ -206,6 +296,28 @@ def test_long_chains(spark):
     assert [c for k, c, _ in got if k == "call"] == [str(i) for i in range(9, -1, -1)] and {s for _, _, s in got} == {"ok"}
 
 
+@pytest.mark.parametrize("grouped", [chat_format.MOST_GROUPED, 0])
+def test_chains_and_cycles_in_rounds_and_in_one_pass(spark, monkeypatch, grouped):
+    monkeypatch.setattr(chat_format, "MOST_GROUPED", grouped)
+    test_long_chains(spark)
+    test_cycles_and_unanswered_calls(spark)
+    test_calls_are_linked_ordered_and_validated(spark)
+    # behind a cycle is on none, but can't be placed either
+    got = dict(((k, c), s) for k, c, s in chat(spark, ("assistant", {"tool_calls": [call("1", a={"$ref": "1"}, b=1), call("2", a={"$ref": "1"}, b={"$ref": "3"}), call("3", a=1, b=1)]}), ("tool", {"tool_call_id": "2", "content": 1})))
+    assert got["call", "1"] == got["call", "2"] == "cycle" and got["call", "3"] == "unanswered"
+
+
+def test_a_conversation_with_most_rows(spark):
+    rows = [(None, None if i % 2 else i // 4, "user", f"text {i}") for i in range(3000)] + [(1, i, "user", "x") for i in range(40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_format.format_chats(df).collect()
+    own = sorted((r.seq, r.message) for r in got if r.conv_id is None)
+    key = lambda r: (r[1] is not None, r[1] or 0, json.dumps({"content": r[3], "role": "user"}, separators=(",", ":")))
+    want = [json.dumps({"content": r[3], "role": "user"}, separators=(",", ":")) for r in sorted(rows[:3000], key=key)]
+    assert [m for _, m in own] == want and [s for s, _ in own] == list(range(3000))
+    assert sorted(r.seq for r in got if r.conv_id == 1) == list(range(40))
+
+
 def test_chats_on_awkward_rows(spark):
     rows = [(None, None, None, None, 1), (1, 0, "user", None, 1), (1, 0, "user", None, 1), (1, 1, "robot", "x", 1), (2, 0, "assistant", "{not json", 1), (2, 1, "assistant", "z" * 200_000, 1)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq int")
@@ -219,13 +331,36 @@ def test_schemas():
     assert chat_format.valid({"a": 1}, {"type": "object", "properties": {"a": {"enum": [1]}}}) and not chat_format.valid(True, {"type": "integer"})
     assert chat_format.valid([1, 2], {"type": "array", "items": {"type": "number"}}) and not chat_format.valid([1, "x"], {"items": {"type": "number"}})
     assert chat_format.canonical({"b": 1, "a": "é"}) == '{"a":"é","b":1}'
+    good = [(3, {"minimum": 3, "maximum": 3, "multipleOf": 1.5}), ("ab", {"pattern": "^a", "minLength": 2, "maxLength": 2}), (1.0, {"type": "integer", "const": 1}), ([1, True], {"uniqueItems": True}), ({"a": {"$ref": "x"}}, {"properties": {"a": {"type": "string"}}, "required": ["a"]}), (1, {"oneOf": [{"type": "integer"}, {"minimum": 2}]}), ({"b": 1}, {"additionalProperties": {"type": "number"}})]
+    bad = [(2, {"exclusiveMinimum": 2}), ("b", {"pattern": "^a"}), ([1, 1.0], {"uniqueItems": True}), (True, {"const": 1}), (3, {"oneOf": [{"type": "integer"}, {"minimum": 2}]}), ({}, {"minProperties": 1}), (1, {"not": {"type": "integer"}}), ({"b": "x"}, {"additionalProperties": {"type": "number"}}), (1, False)]
+    assert all(chat_format.valid(*x) for x in good) and not any(chat_format.valid(*x) for x in bad)
+    for schema in ({"$ref": "#/x"}, {"type": "date"}, {"properties": {"a": {"if": True}}}, {"pattern": "("}, 7):
+        with pytest.raises(chat_format.Unsupported):
+            chat_format.valid("a" if isinstance(schema, dict) and "pattern" in schema else {"a": 1}, schema)
 
 
 # mixing
-def test_targets():
-    assert mixing.targets([100, 100, 100], [5, 2, 1]) == pytest.approx([187.5, 75, 37.5])
-    assert mixing.targets([10, 100, 100], [5, 2, 1]) == pytest.approx([30, 120, 60])
-    assert mixing.targets([1, 1, 1000], [5, 2, 1]) == pytest.approx([3, 3, 996]) and mixing.targets([0, 5], [5, 2]) == pytest.approx([0, 5]) and mixing.targets([], []) == []
+def targets(sizes, weights, most=3):
+    """Shares of all words by weight, none above ``most`` times its size, the excess shared out again until none is above."""
+    out, free, left = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0], float(sum(sizes))
+    while free:
+        unit = left / sum(weights[i] for i in free)
+        full = [i for i in free if unit * weights[i] > most * sizes[i]]
+        for i in full or free:
+            out[i] = float(most * sizes[i]) if full else unit * weights[i]
+        left -= sum(out[i] for i in full)
+        free = [i for i in free if i not in full] if full else []
+    return out
+
+
+@pytest.mark.parametrize("few", [mixing.BROADCAST_SOURCES, 0])
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 100, 100], [1, 1, 1000], [0, 5], [1, 2, 3, 900, 4, 50, 1, 1]])
+def test_targets(spark, monkeypatch, sizes, few):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", few)
+    df = spark.createDataFrame([(i, "w " * n, f"s{i}") for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    got = {r.id: r for r in mixing.taken(mixing.mix(df, block_words=4)).collect()}
+    want = targets(sizes, [5, 2, 1] * 3)
+    assert [got[i].target for i in range(len(sizes))] == pytest.approx(want) and all(abs(got[i].taken - want[i]) <= 1 for i in range(len(sizes)))
 
 
 @pytest.mark.parametrize("block", [7, 1024])
@@ -239,7 +374,7 @@ def test_mix_takes_its_targets(spark, block):
     for _, t, _, s in rows:
         sizes[s] += len(t.split())
     names = sorted((s for s in sizes if s), key=str) + [None]
-    want = dict(zip(names, mixing.targets([sizes[s] for s in names], [5, 2, 1, 5]), strict=True))
+    want = dict(zip(names, targets([sizes[s] for s in names], [5, 2, 1, 5]), strict=True))
     by = Counter()
     for r in got:
         text, source = rows[r.id][1], rows[r.id][3]
@@ -250,13 +385,32 @@ def test_mix_takes_its_targets(spark, block):
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
 
 
-def test_schedule_is_even(spark):
-    plan = mixing.schedule(spark.range(1), [500.0, 300.0, 200.0], [50_000, 30_000, 20_000], 100)
-    order = [r.src for r in plan.orderBy("slot").collect()]
-    assert Counter(order) == {0: 500, 1: 300, 2: 200}
-    for k in range(100, 1000, 100):
-        assert abs(order[:k].count(0) - 0.5 * k) <= 3
-    assert plan.select("src", "rank").distinct().count() == 1000
+@pytest.mark.parametrize("few", [mixing.BROADCAST_SOURCES, 0])
+def test_schedule_is_even(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", few)
+    need = {0: 500, 1: 300, 2: 0, 3: 199, 4: 1}
+    sources = spark.createDataFrame(list(need.items()), "src long, need long")
+    order = [(r.src, r.rank) for r in mixing.schedule(spark, sources, len(need), 1000, Scratch(spark)).orderBy("slot").collect()]
+    assert Counter(s for s, _ in order) == {s: n for s, n in need.items() if n} and all(r == k for s in need for k, r in enumerate(r for x, r in order if x == s))
+    shares = lambda k: [abs([s for s, _ in order[:k]].count(s) - n / 1000 * k) for s, n in need.items()]
+    assert max(max(shares(k)) for k in range(10, 1000, 10)) <= 4
+
+
+def test_points_are_exact(spark):
+    mask = (1 << mixing.POINT_BITS) - 1
+    assert [r.point for r in mixing.points(spark, 1000).orderBy("slot").collect()] == [(k + 1) * mixing.GOLDEN & mask for k in range(1000)]
+
+
+def test_the_schedule_decides_the_mix(spark, monkeypatch):
+    rng = random.Random(18)
+    df = documents(spark, [prose(rng, rng.randrange(5, 60)) for _ in range(600)])
+    plan = mixing.mix(df, block_words=32)
+    order = [r.source for r in mixing.mixed_documents(df, plan).collect()]
+    for k in range(100, len(order), 100):
+        assert abs(order[:k].count("s0") / k - order.count("s0") / len(order)) < 0.1
+    slots = sorted((r.id, r.first_slot) for r in mixing.taken(plan).collect())
+    monkeypatch.setattr(mixing, "GOLDEN", 3 << 30 | 1)
+    assert slots != sorted((r.id, r.first_slot) for r in mixing.taken(mixing.mix(df, block_words=32)).collect())
 
 
 def test_buckets_of_large_sources(spark, monkeypatch):
@@ -306,7 +460,9 @@ def test_decoding_by_the_table_of_pieces(spark, tokenizer):
     spec = bpe.read_tokenizer(tokenizer_path())
     texts = ["Hello, Wörld 🙂", "", "<|endoftext|>"]
     rows = spark.createDataFrame([(tokenizer.encode(t).ids,) for t in texts] + [(None,)], "ids array<int>")
-    assert [r.decoded for r in bpe.decode(rows, spec).collect()] == [*texts, ""]
+    rows = rows.unionByName(spark.createDataFrame([([tokenizer.token_to_id("Ã")],)], "ids array<int>"))
+    for how in ("lookup", "join"):
+        assert sorted(r.decoded for r in bpe.decode(rows, spec, how=how).collect()) == sorted([*texts, "", "\ufffd"])
 
 
 def test_rare_words_beyond_the_head_do_not_matter(spark):
