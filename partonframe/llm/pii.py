@@ -113,22 +113,22 @@ def _patterns(two_left: Column, left: Column, right: Column) -> list[Column]:
 
 
 def _seeds(facts: DataFrame, spans: DataFrame) -> DataFrame:
-    """(key, value) of every seed: its patterns, and what it is. Words and spans of a row are merged in order of place."""
+    """(key, value) of every seed: its patterns, and its word, or its text where it has several. Words and spans of a row are merged in order of place."""
     text = facts.where(F.col("text").isNotNull())
     pieces = text.select("row", F.posexplode(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))).alias("place", "match")).withColumn("gap", F.lit(0))
     words = _placed(pieces, ["row"]).select("row", "place", F.lower(F.regexp_replace("match", rf"^{BLANK}+", "")).alias("word"), F.col("end").alias("at"))
     in_row = Window.partitionBy("row").orderBy("place")
     near = {"w1": F.lag("word", 1), "w2": F.lag("word", 2), "w3": F.lead("word", 1)}
-    words = words.select("row", "at", "word", *[c.over(in_row).alias(n) for n, c in near.items()])
+    words = words.select("row", "at", F.struct("place", "word", *[c.over(in_row).alias(n) for n, c in near.items()]).alias("x"))
     # a span begins in the first word that ends after its start, and ends in the first that ends at or after its end
-    none = F.lit(None)
-    edges = spans.select("row", F.col("start").alias("at"), F.lit(0).alias("step"), "start", "match").unionByName(spans.select("row", F.col("end").alias("at"), F.lit(1).alias("step"), "start", "match"))
-    marks = edges.select("row", F.when(F.col("step") == 0, F.col("at") + 0.5).otherwise(F.col("at") - 0.5).alias("at"), "step", "start", "match")
-    both = marks.select("*", *[none.cast("string").alias(c) for c in ("word", *near)]).unionByName(words.select("row", F.col("at").cast("double").alias("at"), F.lit(2).alias("step"), none.cast("long").alias("start"), none.cast("string").alias("match"), "word", *near))
+    starts = spans.select("row", (F.col("start") + 0.5).alias("at"), F.lit(0).alias("step"), "start", "match")
+    marks = starts.unionByName(spans.select("row", (F.col("end") - 0.5).alias("at"), F.lit(1).alias("step"), "start", "match"))
+    words = words.select("row", F.col("at").cast("double").alias("at"), F.lit(2).alias("step"), "x")
     after = Window.partitionBy("row").orderBy("at", "step").rowsBetween(1, Window.unboundedFollowing)
-    met = both.withColumn("next", F.first(F.when(F.col("step") == 2, F.struct("w1", "w2", "w3")), ignorenulls=True).over(after)).where("step < 2")
+    met = marks.unionByName(words, allowMissingColumns=True).withColumn("next", F.first("x", ignorenulls=True).over(after)).where("step < 2")
     pairs = met.groupBy("row", "start", "match").agg(F.max(F.when(F.col("step") == 0, F.col("next"))).alias("a"), F.max(F.when(F.col("step") == 1, F.col("next"))).alias("b"))
-    keyed = pairs.select(F.explode(F.array(*_patterns(F.col("a.w2"), F.col("a.w1"), F.col("b.w3")))).alias("key"), F.xxhash64(F.lower("match")).alias("value"))
+    value = F.when(F.col("a.place") == F.col("b.place"), F.col("a.word")).otherwise(F.lower("match"))
+    keyed = pairs.select(F.explode(F.array(*_patterns(F.col("a.w2"), F.col("a.w1"), F.col("b.w3")))).alias("key"), F.xxhash64(value).alias("value"))
     return keyed.where(F.col("key").isNotNull())
 
 
