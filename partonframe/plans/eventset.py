@@ -7,13 +7,17 @@ content is in array columns. Hyper-parameters are values of the whole set, in a
 from __future__ import annotations
 
 import json
+import re
 import subprocess
+import uuid
 from collections.abc import Callable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import file_system, read_text, write_text, written
+
 EVENT = "event_id"
 SIDECAR = "_event_set.json"
 
@@ -27,27 +31,6 @@ def provenance(folder: str = ".") -> dict[str, str]:
         return {"outdated": "True"}
 
 
-def _fs(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, target = _fs(spark, path)
-    out = fs.create(target, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-
-
-def _read_text(spark: SparkSession, path: str) -> str:
-    fs, target = _fs(spark, path)
-    stream = fs.open(target)
-    try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
 class EventSet:
     def __init__(self, df: DataFrame, hyper: Mapping[str, object] | None = None, aliases: Mapping[str, str] | None = None, path: str | None = None, provenance: Mapping[str, str] | None = None):
         if len(set(df.columns)) < len(df.columns):
@@ -146,32 +129,47 @@ class EventSet:
         return reduce(lambda s, c: s.rename(c, new + c[len(old) :]), found, self)
 
     # files
-    def save(self, path: str | None = None, mode: str = "overwrite") -> EventSet:
+    def _sidecar(self) -> str:
+        return json.dumps({"columns": self.df.columns, "hyper": self.hyper, "aliases": self.aliases, "provenance": self.provenance})
+
+    def save(self, path: str | None = None) -> EventSet:
+        """Writes the set, also over the one that it was read from: the new one is complete before it takes the old one's name."""
         path = path or self.path
         if path is None:
             raise ValueError("no path")
-        self.df.write.mode(mode).parquet(path)
-        side = {"columns": self.df.columns, "hyper": self.hyper, "aliases": self.aliases, "provenance": self.provenance}
-        _write_text(self.df.sparkSession, f"{path}/{SIDECAR}", json.dumps(side))
-        return EventSet.load(self.df.sparkSession, path)
+        spark = self.df.sparkSession
+        fs, target = file_system(spark, path)
+        beside = lambda kind: str(file_system(spark, path)[1].suffix(f".{kind}-{uuid.uuid4().hex}"))
+        fresh, old = beside("new"), beside("old")
+        self.df.write.parquet(fresh)
+        write_text(spark, f"{fresh}/{SIDECAR}", self._sidecar())
+        there = fs.exists(target)
+        if there and not fs.rename(target, file_system(spark, old)[1]):
+            raise OSError(f"can't move {path}")
+        if not fs.rename(file_system(spark, fresh)[1], target):
+            raise OSError(f"can't move {fresh} to {path}; the set that was there is {old}")
+        if there:
+            fs.delete(file_system(spark, old)[1], True)
+        spark.catalog.refreshByPath(path)
+        return EventSet.load(spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> EventSet:
-        side = json.loads(_read_text(spark, f"{path}/{SIDECAR}"))
+        side = json.loads(read_text(spark, f"{path}/{SIDECAR}"))
         return cls(spark.read.parquet(path).select(*side["columns"]), side["hyper"], side["aliases"], path, side["provenance"])
 
     @staticmethod
     def is_set(spark: SparkSession, path: str) -> bool:
-        fs, target = _fs(spark, f"{path}/{SIDECAR}")
+        fs, target = file_system(spark, f"{path}/{SIDECAR}")
         return fs.exists(target)
 
     @classmethod
     def find(cls, spark: SparkSession, folder: str) -> list[EventSet]:
         """The event sets right in a folder, by name."""
-        fs, target = _fs(spark, folder)
+        fs, target = file_system(spark, folder)
         if not fs.exists(target):
             return []
-        names = sorted(f.getPath().toString() for f in fs.listStatus(target) if f.isDirectory())
+        names = sorted(f.getPath().toString() for f in fs.listStatus(target) if f.isDirectory() and not re.search(r"\.(new|old)-[0-9a-f]{32}$", f.getPath().getName()))
         return [cls.load(spark, n) for n in names if cls.is_set(spark, n)]
 
     # parts
@@ -185,19 +183,30 @@ class EventSet:
         """Sets of listed events."""
         return [self._with(self.df.where(F.col(EVENT).isin(ids))) if ids else None for ids in lists]
 
-    def part_of(self, n_fragments: int | None = None, fragment_length: int | None = None) -> Column:
-        """The part of each event, of ``n_fragments`` (the last takes the remainder) or of ``fragment_length`` events each."""
+    def parts(self, n_fragments: int | None = None, fragment_length: int | None = None) -> DataFrame:
+        """The table with ``part``: of ``n_fragments`` equal numbers of events in order of their ids (the last takes
+        the remainder), or of ``fragment_length`` events each. Ranks are counted range by range."""
         if n_fragments is None and fragment_length is None:
             raise ValueError("n_fragments or fragment_length is needed")
+        ids = written(self.df.select(EVENT).repartitionByRange(EVENT).withColumn("_range", F.spark_partition_id()))
+        counts = ids.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+        before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+        counts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+        rank = F.row_number().over(Window.partitionBy("_range").orderBy(EVENT)) - 1 + F.col("_before")
+        ranked = ids.join(F.broadcast(counts), "_range").select(EVENT, rank.alias("_rank"))
         if n_fragments is not None:
-            n = (self.df.agg(F.max(EVENT)).first()[0] or 0) + 1
-            return F.least((F.col(EVENT) / F.lit(max(1, n // n_fragments))).cast("int"), F.lit(n_fragments - 1))
-        return F.floor(F.col(EVENT) / F.lit(fragment_length)).cast("int")
+            length = max(1, ids.count() // n_fragments)
+            part = F.least(F.floor(F.col("_rank") / length), F.lit(n_fragments - 1))
+        else:
+            part = F.floor(F.col("_rank") / fragment_length)
+        # rows that repeat an event have neighbouring ranks; the first decides
+        ranked = ranked.groupBy(EVENT).agg(F.min("_rank").alias("_rank"))
+        return self.df.join(ranked.select(EVENT, part.cast("int").alias("part")), EVENT)
 
     def fragment(self, path: str, n_fragments: int | None = None, fragment_length: int | None = None) -> None:
         """Writes the parts in one pass, partitioned by ``part``; :meth:`combine` reads them again."""
-        self.df.withColumn("part", self.part_of(n_fragments, fragment_length)).write.mode("overwrite").partitionBy("part").parquet(path)
-        _write_text(self.df.sparkSession, f"{path}/{SIDECAR}", json.dumps({"columns": self.df.columns, "hyper": self.hyper, "aliases": self.aliases, "provenance": self.provenance}))
+        self.parts(n_fragments, fragment_length).write.mode("overwrite").partitionBy("part").parquet(path)
+        write_text(self.df.sparkSession, f"{path}/{SIDECAR}", self._sidecar())
 
     def split_unfinished(self, done: DataFrame) -> tuple[EventSet | None, EventSet | None]:
         """(finished, unfinished) by the events of ``done``; None for an empty side."""
@@ -232,7 +241,7 @@ class EventSet:
         """All event sets below a folder as one; the parts are deleted only if asked for."""
         found, todo = [], [folder]
         while todo:
-            fs, target = _fs(spark, todo[0])
+            fs, target = file_system(spark, todo[0])
             here = todo.pop(0)
             if cls.is_set(spark, here):
                 found.append(cls.load(spark, here))
@@ -242,6 +251,6 @@ class EventSet:
         if delete:
             out = out.save(f"{folder.rstrip('/')}_joined")
             for s in found:
-                fs, target = _fs(spark, s.path)
+                fs, target = file_system(spark, s.path)
                 fs.delete(target, True)
         return out

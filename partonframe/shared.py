@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 from py4j.protocol import Py4JError
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 _made: list[tuple[SparkSession, str]] = []
@@ -36,9 +36,37 @@ def new_folder(spark: SparkSession, kind: str = "run") -> str:
     return path
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def written(df: DataFrame) -> DataFrame:
+    """``df`` read back from a table in the shared folder, which cuts its lineage."""
+    path = new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, target = file_system(spark, path)
+    out = fs.create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, target = file_system(spark, path)
+    stream = fs.open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, target = file_system(spark, path)
+    fs.delete(target, True)
     _made[:] = [(s, p) for s, p in _made if p != path]
 
 
