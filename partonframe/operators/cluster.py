@@ -6,6 +6,7 @@ batch and one event. Events are independent, so partitions are as even as events
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator, Mapping
 from functools import partial
@@ -18,16 +19,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kinematics as K
-from ..plans.params import check_params, jet_name
+from ..plans.params import check_params, jet_name, same_params
 from ..schema import CLUSTERED, NODE_FLOATS, NODE_INTS, NODES, PARTICLES
+from ..shared import file_system, read_text, write_text
 from .kernels import cone, genkt, spectral, wavelet
 from .kernels.physics import Nodes
 
+#: Particles of an event up to which algorithms that need a matrix of all pairs cluster it; the others take any number.
 MOST_PARTICLES = 20_000
 INPUTS = ["event_id", "idx", "px", "py", "pz", "energy", "pt", "rapidity", "phi"]
 KERNELS: dict[str, Callable[..., Nodes]] = {
     "GeneralisedKT": genkt.cluster, "Spectral": spectral.cluster, "SpectralMean": partial(spectral.cluster, embedding_update="mean"), "Wavelet": wavelet.cluster, "IterativeCone": cone.cluster,
 }
+KERNELS["CALE"] = KERNELS["CALECpp"] = KERNELS["Wavelet"]
+#: Algorithms whose memory grows with the number of particles only.
+LINEAR = {"GeneralisedKT", "IterativeCone"}
 
 
 def from_kinematics(particles: DataFrame) -> DataFrame:
@@ -38,7 +44,7 @@ def from_kinematics(particles: DataFrame) -> DataFrame:
     return particles.select("event_id", "idx", *INPUTS[2:]).to(PARTICLES)
 
 
-def _events(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, np.ndarray, int]]:
+def _events(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[tuple[int, np.ndarray, int]]:
     """(event, rows of its floats, number of particles); the rows of an event over ``most`` particles are cut, it isn't clustered."""
     event, parts, n = None, [], 0
     for batch in batches:
@@ -59,7 +65,7 @@ def _events(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int,
         yield event, np.concatenate(parts), n
 
 
-def _cluster(batches: Iterator[pa.RecordBatch], kernel: Callable[..., Nodes], params: dict, most: int, rows_out: int = 20_000) -> Iterator[pa.RecordBatch]:
+def _cluster(batches: Iterator[pa.RecordBatch], kernel: Callable[..., Nodes], params: dict, most: float, rows_out: int = 20_000) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     size = 0
 
@@ -96,12 +102,13 @@ def _cluster(batches: Iterator[pa.RecordBatch], kernel: Callable[..., Nodes], pa
         yield flush()
 
 
-def cluster(particles: DataFrame, algorithm: str, params: Mapping[str, object] | None = None, most_particles: int = MOST_PARTICLES, kernel: Callable[..., Nodes] | None = None, partitions: int | None = None, clustered: bool = False) -> DataFrame:
+def cluster(particles: DataFrame, algorithm: str, params: Mapping[str, object] | None = None, most_particles: int | None = None, kernel: Callable[..., Nodes] | None = None, partitions: int | None = None, clustered: bool = False) -> DataFrame:
     """Nodes of all events with status and duration (CLUSTERED).
 
     ``algorithm`` is a name of the registry, or any name with a ``kernel`` of one's own (Nodes and parameters
-    to Nodes). Events of more than ``most_particles`` get status too_large, a failed eigen-decomposition
-    linalg_error: one row without node and duration NaN; the job goes on. ``clustered`` says that the rows of
+    to Nodes). Events of more than ``most_particles`` (by default MOST_PARTICLES for algorithms that need a matrix
+    of all pairs, no bound for those in LINEAR) get status too_large, a failed eigen-decomposition linalg_error:
+    one row without node and duration NaN; the job goes on. ``clustered`` says that the rows of
     an event are in one partition already, as after a window or an aggregate by event; it saves the shuffle.
     """
     checked = dict(params or {}) if kernel else check_params(algorithm, params)
@@ -109,6 +116,8 @@ def cluster(particles: DataFrame, algorithm: str, params: Mapping[str, object] |
         kernel = KERNELS[algorithm]
         if algorithm.startswith("Spectral"):
             checked.pop("PhyDistance")
+    if most_particles is None:
+        most_particles = float("inf") if algorithm in LINEAR else MOST_PARTICLES
     rows = from_kinematics(particles)
     dealt = rows if clustered else rows.repartition(partitions, "event_id") if partitions else rows.repartition("event_id")
     ordered = dealt.sortWithinPartitions("event_id", "idx", *INPUTS[2:])
@@ -116,10 +125,11 @@ def cluster(particles: DataFrame, algorithm: str, params: Mapping[str, object] |
 
 
 def spectral_trace(particles: DataFrame, params: Mapping[str, object] | None = None) -> DataFrame:
-    """Steps of spectral clustering: (event_id, step, n_live, n_dims, mean_distance, min_distance, child1, child2)."""
+    """Steps of spectral clustering: (event_id, step, n_live, n_dims, mean_distance, min_distance, child1, child2) and
+    as lists the live labels, the Laplacian row by row, all its eigenvalues and the embedding row by row."""
     checked = check_params("Spectral", params)
     checked.pop("PhyDistance")
-    names = ["n_live", "n_dims", "mean_distance", "min_distance", "child1", "child2"]
+    names = ["n_live", "n_dims", "mean_distance", "min_distance", "child1", "child2", "labels", "laplacian", "eigenvalues", "embedding"]
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         steps: list[tuple] = []
@@ -130,7 +140,8 @@ def spectral_trace(particles: DataFrame, params: Mapping[str, object] | None = N
         out.insert(0, "event_id", g["event_id"].iloc[0])
         return out
 
-    return from_kinematics(particles).groupBy("event_id").applyInPandas(one, "event_id long, step long, n_live long, n_dims long, mean_distance double, min_distance double, child1 long, child2 long")
+    lists = "labels array<long>, laplacian array<double>, eigenvalues array<double>, embedding array<double>"
+    return from_kinematics(particles).groupBy("event_id").applyInPandas(one, f"event_id long, step long, n_live long, n_dims long, mean_distance double, min_distance double, child1 long, child2 long, {lists}")
 
 
 def nodes(clustered: DataFrame) -> DataFrame:
@@ -153,14 +164,23 @@ def cluster_batch(particles: DataFrame, path: str, algorithm: str, params: Mappi
     """Clusters events that the table at ``path`` doesn't have yet and appends them; whether none is left.
 
     The table is partitioned by jet name. ``batch_events`` limits the events of a call, the least ids first.
+    The parameters of a name are stored beside the table; ValueError if they are others now.
     """
     spark = particles.sparkSession
     name = jet_name(name or algorithm)
+    now, kept = {"algorithm": algorithm, **check_params(algorithm, params)}, f"{path.rstrip('/')}/_params_{name}.json"
+    fs, target = file_system(spark, kept)
+    if fs.exists(target):
+        before = json.loads(read_text(spark, kept))
+        if not same_params(before, now):
+            raise ValueError(f"{name} was clustered with {before}, not with {now}")
+    else:
+        write_text(spark, kept, json.dumps(now))
     try:
         done = spark.read.schema(T.StructType([*CLUSTERED.fields, T.StructField("jet_name", T.StringType())])).parquet(path).where(F.col("jet_name") == name)
         todo = unfinished(particles, done)
     except Exception as e:  # the table isn't there before the first call
-        if "PATH_NOT_FOUND" not in str(e):
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         todo = particles
     chosen = todo

@@ -5,27 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jets import walk
+from ..shared import written
 
 
 def edge_instance(particles: DataFrame, edges: DataFrame, start: DataFrame, first: bool = True) -> DataFrame:
-    """(event_id, start, idx): the ends of the chain of equal particle ids from each start.
+    """(event_id, start, idx): the ends of the chains of equal particle ids from each start.
 
     ``particles`` has event_id, idx and pid; ``edges`` event_id, parent and child; ``start`` event_id and idx.
     ``first`` follows parents, otherwise children. A particle without a further one of its id is an end; a
-    cycle has none.
+    cycle has none. Every round doubles the length of the jumps, so the rounds are the logarithm of the longest chain.
     """
-    spark = particles.sparkSession
     pid = particles.select("event_id", "idx", "pid")
     src, dst = ("child", "parent") if first else ("parent", "child")
     ends = edges.select("event_id", F.col(src).alias("src"), F.col(dst).alias("dst"))
     ends = ends.join(pid.select("event_id", F.col("idx").alias("src"), F.col("pid").alias("p1")), ["event_id", "src"])
     ends = ends.join(pid.select("event_id", F.col("idx").alias("dst"), F.col("pid").alias("p2")), ["event_id", "dst"])
-    same = ends.where("p1 = p2").select("event_id", "src", "dst")
-    walk(spark, start.select("event_id", F.col("idx").alias("start"), F.col("idx").alias("at")), same, "_chain")
-    reached = spark.table("_chain").select("event_id", "start", "at").distinct()
-    onward = same.select("event_id", F.col("src").alias("at")).distinct()
-    return reached.join(onward, ["event_id", "at"], "left_anti").select("event_id", "start", F.col("at").alias("idx"))
+    same = written(ends.where("p1 = p2").select("event_id", "src", "dst").distinct())
+    onward = same.select("event_id", F.col("src").alias("dst"), F.lit(True).alias("_on")).distinct()
+    jumps = same.join(onward, ["event_id", "dst"], "left").select("event_id", "src", "dst", F.col("_on").isNull().alias("ended"))
+    # no chain is longer than an event's edges; what hasn't ended by then is on or before a cycle
+    longest = same.groupBy("event_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(longest.bit_length()):
+        jumps = written(jumps)
+        if jumps.where("not ended").isEmpty():
+            break
+        on = jumps.select("event_id", F.col("src").alias("dst"), F.col("dst").alias("_next"), F.col("ended").alias("_ended"))
+        further = jumps.where("not ended").join(on, ["event_id", "dst"]).select("event_id", "src", F.col("_next").alias("dst"), F.col("_ended").alias("ended"))
+        jumps = jumps.where("ended").union(further).distinct()
+    starts = start.select("event_id", F.col("idx").alias("start"))
+    far = jumps.where("ended").select("event_id", F.col("src").alias("start"), F.col("dst").alias("idx"))
+    alone = starts.join(same.select("event_id", F.col("src").alias("start")).distinct(), ["event_id", "start"], "left_anti").select("event_id", "start", F.col("start").alias("idx"))
+    return starts.join(far, ["event_id", "start"]).select("event_id", "start", "idx").union(alone).distinct()
 
 
 def edges_from_lists(events: DataFrame, children: str = "Children", parents: str | None = None) -> DataFrame:

@@ -48,6 +48,11 @@ def jets(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("event_id", "jet_id").agg(root, F.count_if(F.col("child1") == -1).alias("n_leaves"), F.count(F.lit(1)).alias("n_nodes")).select("event_id", "jet_id", "root.*", "n_leaves", "n_nodes")
 
 
+def by_pt(jets: DataFrame) -> DataFrame:
+    """``jets`` with their place in their event, the hardest first, ties by jet id."""
+    return jets.withColumn("place", F.row_number().over(Window.partitionBy("event_id").orderBy(F.col("pt").desc(), "jet_id")) - 1)
+
+
 def nested(nodes: DataFrame) -> DataFrame:
     """One row per event, every node column as a list of jets of lists of nodes, by jet and label."""
     names = [c for c in nodes.columns if c not in ("event_id", "jet_id")]

@@ -6,6 +6,9 @@ import numpy as np
 
 from .physics import Nodes, ca_distance2, factor
 
+#: Particles up to which all distances are kept; with more, every node keeps its nearest one only.
+MOST_DENSE = 256
+
 
 def cluster(nodes: Nodes, DeltaR: float = 0.8, ExpofPTInput: float = 0.0, ExpofPTFormatInput: str | None = None, PhyDistance: str = "angular", steps: int | None = None) -> Nodes:
     """Merges the closest pair, or retires a node that is closer to the beam, until one node is left.
@@ -16,33 +19,91 @@ def cluster(nodes: Nodes, DeltaR: float = 0.8, ExpofPTInput: float = 0.0, ExpofP
     n = nodes.n
     if n < 2:
         return nodes
-    rows = len(nodes.ints)
-    distance = np.full((rows, rows), np.inf)
-    alive = np.zeros(rows, bool)
-    alive[:n] = True
-
-    def refresh(i: int) -> None:
-        others = np.flatnonzero(alive)
-        f = factor(ExpofPTFormatInput, ExpofPTInput, nodes.pt[i], nodes.pt[others])
-        distance[i, others] = distance[others, i] = ca_distance2(nodes.y[i], nodes.phi[i], nodes.y[others], nodes.phi[others]) * f * f
-        own = factor(ExpofPTFormatInput, ExpofPTInput, nodes.pt[i], nodes.pt[i])
-        distance[i, i] = DeltaR**2 * own * own
-
-    y, phi, pt = nodes.y[:n], nodes.phi[:n], nodes.pt[:n]
-    f = factor(ExpofPTFormatInput, ExpofPTInput, pt[:, None], pt[None, :])
-    distance[:n, :n] = ca_distance2(y[:, None], phi[:, None], y[None, :], phi[None, :]) * f * f
-    distance[np.arange(n), np.arange(n)] = DeltaR**2 * f.diagonal() ** 2
+    pairs = (Dense if n <= MOST_DENSE else Nearest)(nodes, DeltaR, ExpofPTInput, ExpofPTFormatInput)
     left, done = n, 0
     while left > 1 and done != steps:
-        used = nodes.used
-        i, j = divmod(int(distance[:used, :used].argmin()), used)
-        if i != j:
-            new = nodes.merge(i, j, distance[i, j])
-            alive[new] = True
-        alive[[i, j]] = False
-        distance[[i, j], :] = distance[:, [i, j]] = np.inf
-        if i != j:
-            refresh(new)
+        i, j, distance2 = pairs.closest()
+        pairs.replace(i, j, nodes.merge(i, j, distance2) if i != j else None)
         left -= 1
         done += 1
     return nodes
+
+
+class Dense:
+    """All distances, a slot for every live node; a merged node takes the first slot of its parts."""
+
+    def __init__(self, nodes: Nodes, delta_r: float, exponent: float, form: str | None):
+        self.nodes, self.beam, self.exponent, self.form = nodes, delta_r**2, exponent, form
+        self.row = np.arange(nodes.n)
+        y, phi, pt = (x[: nodes.n] for x in (nodes.y, nodes.phi, nodes.pt))
+        f = factor(form, exponent, pt[:, None], pt[None, :])
+        self.distance = ca_distance2(y[:, None], phi[:, None], y[None, :], phi[None, :]) * f * f
+        np.fill_diagonal(self.distance, self.beam * f.diagonal() ** 2)
+
+    def closest(self) -> tuple[int, int, float]:
+        i, j = divmod(int(self.distance.argmin()), len(self.row))
+        least = self.distance[i, j]
+        ties = np.argwhere(self.distance == least)
+        if len(ties) > 2:
+            i, j = min((tuple(sorted(t)) for t in ties.tolist()), key=lambda t: sorted(self.row[list(t)].tolist()))
+        i, j = sorted((int(self.row[i]), int(self.row[j])))
+        return i, j, float(least)
+
+    def replace(self, i: int, j: int, new: int | None) -> None:
+        a, b = int(np.flatnonzero(self.row == i)[0]), int(np.flatnonzero(self.row == j)[0])
+        keep = np.arange(len(self.row)) != (b if new is not None else a)
+        self.row, self.distance = self.row[keep], self.distance[np.ix_(keep, keep)]
+        if new is None:
+            return
+        a -= a > b
+        self.row[a] = new
+        self.distance[a] = self.distance[:, a] = _from(self.nodes, new, self.row, self.exponent, self.form)
+        own = factor(self.form, self.exponent, self.nodes.pt[new], self.nodes.pt[new])
+        self.distance[a, a] = self.beam * own * own
+
+
+def _from(nodes: Nodes, row: int, others: np.ndarray, exponent: float, form: str | None) -> np.ndarray:
+    f = factor(form, exponent, nodes.pt[row], nodes.pt[others])
+    return ca_distance2(nodes.y[row], nodes.phi[row], nodes.y[others], nodes.phi[others]) * f * f
+
+
+class Nearest:
+    """The nearest node, or the beam, of every live node; memory grows with their number only."""
+
+    def __init__(self, nodes: Nodes, delta_r: float, exponent: float, form: str | None):
+        self.nodes, self.beam, self.exponent, self.form = nodes, delta_r**2, exponent, form
+        self.row = np.arange(nodes.n)
+        self.least, self.partner = np.empty(nodes.n), np.empty(nodes.n, np.int64)
+        for slot in range(nodes.n):
+            self._search(slot)
+
+    def _distances(self, row: int) -> np.ndarray:
+        out = _from(self.nodes, row, self.row, self.exponent, self.form)
+        own = factor(self.form, self.exponent, self.nodes.pt[row], self.nodes.pt[row])
+        out[self.row == row] = self.beam * own * own
+        return out
+
+    def _search(self, slot: int) -> None:
+        distance = self._distances(int(self.row[slot]))
+        self.least[slot] = distance.min()
+        self.partner[slot] = self.row[distance == self.least[slot]].min()
+
+    def closest(self) -> tuple[int, int, float]:
+        least = self.least.min()
+        at = np.flatnonzero(self.least == least)
+        i, j = min(tuple(sorted((int(self.row[s]), int(self.partner[s])))) for s in at)
+        return i, j, float(least)
+
+    def replace(self, i: int, j: int, new: int | None) -> None:
+        keep = (self.row != i) & (self.row != j)
+        self.row, self.least, self.partner = self.row[keep], self.least[keep], self.partner[keep]
+        lost = np.isin(self.partner, (i, j))
+        if new is not None:
+            self.row, self.least, self.partner, lost = np.append(self.row, new), np.append(self.least, np.inf), np.append(self.partner, new), np.append(lost, True)
+            closer = self._distances(new) < self.least
+            closer[-1] = False
+            if closer.any():
+                self.least[closer], self.partner[closer] = self._distances(new)[closer], new
+                lost &= ~closer
+        for slot in np.flatnonzero(lost):
+            self._search(int(slot))

@@ -8,7 +8,8 @@ TURN = 2 * np.pi
 
 
 def angle_gap(a, b):
-    raw = np.mod(np.subtract(a, b), TURN)
+    """Exactly the same both ways round."""
+    raw = np.mod(np.abs(np.subtract(a, b)), TURN)
     return np.minimum(raw, TURN - raw)
 
 

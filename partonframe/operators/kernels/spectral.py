@@ -67,10 +67,13 @@ def dimension_hardness(vectors: np.ndarray, pt: np.ndarray) -> np.ndarray:
     return (np.abs(vectors) * pt[:, None]).mean(0)
 
 
+def graph_matrix(affine: np.ndarray, pt: np.ndarray, size: np.ndarray, kind: str) -> np.ndarray:
+    return laplacian(affine, {"unnormed": None, "symmetric": affine.sum(0), "pt": pt, "symmetric_carried": size}[kind])
+
+
 def embed(affine: np.ndarray, pt: np.ndarray, size: np.ndarray, p: dict) -> np.ndarray:
     """Coordinates by the eigenvectors up to the limit, but for the first; scaled by eigenvalue and hardness."""
-    norm = {"unnormed": None, "symmetric": affine.sum(0), "pt": pt, "symmetric_carried": size}[p["Laplacian"]]
-    values, vectors = embedding_space(laplacian(affine, norm), max_eigval=p["EigenvalueLimit"])
+    values, vectors = embedding_space(graph_matrix(affine, pt, size, p["Laplacian"]), max_eigval=p["EigenvalueLimit"])
     scale = dimension_scaling(values, p["Beta"], p["ClipBeta"]) if p["Beta"] else np.ones(len(values))
     if p["EmbedHardness"] == "pt":
         scale = scale * dimension_hardness(vectors, pt)
@@ -95,7 +98,8 @@ def cluster(nodes: Nodes, steps: int | None = None, embedding_update: str = "rec
 
     The choice is by suppressed distances, the stop by plain ones. No eigenvector in range means stop. With
     ``embedding_update`` "mean" a merged node gets the mean of its parts' coordinates instead of a new embedding.
-    ``trace`` gets a row for every step: live nodes, dimensions, mean and least distance, labels of the pair.
+    ``trace`` gets a row for every step: live nodes, dimensions, mean and least distance, labels of the pair, and
+    lists of the live labels, the Laplacian row by row, its eigenvalues and the embedding row by row.
     """
     if nodes.n < 2:
         return nodes
@@ -105,9 +109,13 @@ def cluster(nodes: Nodes, steps: int | None = None, embedding_update: str = "rec
     while len(live) > 1 and done != steps:
         if points is None or embedding_update == "recompute":
             points = embed(local.masked(), nodes.pt[live], nodes.size[live], p)
+        lists: tuple = ()
+        if trace is not None:
+            matrix = graph_matrix(local.masked(), nodes.pt[live], nodes.size[live], p["Laplacian"])
+            lists = (nodes.ints[live, 0].tolist(), matrix.ravel().tolist(), np.linalg.eigvalsh(matrix).tolist(), points.ravel().tolist())
         if not points.shape[1]:
             if trace is not None:
-                trace.append((len(live), 0, np.nan, np.nan, -1, -1))
+                trace.append((len(live), 0, np.nan, np.nan, -1, -1, *lists))
             break
         f = factor(p["ExpofPTFormatEmbedding"], p["ExpofPTEmbedding"], nodes.pt[live][:, None], nodes.pt[live][None, :])
         raw2 = embedding_distance2(points, p["EmbedDistance"]) * f * f
@@ -118,7 +126,7 @@ def cluster(nodes: Nodes, steps: int | None = None, embedding_update: str = "rec
         np.fill_diagonal(apart, 0.0)
         mean = apart.sum() / (len(live) * (len(live) - 1))
         if trace is not None:
-            trace.append((len(live), points.shape[1], float(mean), float(least), *(int(nodes.ints[live[k], 0]) for k in (i, j))))
+            trace.append((len(live), points.shape[1], float(mean), float(least), *(int(nodes.ints[live[k], 0]) for k in (i, j)), *lists))
         if p["MaxMeanDist"] is not None and not mean < p["MaxMeanDist"] or p["MaxMinDist"] is not None and not least < p["MaxMinDist"]:
             break
         suppressed = local.single[i, j]

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from .kernels import kmeans as kernel
 
 
-def kmeans(points: DataFrame, k: int, vector: str = "embedding", distance: str = "euclidean", seed: int = 0, max_iter: int = 20) -> DataFrame:
+def kmeans(points: DataFrame, k: int, vector: str = "embedding", distance: str = "euclidean", seed: int = 0, max_iter: int = 20, tolerance: float = 1e-4) -> DataFrame:
     """``points`` with ``cluster``; distance euclidean or cosine."""
     ready = points.withColumn("_features", array_to_vector(F.col(vector).cast("array<double>")))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, distanceMeasure=distance, featuresCol="_features", predictionCol="cluster").fit(ready)
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tolerance, distanceMeasure=distance, featuresCol="_features", predictionCol="cluster").fit(ready)
     return model.transform(ready).drop("_features")
 
 

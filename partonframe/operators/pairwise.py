@@ -40,7 +40,8 @@ def knn(pairs: DataFrame, k: int, by: str = "dist2") -> DataFrame:
     """The edges (event_id, i, j) with i among the k nearest others of j, in both directions; ties by index. ``pairs`` is ordered."""
     rank = F.row_number().over(Window.partitionBy("event_id", "j").orderBy(by, "i"))
     near = pairs.select("event_id", "i", "j", rank.alias("rank")).where(F.col("rank") <= k).select("event_id", "i", "j")
-    return near.union(near.select("event_id", F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
+    both = F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return near.select("event_id", both.alias("x")).select("event_id", "x.*").distinct()
 
 
 def degree(pairs: DataFrame, value: str = "affinity") -> DataFrame:

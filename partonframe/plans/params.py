@@ -58,6 +58,8 @@ REGISTRY: dict[str, dict[str, tuple[object, list[object]]]] = {
     "Manual": {},
 }
 REGISTRY["SpectralMean"] = REGISTRY["Spectral"]
+#: Other names of the heat wavelets.
+REGISTRY["CALE"] = REGISTRY["CALECpp"] = REGISTRY["Wavelet"]
 #: Cuts of the jet selection.
 JET_CUTS = {"lead": 30.0, "other": 30.0, "light_lead": 20.0, "light_other": 15.0, "light_mass": 120.0, "tracks": 2}
 
