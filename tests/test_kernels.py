@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from partonframe.operators.kernels import cone, genkt, kmeans, spectral, wavelet
 from partonframe.operators.kernels import physics as P
 from partonframe.plans.params import defaults
+from partonframe.plans.queries import GOLDEN, GOLDEN_JETS
 
 
 def nodes(px, py, pz, energy):
@@ -105,6 +106,111 @@ def test_trees_are_consistent(seed, n):
             assert one < label and two < label and (parent == -1 or parent > label)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10_000), st.integers(2, 40), st.sampled_from([(0.0, None), (1.0, "genkt"), (-1.0, "genkt"), (1.0, "ratiokt")]))
+def test_nearest_neighbours_give_what_all_distances_give(seed, n, how):
+    rng = np.random.default_rng(seed)
+    # few different directions, so that there are ties
+    p = rng.integers(-2, 3, (n, 3)).astype(float) + np.where(rng.random() < 0.5, 0.0, rng.normal(0, 1, (n, 3)))
+    p[:, 0] += 3.5
+    make = lambda: nodes(*p.T, np.linalg.norm(p, axis=1) + 0.5)
+    before, genkt.MOST_DENSE = genkt.MOST_DENSE, 0
+    try:
+        slow = genkt.cluster(make(), 0.7, *how).table()
+    finally:
+        genkt.MOST_DENSE = before
+    fast = genkt.cluster(make(), 0.7, *how).table()
+    assert np.array_equal(slow[0], fast[0]) and np.array_equal(slow[1], fast[1])
+
+
+def brute_spectral(px, py, pz, e, mean_update=False, sigma=0.15, knn=5, limit=0.4, beta=1.4, clip=1e-3, single=1e-4, stop=1.26):
+    """Spectral clustering with the default parameters, from scratch at every step; the jets as sets of particles."""
+    live = [({i}, np.array([px[i], py[i], pz[i], e[i]])) for i in range(len(px))]
+
+    def kin(p):
+        pt = math.hypot(p[0], p[1])
+        rest = max(p[3] ** 2 - p[2] ** 2 - pt**2, 0)
+        return pt, 0.0 if p[2] == 0 else math.copysign(0.5 * math.log((pt**2 + rest) / (p[3] - abs(p[2])) ** 2), p[2]), math.atan2(p[1], p[0])
+
+    def apart(a, b):
+        gap = abs(a[2] - b[2]) % (2 * math.pi)
+        return min(gap, 2 * math.pi - gap) ** 2 + (a[1] - b[1]) ** 2
+
+    def soft(a, b):
+        return 1 - single / (single + min(a[0], b[0]) * math.sqrt(apart(a, b)))
+
+    parts, sizes, points, made = [frozenset(s) for s, _ in live], None, None, set()
+    while len(live) > 1:
+        k = [kin(p) for _, p in live]
+        n = len(live)
+        near2 = [[apart(a, b) for b in k] for a in k]
+        single_ = np.array([[1.0 if i == j else soft(k[i], k[j]) for j in range(n)] for i in range(n)])
+        aff = np.array([[0.0 if i == j else math.exp(-near2[i][j] / sigma) * (1.0 if parts[i] in made or parts[j] in made else single_[i, j]) for j in range(n)] for i in range(n)])
+        if any(x in made for x in parts):
+            for i in range(n):
+                for j in range(n):
+                    if i != j and (parts[i] in made or parts[j] in made):
+                        single_[i, j] = soft(k[i], k[j])
+        mask = np.zeros((n, n), bool)
+        for j in range(n):
+            for i in sorted(range(n), key=lambda i: (-aff[i, j], i))[:knn]:
+                mask[i, j] = mask[j, i] = True
+        masked = np.where(mask, aff, 0)
+        if sizes is None:
+            sizes = masked.sum(1)
+        if points is None or not mean_update:
+            lap = np.diag(masked.sum(0)) - masked
+            lap = lap / np.sqrt(np.outer(sizes, sizes))
+            values, vectors = np.linalg.eigh(lap)
+            chosen = [i for i in range(n) if values[i] <= limit][1:]
+            points = vectors[:, chosen] * np.maximum(values[chosen], clip) ** -beta
+        if not points.shape[1]:
+            break
+        raw = np.full((n, n), np.inf)
+        for i in range(n):
+            for j in range(n):
+                if i != j:
+                    cosine = points[i] @ points[j] / (np.linalg.norm(points[i]) * np.linalg.norm(points[j]))
+                    raw[i, j] = math.acos(min(max(cosine, -1), 1))
+        i, j = divmod(int((raw * single_).argmin()), n)
+        if not np.sqrt(raw[~np.eye(n, dtype=bool)]).mean() < stop:
+            break
+        factor = single_[i, j]
+        keep = [x for x in range(n) if x not in (i, j)]
+        live = [live[x] for x in keep] + [(live[i][0] | live[j][0], live[i][1] + live[j][1])]
+        parts = [frozenset(s) for s, _ in live]
+        made.add(parts[-1])
+        if mean_update:
+            points = np.vstack([points[keep], (points[i] + points[j]) / 2])
+        k = [kin(p) for _, p in live]
+        full = np.array([[0.0 if a == b else math.exp(-apart(k[a], k[b]) / sigma) * (1.0 if parts[a] in made or parts[b] in made else soft(k[a], k[b])) for b in range(len(k))] for a in range(len(k))])
+        # a new node starts from size 1 of each of its parts
+        merged = sizes[i] + sizes[j]
+        sizes = np.append(sizes[keep], merged)
+        sizes = sizes * factor + (1 - factor) * full.sum(1)
+    return sorted(sorted(s) for s, _ in live)
+
+
+@pytest.mark.parametrize("mean", [False, True])
+def test_golden_jets_equal_a_second_implementation(mean):
+    for events in GOLDEN, [np.column_stack([event(s, 9).floats[:9, c] for c in (4, 5, 6, 3)]).tolist() for s in range(12)]:
+        for k, one in enumerate(events):
+            px, py, pz, e = np.array(one).T
+            root, _, _ = spectral.cluster(nodes(px, py, pz, e), embedding_update="mean" if mean else "recompute", **spectral_params()).table()
+            jets = sorted(sorted(np.flatnonzero(root[: len(px)] == r).tolist()) for r in set(root[: len(px)].tolist()))
+            assert jets == brute_spectral(px, py, pz, e, mean)
+            if events is GOLDEN:
+                assert jets == sorted(GOLDEN_JETS["SpectralMean" if mean else "Spectral"][k])
+
+
+def test_steps_of_spectral_clustering_can_be_read():
+    steps = []
+    spectral.cluster(event(3, 8), trace=steps, **spectral_params())
+    for n_live, n_dims, *_, labels, laplacian, values, embedding in steps:
+        assert len(labels) == len(values) == n_live and len(laplacian) == n_live**2 and len(embedding) == n_live * n_dims
+        assert np.allclose(np.linalg.eigvalsh(np.reshape(laplacian, (n_live, n_live))), values)
+
+
 def test_one_step_then_another_run_equals_one_run():
     for seed in range(5):
         whole = genkt.cluster(event(seed, 8), 50.0, 1, "genkt").table()

@@ -55,6 +55,24 @@ def test_batches_resume(spark, tmp_path):
     assert spark.read.parquet(path).where("label = 0").count() == 10
 
 
+def test_a_name_keeps_its_parameters(spark, tmp_path):
+    p, path = particles(spark, [3, 5, 2, 4]), str(tmp_path / "jets")
+    assert not cluster_batch(p, path, "GeneralisedKT", {"DeltaR": 0.1}, batch_events=2)
+    for other in ({"DeltaR": 9.0}, {"DeltaR": 0.1, "ExpofPTInput": 1.0}, None):
+        with pytest.raises(ValueError, match="was clustered with"):
+            cluster_batch(p, path, "GeneralisedKT", other)
+    with pytest.raises(ValueError, match="was clustered with"):
+        cluster_batch(p, path, "IterativeCone", {"DeltaR": 0.1}, name="GeneralisedKT")
+    assert cluster_batch(p, path, "GeneralisedKT", {"DeltaR": 0.1 + 1e-12, "ExpofPTInput": 0})
+    assert cluster_batch(p, path, "GeneralisedKT", {"DeltaR": 9.0}, name="Wide")
+
+
+def test_names_of_the_wavelets(spark):
+    p = particles(spark, [1, 6, 9])
+    found = [sorted(map(str, nodes(cluster(p, name)).collect())) for name in ("Wavelet", "CALE", "CALECpp")]
+    assert found[0] == found[1] == found[2] and found[0]
+
+
 def test_unknown_parameters_are_refused(spark):
     for algorithm, params in (("Spectral", {"DeltaR": 1}), ("GeneralisedKT", {"DeltaR": -1}), ("GeneralisedKT", {"ExpofPTFormatInput": "real"}), ("Nothing", {})):
         with pytest.raises(ValueError):
@@ -130,6 +148,13 @@ def test_decay_chains(spark):
     assert ends(True, start.limit(0)) == []
     cycle = spark.createDataFrame([(0, 0, 1), (0, 1, 0)], "event_id long, parent long, child long")
     assert ends(True, start, cycle) == []
+    # a long chain, a branch, and a way into a cycle
+    n = 70
+    many = spark.createDataFrame([(0, i, 5) for i in range(n + 6)], "event_id long, idx long, pid long")
+    chain = [(0, i, i + 1) for i in range(n - 1)] + [(0, n - 1, n), (0, n - 1, n + 1), (0, n + 2, n + 3), (0, n + 3, n + 4), (0, n + 4, n + 3)]
+    long = spark.createDataFrame(chain, "event_id long, parent long, child long")
+    got = sorted((r.start, r.idx) for r in decay.edge_instance(many, long, many.select("event_id", "idx"), False).collect())
+    assert got == sorted([(i, e) for i in range(n) for e in (n, n + 1)] + [(n, n), (n + 1, n + 1), (n + 5, n + 5)])
     lists = spark.createDataFrame([(0, [[1], [2], []])], "event_id long, Children array<array<int>>")
     assert sorted((r.parent, r.child) for r in decay.edges_from_lists(lists).collect()) == [(0, 1), (1, 2)]
 

@@ -1,6 +1,7 @@
 """Event sets, text exchange, particle data, command line, streaming."""
 
 import math
+import os
 import sys
 
 import numpy as np
@@ -42,6 +43,44 @@ def test_files(spark, tmp_path):
     assert [x.path.rsplit("/", 1)[-1] for x in EventSet.find(spark, str(tmp_path))] == ["one"]
 
 
+def test_a_set_is_saved_over_itself(spark, tmp_path):
+    path = str(tmp_path / "sets" / "one")
+    a_set(spark).save(path)
+    for i in range(3):
+        again = EventSet.load(spark, path)
+        saved = again.append(**{f"C_{i}": F.col("A_x") + i}).append_hyperparameters(**{f"g{i}": i}).save()
+        assert saved.df.count() == 10
+    again = EventSet.load(spark, path)
+    assert again.columns == ["A_x", "A_y", "B_z", "C_0", "C_1", "C_2"] and again.hyper == {"h": 1.0, "g0": 0, "g1": 1, "g2": 2}
+    assert [r.C_2 for r in again.df.orderBy("event_id").collect()] == [i + 2 for i in range(10)]
+    assert again.df.schema == saved.df.schema and [f.name for f in (tmp_path / "sets").iterdir() if f.is_dir()] == ["one"]
+    # a write that fails leaves the old set as it is
+    broken = again.append(bad=F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        broken.save()
+    assert EventSet.load(spark, path).df.count() == 10 and [s.path.rsplit("/", 1)[-1] for s in EventSet.find(spark, str(tmp_path / "sets"))] == ["one"]
+
+
+def test_shared_folders(spark):
+    from partonframe import shared
+
+    table = shared.written(spark.range(3))
+    folder = table.inputFiles()[0].removeprefix("file:").lstrip("/").rsplit("/", 1)[0]
+    assert table.count() == 3 and folder.startswith(shared.shared_dir(spark).removeprefix("file:").lstrip("/"))
+    shared.sweep()
+    assert not shared._made and not os.path.exists(f"/{folder}")
+
+    class Cluster:
+        master = "local-cluster[2,1,1024]"
+        getConf = staticmethod(dict)
+
+    class Session:
+        sparkContext, conf = Cluster, {}
+
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Session)
+
+
 def test_parts(spark, tmp_path):
     s = a_set(spark)
     one, none, two = s.split([0, 4, 4], [4, 4, 10])
@@ -49,8 +88,12 @@ def test_parts(spark, tmp_path):
     with pytest.raises(ValueError):
         s.split([4], [3])
     assert [p.df.count() for p in s.pick([[1, 3], [2]])] == [2, 1]
-    assert sorted(r[0] for r in s.df.select(s.part_of(n_fragments=3)).collect()) == [0] * 3 + [1] * 3 + [2] * 4
-    assert sorted(r[0] for r in s.df.select(s.part_of(fragment_length=4)).collect()) == [0] * 4 + [1] * 4 + [2] * 2
+    assert sorted(r.part for r in s.parts(n_fragments=3).collect()) == [0] * 3 + [1] * 3 + [2] * 4
+    assert sorted(r.part for r in s.parts(fragment_length=4).collect()) == [0] * 4 + [1] * 4 + [2] * 2
+    # by number, not by id
+    far = EventSet(s.df.withColumn("event_id", F.col("event_id") ** 3 + 10**6).withColumn("event_id", F.col("event_id").cast("long")))
+    assert [r.part for r in far.parts(n_fragments=5).orderBy("event_id").collect()] == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
+    assert EventSet(s.df.limit(0)).parts(n_fragments=3).count() == 0
     done, rest = s.split_unfinished(spark.range(6).withColumnRenamed("id", "event_id"))
     assert (done.df.count(), rest.df.count()) == (6, 4) and s.split_unfinished(s.df)[1] is None
     joined = EventSet.combine([one.append(extra=F.lit(1)), two.append_hyperparameters(h=2.0)], averaged=lambda n: n == "h")
