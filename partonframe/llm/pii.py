@@ -124,8 +124,9 @@ def _seeds(facts: DataFrame, spans: DataFrame) -> DataFrame:
     starts = spans.select("row", (F.col("start") + 0.5).alias("at"), F.lit(0).alias("step"), "start", "match")
     marks = starts.unionByName(spans.select("row", (F.col("end") - 0.5).alias("at"), F.lit(1).alias("step"), "start", "match"))
     words = words.select("row", F.col("at").cast("double").alias("at"), F.lit(2).alias("step"), "x")
-    after = Window.partitionBy("row").orderBy("at", "step").rowsBetween(1, Window.unboundedFollowing)
-    met = marks.unionByName(words, allowMissingColumns=True).withColumn("next", F.first("x", ignorenulls=True).over(after)).where("step < 2")
+    # from the end on, so that the frame only grows
+    after = Window.partitionBy("row").orderBy(F.col("at").desc(), F.col("step").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    met = marks.unionByName(words, allowMissingColumns=True).withColumn("next", F.last("x", ignorenulls=True).over(after)).where("step < 2")
     pairs = met.groupBy("row", "start", "match").agg(F.max(F.when(F.col("step") == 0, F.col("next"))).alias("a"), F.max(F.when(F.col("step") == 1, F.col("next"))).alias("b"))
     value = F.when(F.col("a.place") == F.col("b.place"), F.col("a.word")).otherwise(F.lower("match"))
     keyed = pairs.select(F.explode(F.array(*_patterns(F.col("a.w2"), F.col("a.w1"), F.col("b.w3")))).alias("key"), F.xxhash64(value).alias("value"))
@@ -162,18 +163,24 @@ def _scan(rows: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
     return rows.join(F.broadcast(wanted) if small else wanted, by)
 
 
-def discover(seeds: DataFrame, corpus: _Corpus, scratch: Scratch) -> tuple[DataFrame, DataFrame] | None:
+def discover(seeds: DataFrame, near: _Corpus, corpus: _Corpus, scratch: Scratch) -> tuple[DataFrame, DataFrame] | None:
     """(hits, found): occurrences (id, mark, i, value, is_seed) that patterns of the ``seeds`` (key, value)
-    discover, and (value) of the discovered words that aren't seeds; None if no pattern discovers."""
+    discover, and (value) of the discovered words that aren't seeds; None if no pattern discovers.
+
+    ``near`` is the part of the corpus with base matches. A pattern that has too many words there has too many in
+    the whole, so common contexts are left out before the corpus is scanned.
+    """
     edges = scratch.table(seeds.distinct())
     patterns = scratch.table(edges.groupBy("key").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= MIN_SEEDS))
     if patterns.isEmpty():
         return None
     # how many distinct words a pattern has, before any of them is listed
-    spread = _scan(corpus.keyed(), patterns, "key").groupBy("key", "seeds").agg(F.approx_count_distinct("value").alias("spread"))
-    fair = scratch.table(spread.where(F.col("seeds") >= MIN_SHARE * F.col("spread")).select("key"))
-    if fair.isEmpty():
-        return None
+    for part in (near, corpus):
+        spread = _scan(part.keyed(), patterns, "key").groupBy("key", "seeds").agg(F.approx_count_distinct("value").alias("spread"))
+        patterns = scratch.table(spread.where(F.col("seeds") >= MIN_SHARE * F.col("spread")).select("key", "seeds"))
+        if patterns.isEmpty():
+            return None
+    fair = patterns.select("key")
     known = edges.select("value").distinct().withColumn("is_seed", F.lit(True))
     hits = _scan(corpus.keyed(), fair, "key")
     hits = scratch.table(hits)
@@ -227,10 +234,9 @@ def _context_spans(docs: DataFrame, id_col: str, text_col: str, hits: DataFrame)
 def _apart(spans: DataFrame) -> DataFrame:
     """Spans (row, kind, start, end) without those of kind context that overlap others."""
     first = F.when(F.col("kind") == "context", 1).otherwise(0)
-    order = Window.partitionBy("row").orderBy("start", "first", "end")
-    other = F.col("kind") != "context"
-    before = F.max(F.when(other, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(other, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    other, far = F.col("kind") != "context", (Window.unboundedPreceding, -1)
+    before = F.max(F.when(other, F.col("end"))).over(Window.partitionBy("row").orderBy("start", "first", "end").rowsBetween(*far))
+    after = F.min(F.when(other, F.col("start"))).over(Window.partitionBy("row").orderBy(F.col("start").desc(), F.col("first").desc(), F.col("end").desc()).rowsBetween(*far))
     fits = (F.coalesce(before, F.col("start")) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
     return spans.withColumn("first", first).withColumn("fits", other | fits).where("fits").drop("first", "fits")
 
@@ -267,9 +273,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratc
     scratch = scratch or Scratch(docs.sparkSession)
     facts, spans = searched(docs, id_col, text_col, scratch)
     base = spans.where("kind != 'weak'").select("row", "kind", "start", "end")
-    corpus, hits, seeds = _Corpus(docs, id_col, text_col), None, scratch.table(_seeds(facts, spans))
+    near, corpus = _Corpus(facts.where(F.col("text").isNotNull()), "id", "text"), _Corpus(docs, id_col, text_col)
+    hits, seeds = None, scratch.table(_seeds(facts, spans))
     for turn in range(BOOTSTRAPS):
-        made = discover(seeds, corpus, scratch)
+        made = discover(seeds, near, corpus, scratch)
         if made is None:
             break
         hits = made[0] if hits is None else hits.unionByName(made[0]).distinct()
