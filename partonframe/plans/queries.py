@@ -23,7 +23,7 @@ from ..operators.kernels import wavelet
 from ..sources import external, particle_data
 from ..sources.parquet import to_wide
 from ..shared import new_folder
-from ..streaming.clustering import cluster_stream, windowed
+from ..streaming.clustering import cluster_stream, sessions, windowed
 from . import oracles
 from .eventset import EventSet
 
@@ -616,6 +616,21 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed(read(spark, sf_dir, "events"), "1 hour").select("start", "event_type", "n", rounded("total", "total", 2))
 
 
+@query("event_sessions", """with e as (select *, coalesce(ts >= lag(ts) over (partition by user_id order by ts) + interval '30 minutes', true) as fresh from events),
+    s as (select *, sum(fresh::int) over (partition by user_id order by ts rows unbounded preceding) k from e)
+    select min(ts) as start, max(ts) + interval '30 minutes' as end, user_id, count(*) as n, round(sum(value), 2) + 0e0 as total from s group by user_id, k""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session windows; the same code runs on a stream."""
+    return sessions(read(spark, sf_dir, "events"), "30 minutes").select("start", "end", "user_id", "n", rounded("total", "total", 2))
+
+
+@query("external_answers", _ANTIKT_SQL)
+def external_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jets written as an external clusterer's answers and read again."""
+    found = nodes(cluster(particles(spark, sf_dir), "GeneralisedKT", ANTIKT, clustered=True))
+    return _partition(external.read_answers(external.answer_lines(found, 0.4, "antikt")))
+
+
 @query("summary_lines", _sql(f"select event_id, idx, {', '.join(r(c, c) for c in ('px', 'py', 'pz', 'energy'))} from p"))
 def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Particles written as an external clusterer's input lines and read again."""

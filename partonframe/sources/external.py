@@ -7,7 +7,6 @@ rows of integers (id, label, parent, children), a line with ``#``, another heade
 from __future__ import annotations
 
 import subprocess
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -104,34 +103,42 @@ def _run(program: list[str], lines: list[str], retries: int = RETRIES) -> list[s
     raise RuntimeError(f"{program[0]} failed {retries} times: {last[-300:]}")
 
 
+def _node_rows(event: int, lines: list[str]) -> pd.DataFrame:
+    """The node table of an event's answer."""
+    _, ints, floats = parse_clusters(lines)
+    out = pd.DataFrame(ints, columns=NODE_INTS)
+    for k, name in enumerate(NODE_FLOATS):
+        out[name] = floats[:, k] if k < floats.shape[1] else (0.0 if name == "join_distance" else 1.0)
+    up = dict(zip(out["label"], out["parent"], strict=True))
+
+    def top(label: int) -> int:
+        while up[label] >= 0:
+            label = up[label]
+        return label
+
+    out.insert(0, "jet_id", [top(x) for x in out["label"]])
+    out.insert(0, "event_id", event)
+    return out
+
+
 def cluster_externally(particles: DataFrame, program: list[str]) -> DataFrame:
     """Nodes by a program that reads an event's lines and writes an answer; it must be installed on the executors."""
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values("idx")
         lines = [" ".join(map(str, r)) for r in rows[["idx", "px", "py", "pz", "energy"]].itertuples(index=False)]
-        _, ints, floats = parse_clusters(_run(program, lines))
-        out = pd.DataFrame(ints, columns=NODE_INTS)
-        for k, name in enumerate(NODE_FLOATS):
-            out[name] = floats[:, k] if k < floats.shape[1] else (0.0 if name == "join_distance" else 1.0)
-        up = dict(zip(out["label"], out["parent"], strict=True))
+        return _node_rows(group["event_id"].iloc[0], _run(program, lines))
 
-        def top(label: int) -> int:
-            while up[label] >= 0:
-                label = up[label]
-            return label
+    return particles.select("event_id", "idx", "px", "py", "pz", "energy").groupBy("event_id").applyInPandas(one, NODES)
 
-        out.insert(0, "jet_id", [top(x) for x in out["label"]])
-        out.insert(0, "event_id", group["event_id"].iloc[0])
-        return out
 
-    return particles.select("event_id", "idx", "px", "py", "pz", "energy").groupBy("event_id").applyInPandas(one, NODES)
+def read_answers(answers: DataFrame) -> DataFrame:
+    """Nodes of the lines (event_id, place, value) of answers, one for each event; a line's place says where it stands."""
 
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        return _node_rows(group["event_id"].iloc[0], group.sort_values("place")["value"].tolist())
 
-def read_lines(batches: Iterator[list[str]]) -> Iterator[tuple]:
-    """Answers one after another."""
-    for lines in batches:
-        yield parse_clusters(lines)
+    return answers.select("event_id", "place", "value").groupBy("event_id").applyInPandas(one, NODES)
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:

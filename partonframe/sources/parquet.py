@@ -9,10 +9,6 @@ from pyspark.sql import types as T
 from ..functions.arrays import depth
 
 
-def read_particles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def to_long(events: DataFrame, columns: list[str]) -> DataFrame:
     """A row for every element of equally long list columns: event_id, idx and the columns."""
     zipped = F.arrays_zip(*[F.col(c) for c in columns])

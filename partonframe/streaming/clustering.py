@@ -58,3 +58,9 @@ def windowed(events: DataFrame, window: str, slide: str | None = None, delay: st
     """Counts and sums of an event stream by tumbling or sliding windows and type, late rows within ``delay`` included."""
     by = F.window("ts", window, slide) if slide else F.window("ts", window)
     return events.withWatermark("ts", delay).groupBy(by.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def sessions(events: DataFrame, gap: str, by: str = "user_id", delay: str = "10 minutes") -> DataFrame:
+    """Sessions of an event stream: rows of one ``by`` that follow each other within ``gap``, with their number and sum."""
+    found = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), by)
+    return found.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n", "total")
