@@ -35,6 +35,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if (total, check) == mark or not total:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         mark = (total, check)
-        then = scratch.table(_stars(_stars(now, total, True), total, False))
+        # a star's plan holds its edges several times, so each star is written
+        half = scratch.table(_stars(now, total, True))
         scratch.drop(now)
-        now = then
+        now = scratch.table(_stars(half, total, False))
+        scratch.drop(half)

@@ -111,8 +111,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay; of rows that repeat an id and its text, one."""
+    scratch = scratch or Scratch(docs.sparkSession)
     verdict = exact_duplicates(docs, id_col, text_col, scratch)
-    named = verdict.select(F.col(id_col).alias("_pf_id"), F.col("text_sha256").alias("_pf_sha"), "kept")
+    named = scratch.table(verdict.select(F.col(id_col).alias("_pf_id"), F.col("text_sha256").alias("_pf_sha"), "kept"))
     # an id that names different texts is decided text by text; the digest is computed for matching ids only
     normal = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
     match = docs[id_col].eqNullSafe(F.col("_pf_id")) & (normal == F.col("_pf_sha"))

@@ -184,9 +184,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch | Non
     lists = posted.repartition("choice", "key").sortWithinPartitions("choice", "key")
     links = components(lists.mapInArrow(_link, "a bigint, b bigint"), scratch)
 
-    rooted = distinct.join(links, distinct["fp"] == links["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
-    classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    labelled = salted_join(rooted, classes, ["root"], "members", total, F.col("fp")).select("fp", "n", "component_id", *["root"] * named)
+    # salted joins hold their sides several times, so these tables, small beside the texts, are written
+    rooted = scratch.table(distinct.join(links, distinct["fp"] == links["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")))
+    classes = scratch.table(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    labelled = scratch.table(salted_join(rooted, classes, ["root"], "members", total, F.col("fp")).select("fp", "n", "component_id", *["root"] * named))
     return salted_join(facts, labelled, ["fp"], "n", total, F.col("row")).select("id", "fp", "component_id", *["mark", "root"] * named)
 
 
@@ -200,9 +201,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     names = verdict.groupBy(F.col("id").alias("_pf_id"), F.col("mark").alias("_pf_mark"), "root").agg(F.count(F.lit(1)).alias("_pf_n"), F.first("component_id").alias("component_id"))
     names = scratch.table(names.withColumn("first", F.col("_pf_id").eqNullSafe(F.col("component_id"))).drop("component_id"))
     # several texts with the id that names the class: the one with the least hash stays
-    rivals = names.where("first").groupBy("root").agg(F.min("_pf_mark").alias("least"), F.count(F.lit(1)).alias("rivals")).where("rivals > 1")
-    ranked = salted_join(names.where("first"), rivals, ["root"], "rivals", names.count(), F.col("_pf_mark"))
-    gone = names.where("not first").select("_pf_id", "_pf_mark").unionByName(ranked.where("_pf_mark != least").select("_pf_id", "_pf_mark"))
+    rivals = scratch.table(names.where("first").groupBy("root").agg(F.min("_pf_mark").alias("least"), F.count(F.lit(1)).alias("rivals")).where("rivals > 1"))
+    gone = names.where("not first").select("_pf_id", "_pf_mark")
+    if not rivals.isEmpty():
+        ranked = salted_join(names.where("first"), rivals, ["root"], "rivals", names.count(), F.col("_pf_mark"))
+        gone = gone.unionByName(ranked.where("_pf_mark != least").select("_pf_id", "_pf_mark"))
     match = docs[id_col].eqNullSafe(F.col("_pf_id")) & (_mark(docs[text_col]) == F.col("_pf_mark"))
     stay = docs.join(gone, match, "left_anti")
     again = names.where("first and _pf_n > 1").select("_pf_id", "_pf_mark")
