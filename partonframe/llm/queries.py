@@ -13,6 +13,8 @@ from .chat_fixture import SCHEMAS, tool_turns
 from .chat_format import ORACLE as CHAT_ORACLE
 from .chat_format import format_chats
 from .exact_dedup import exact_duplicates
+from .filter_audit import ORACLE as AUDIT_ORACLE
+from .filter_audit import audit_filters
 from .language_id import identify, learn
 from .line_dedup import ORACLE as LINE_ORACLE
 from .line_dedup import drop_boilerplate
@@ -88,6 +90,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(read(spark, sf_dir, "documents"), read_tokenizer(tokenizer_path()), digests=True)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -99,6 +105,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
+    "op12_filter_audit": op12_filter_audit,
     "chat_tool_calls": chat_tool_calls,
     "pii_base_spans": pii_base_spans,
 }
@@ -113,6 +120,7 @@ ORACLES = {
     "op5_quality_rules": quality_sql(),
     "op7_chat_format": CHAT_ORACLE,
     "op9_mixing": MIX_ORACLE,
+    "op12_filter_audit": AUDIT_ORACLE,
     "chat_tool_calls": CALLS_ORACLE,
     "pii_base_spans": BASE_ORACLE,
 }
