@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import new_folder
 from .bpe import encode, read_tokenizer
 from .chat_fixture import ORACLE as CALLS_ORACLE
 from .chat_fixture import SCHEMAS, tool_turns
@@ -25,6 +26,7 @@ from .quality import oracle_sql as quality_sql
 from .quality import score
 from .simhash import near_duplicates
 from .substring_dedup import repeated_passages
+from .token_files import read_token_files, write_token_files
 
 
 def tokenizer_path() -> str:
@@ -34,6 +36,13 @@ def tokenizer_path() -> str:
     return os.environ.get("PARTONFRAME_TOKENIZER") or public_tokenizers.path("byte_bpe_50k.json")
 
 
+def word_tokenizer_path() -> str:
+    """The same of op13."""
+    import public_tokenizers
+
+    return os.environ.get("PARTONFRAME_WORD_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -94,6 +103,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{new_folder(spark, 'tokens')}/files"
+    write_token_files(read(spark, sf_dir, "documents"), read_tokenizer(word_tokenizer_path()), path)
+    return read_token_files(spark, path, digests=True)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -106,6 +121,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
     "op12_filter_audit": op12_filter_audit,
+    "op13_token_files": op13_token_files,
     "chat_tool_calls": chat_tool_calls,
     "pii_base_spans": pii_base_spans,
 }
