@@ -18,10 +18,12 @@ the line's end is the closing magic. So files of tasks that failed are never see
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,38 +34,92 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import _ids, _ragged
+from .bpe import _ids, _ragged, _tokenizer
 from .scratch import Scratch, bound_batches
 from .skew import running_total
 
 #: Ids of a frame at most, and compressed bytes at which a file is closed.
 FRAME_IDS, SHARD_BYTES = 1 << 20, 8 << 20
-#: Words whose ids a worker keeps, and the characters of such a word at most.
-KEPT_WORDS, KEPT_CHARACTERS = 1 << 18, 64
+#: Words whose ids a worker keeps, and their characters, beyond which it starts anew.
+KEPT_WORDS, KEPT_CHARACTERS = 1 << 18, 1 << 23
 #: Fixed values of the format.
 TABLE_MAGIC, SEEK_MAGIC, CLOSING_MAGIC, HAS_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 SKIPPABLE, ENTRY, FOOTER, PLACE = struct.Struct("<II"), np.dtype("<u4"), struct.Struct("<IBI"), struct.Struct("<qqq")
 #: The same magic as the end of a line of text.
 LINE_END = struct.pack("<I", CLOSING_MAGIC).decode("latin-1")
 
-_kept: dict[str, dict[str, bytes]] = {}
+#: Stands between words that are encoded in one call; a character that tokenizers of this kind make one id of.
+BETWEEN = "\x01"
+#: A letter and punctuation after it, which these tokenizers part; but for the apostrophe, which may lead an ending.
+LETTER_THEN_MARK = r"([A-Za-z])([!-&(-/:-@\[-`{-~])"
+PLAIN = re.compile("[a-z]+").fullmatch
+
+
+class WordIds:
+    """Ids of words, kept for the words to come: a place for each word in flat arrays."""
+
+    def __init__(self, spec: str):
+        self.spec = spec
+        read = json.loads(spec)
+        between, suffix = _ids([BETWEEN], spec)[0], read["model"].get("end_of_word_suffix")
+        self.between = np.isin(np.arange(_tokenizer(spec).get_vocab_size()), between) if len(between) == 1 else None
+        self.closing = np.zeros(_tokenizer(spec).get_vocab_size(), bool)
+        if suffix:
+            self.closing[[i for piece, i in read["model"]["vocab"].items() if piece.endswith(suffix)]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.characters, self.lengths, self.flat = 0, np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and lengths of each word's ids in an array of ids."""
+        if len(self.place) > KEPT_WORDS or self.characters > KEPT_CHARACTERS:
+            self.clear()
+        kinds: tuple[list[str], list[str], list[str]] = ([], [], [])
+        ends, parts = bool(self.closing.any()), self.between is not None
+        for w in words:
+            if w not in self.place:
+                kinds[0 if ends and PLAIN(w) else 1 if parts and BETWEEN not in w else 2].append(w)
+        for kind, encoded in zip(kinds, (self._letters(kinds[0]), self._joined(kinds[1]), self._alone(kinds[2])), strict=True):
+            self.place.update(zip(kind, range(len(self.place), len(self.place) + len(kind)), strict=True))
+            self.characters += sum(map(len, kind))
+            self.flat, self.lengths = np.concatenate([self.flat, encoded[0]]), np.concatenate([self.lengths, encoded[1]])
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        return (np.cumsum(self.lengths) - self.lengths)[at], self.lengths[at], self.flat
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, many at a time, and how many each has: a word's last id is one that ends words."""
+        ids = self._texts([" ".join(words[at : at + 512]) for at in range(0, len(words), 512)])
+        return ids, np.diff(np.flatnonzero(self.closing[ids]), prepend=-1)
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words of any characters, with an id of its own after each."""
+        ids = self._texts(["".join(f"{w} {BETWEEN} " for w in words[at : at + 512]) for at in range(0, len(words), 512)])
+        mark = self.between[ids] if len(ids) else np.zeros(0, bool)
+        return ids[~mark], np.diff(np.flatnonzero(mark), prepend=-1) - 1
+
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = _ids(words, self.spec)
+        return np.concatenate([np.zeros(0, "<u4"), *[np.array(x, "<u4") for x in found]]), np.array([len(x) for x in found], np.int64)
+
+    def _texts(self, texts: list[str]) -> np.ndarray:
+        return np.concatenate([np.zeros(0, "<u4"), *[np.array(x, "<u4") for x in _ids(texts, self.spec)]])
+
+
+@lru_cache(maxsize=2)
+def _word_ids(spec: str) -> WordIds:
+    return WordIds(spec)
 
 
 def _encoded(texts: pa.Array, spec: str) -> list[np.ndarray]:
     """Ids of every text; each distinct word of a batch is looked up or encoded once."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    words = pc.list_flatten(lists)
-    words = (words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words).dictionary_encode()
-    kept = _kept.setdefault(spec, {})
-    if len(kept) > KEPT_WORDS:
-        kept.clear()
-    distinct = words.dictionary.to_pylist()
-    new = [w for w in distinct if w not in kept]
-    found = dict(zip(new, (np.array(x, "<u4").tobytes() for x in _ids(new, spec)), strict=True))
-    pool = [kept[w] if w in kept else found[w] for w in distinct]
-    kept.update((w, x) for w, x in found.items() if len(w) <= KEPT_CHARACTERS)
-    lengths = np.fromiter((len(x) // 4 for x in pool), np.int64, len(pool))
-    starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(pool), "<u4")
+    texts = pc.fill_null(texts, "")
+    # fewer distinct words: the tokenizer folds case and parts letters and marks itself, but after it has looked for its special tokens
+    texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.replace_substring_regex(pc.ascii_lower(texts), LETTER_THEN_MARK, r"\1 \2"))
+    lists = pc.ascii_split_whitespace(texts)
+    words = pc.list_flatten(lists).dictionary_encode()
+    starts, lengths, flat = _word_ids(spec)(words.dictionary.to_pylist())
     codes = words.indices.to_numpy()
     ids = flat[_ragged(starts[codes], lengths[codes])] if len(codes) else flat[:0]
     ends = np.r_[0, np.cumsum(lengths[codes])][np.cumsum(pc.list_value_length(lists).to_numpy())]
@@ -118,7 +174,7 @@ def _shards(batches: Iterator[pa.RecordBatch], spec, end_id: int, shard_bytes: i
 
 
 def write_token_files(docs: DataFrame, spec: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, shard_bytes: int = SHARD_BYTES) -> None:
-    """Writes the ids of every text under the tokenizer ``spec`` (its JSON; one that drops white space), ``end_id``
+    """Writes the ids of every text under the tokenizer ``spec`` (its JSON; one that drops white space and folds case), ``end_id``
     after each, to files below ``path`` in ascending order of the id.
 
     Ids equal those of the tokenizers library with add_special_tokens=False. Defined cases: null text counts as

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from tokenizers import Tokenizer
@@ -125,3 +126,15 @@ def test_one_id_of_many_rows_is_dealt_to_several_files(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     facts = token_files.token_file_facts(spark, path).collect()
     assert sum(f.first_id is None for f in facts) >= 2 and sum(f.n_docs for f in facts) == 600
+
+
+def test_words_of_all_kinds_equal_the_library(library, monkeypatch):
+    """Words that are encoded many at a time, with the words kept and forgotten."""
+    rng = random.Random(4)
+    alphabet = "aeghstxyzABE'.,!-/<|>\x01\x1c\u00e9e\u0301\u0338=\u00df\u0130\u65e51\u00bd_ \t\n\u00a0"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(3000)] + ["it's we'll. don't,", "a<|endoftext|>b.", "<|ENDOFTEXT|>x."]
+    for room in (1 << 18, 10):
+        monkeypatch.setattr(token_files, "KEPT_WORDS", room)
+        for at in range(0, len(texts), 500):
+            part = texts[at : at + 500]
+            assert [x.tolist() for x in token_files._encoded(pa.array(part), SPEC)] == [library(t)[:-1] for t in part]
