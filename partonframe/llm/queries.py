@@ -25,6 +25,7 @@ from .pii import BASE_ORACLE, base_spans, find
 from .quality import oracle_sql as quality_sql
 from .quality import score
 from .simhash import near_duplicates
+from .spelling import spelling_variants
 from .substring_dedup import repeated_passages
 from .token_files import read_token_files, write_token_files
 
@@ -99,6 +100,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(read(spark, sf_dir, "documents"), read_tokenizer(tokenizer_path()), digests=True)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -120,6 +125,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_filter_audit": op12_filter_audit,
     "op13_token_files": op13_token_files,
     "chat_tool_calls": chat_tool_calls,
