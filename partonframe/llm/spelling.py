@@ -2,10 +2,9 @@
 
 A word's mask has a bit for every letter, set where the letter occurs an odd number of times. One inserted or
 deleted letter flips one bit, one replaced letter two or none. The mask is cut into three bands, so a replacement
-leaves a band as it is, and an insertion one of any two bands. An edit also leaves the first or the last half of a
-word, so every band is joined together with either half and the length, as one key: a key's group stays small
-where a band's alone would grow with the square of the vocabulary. A pair counts under the first key that it
-shares only, and is verified.
+leaves a band as it is, and an insertion one of any two bands. An edit also leaves two thirds of a word as they are,
+so every band is joined together with two thirds and the length, as one key: of a million words, a key has eight, a
+band alone thousands. A pair counts under the first key that it shares only, and is verified.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -73,6 +73,10 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
+def with_bands(words: DataFrame) -> DataFrame:
+    return words.withColumn("b", F.array(*parity_bands(F.col("word"))))
+
+
 def parity_bands(word: Column) -> list[Column]:
     """The mask of a word's letters in bands of 30 bits."""
     code = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.ascii(c))
@@ -81,44 +85,58 @@ def parity_bands(word: Column) -> list[Column]:
     return [F.aggregate(place, F.lit(0), flip(k)) for k in range(BANDS)]
 
 
-def _half(longer: Column) -> Column:
-    """Letters that an edit leaves at a word's start or else at its end, by the length of the longer word."""
-    return F.floor((longer - 1) / 2).cast("int")
+#: Letters of a part up to which Spark's edit distance looks at it, whose time grows with the square of the length.
+SHORT = 64
+PARTS = 3
+
+
+def _kept(word: Column, longer: Column, part: int) -> list[Column]:
+    """What an edit in this third leaves of a word, by the length of the longer of the two words."""
+    one, two = F.floor(longer / 3).cast("int"), F.floor(2 * longer / 3).cast("int")
+    return [[F.right(word, longer - one)], [F.left(word, one), F.right(word, longer - two)], [F.left(word, two)]][part]
 
 
 def _keys(words: DataFrame) -> DataFrame:
-    """(key, role, last, band, word, n, m, m2): a word's keys. Role 0 is for words of equal length, 1 for the longer and 2 for the shorter of two."""
+    """(key, role, part, band, word, n, m, m2): a word's keys. Role 0 is for words of equal length, 1 for the longer and 2 for the shorter of two."""
     size = F.length("word")
-    rows = words.select("word", "n", F.array(*parity_bands(F.col("word"))).alias("b"))
-    kinds = [(role, last, band) for role in range(3) for last in (False, True) for band in range(BANDS if role == 0 else BANDS - 1)]
+    kinds = [(role, part, band) for role in range(3) for part in range(PARTS) for band in range(BANDS if role == 0 else BANDS - 1)]
 
-    def key(role: int, last: bool, band: int) -> Column:
+    def key(role: int, part: int, band: int) -> Column:
         longer = size + (1 if role == 2 else 0)
-        end = F.right("word", _half(longer)) if last else F.left("word", _half(longer))
-        hashed = F.xxhash64(F.lit(role > 0), F.lit(last), F.lit(band), longer, end, F.get("b", F.lit(band)))
-        return F.struct(hashed.alias("key"), F.lit(role).cast("byte").alias("role"), F.lit(last).alias("last"), F.lit(band).cast("byte").alias("band"))
+        hashed = F.xxhash64(F.lit(role > 0), F.lit(part), F.lit(band), longer, *_kept(F.col("word"), longer, part), F.get("b", F.lit(band)))
+        return F.struct(hashed.alias("key"), F.lit(role).cast("byte").alias("role"), F.lit(part).cast("byte").alias("part"), F.lit(band).cast("byte").alias("band"))
 
     # two bands in one number, as rows of this table are the most that is sent
     two = F.shiftleft(F.get("b", F.lit(0)).cast("long"), 32) + F.get("b", F.lit(1))
-    each = rows.select("word", "n", two.alias("m"), F.get("b", F.lit(2)).alias("m2"), F.explode(F.array(*[key(*k) for k in kinds])).alias("k"))
+    each = words.select("word", "n", two.alias("m"), F.get("b", F.lit(2)).alias("m2"), F.explode(F.array(*[key(*k) for k in kinds])).alias("k"))
     return each.select("k.*", "word", "n", "m", "m2")
 
 
+def _one_edit(one: Column, two: Column) -> Column:
+    """Whether one edit parts the words; the first is as long as the other or longer by one."""
+    letters = lambda w: F.split(w, "")
+    alike = F.zip_with(letters(one), letters(two), lambda x, y: x.eqNullSafe(y))
+    at = F.array_position(alike, False).cast("int")
+    rest = lambda w, start: F.substring(w, start, F.length(w))
+    long = (at > 0) & (rest(one, at + 1) == rest(two, at + F.when(F.length(one) == F.length(two), 1).otherwise(0)))
+    return F.when(F.length(one) <= SHORT, F.levenshtein(one, two, 1) == 1).otherwise(long)
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
-    """(word, n, other, other_n): each pair of words that one edit parts, once."""
+    """(word, n, other, other_n): each pair of words (word, n, b: parity bands) that one edit parts, once; the longer first."""
     keys = _keys(words)
     one, two = keys.alias("a"), keys.alias("b")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     flipped = [F.shiftright(a("m"), 32) != F.shiftright(b("m"), 32), a("m").bitwiseAND(F.lit(0xFFFFFFFF)) != b("m").bitwiseAND(F.lit(0xFFFFFFFF)), a("m2") != b("m2")]
     bits = F.bit_count(a("m").bitwiseXOR(b("m"))) + F.bit_count(a("m2").bitwiseXOR(b("m2")))
     first_band = F.when(~flipped[0], 0).when(~flipped[1], 1).when(~flipped[2], 2)
-    half = _half(F.greatest(F.length(a("word")), F.length(b("word"))))
-    starts_alike = F.left(a("word"), half) == F.left(b("word"), half)
+    longer = F.length(a("word"))
+    alike = [reduce(Column.__and__, [x == y for x, y in zip(_kept(a("word"), longer, k), _kept(b("word"), longer, k), strict=True)]) for k in range(PARTS)]
+    first_part = F.when(alike[0], 0).when(alike[2], 2).when(alike[1], 1)
     roles = (a("role") == 0) & (b("role") == 0) & (a("word") < b("word")) | (a("role") == 1) & (b("role") == 2)
-    lengths = F.length(a("word")) - F.length(b("word")) == F.when(a("role") == 0, 0).otherwise(1)
-    first = (a("band") == b("band")) & (a("band") == first_band) & (a("last") == b("last")) & (a("last") != starts_alike)
-    edit = F.levenshtein(a("word"), b("word"), 1) == 1
-    met = one.join(two, (a("key") == b("key")) & roles & lengths & (bits <= 2) & first & edit)
+    lengths = longer - F.length(b("word")) == F.when(a("role") == 0, 0).otherwise(1)
+    same_key = (a("key") == b("key")) & (a("part") == b("part")) & (a("band") == b("band"))
+    met = one.join(two, same_key & roles & lengths & (bits <= 2) & (a("band") == first_band) & (a("part") == first_part) & _one_edit(a("word"), b("word")))
     return met.select(a("word").alias("word"), a("n").alias("n"), b("word").alias("other"), b("n").alias("other_n"))
 
 
@@ -145,12 +163,13 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     time; an empty table gives an empty result; extra columns are ignored; texts and runs may be of any length.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    words = scratch.table(word_counts(docs, id_col, text_col))
+    words = scratch.table(with_bands(word_counts(docs, id_col, text_col)))
     pairs = near_pairs(words)
     both = pairs.select(F.explode(F.array(
         F.struct("word", F.col("other").alias("other"), F.col("other_n").alias("other_n")), F.struct(F.col("other").alias("word"), F.col("word").alias("other"), F.col("n").alias("other_n")),
     )).alias("x")).select("x.*")
     none = [F.lit(None).cast("string").alias("other"), F.lit(None).cast("long").alias("other_n"), "n"]
+    # the words themselves are rows of the same aggregate
     rows = both.withColumn("n", F.lit(None).cast("long")).unionByName(words.select("word", *none))
     best = F.min(F.when(F.col("other").isNotNull(), F.struct((-F.col("other_n")).alias("less"), "other"))).alias("best")
     facts = rows.groupBy("word").agg(F.max("n").alias("n"), F.count("other").alias("n_near"), best)

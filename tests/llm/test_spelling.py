@@ -60,6 +60,10 @@ def variants(rng, word, letters, edits=1):
     return word
 
 
+def pairs_of(spark, words):
+    return spelling.near_pairs(spelling.with_bands(spark.createDataFrame([(w, 2) for w in words], "word string, n long")))
+
+
 def test_documents_with_planted_variants(spark):
     rng = random.Random(11)
     letters = "abcdefghéß×ÿ"
@@ -88,7 +92,7 @@ def test_all_pairs_of_a_dense_vocabulary_once(spark):
     """Few letters, so that most pairs of words share masks, halves and lengths."""
     rng = random.Random(12)
     words = sorted({"".join(rng.choice("abà") for _ in range(rng.randrange(7, 11))) for _ in range(700)})
-    found = spelling.near_pairs(spark.createDataFrame([(w, 2) for w in words], "word string, n long")).collect()
+    found = pairs_of(spark, words).collect()
     pairs = sorted(tuple(sorted((r.word, r.other))) for r in found)
     assert pairs == sorted((a, b) for i, a in enumerate(words) for b in words[i + 1 :] if near(a, b))
 
@@ -96,8 +100,7 @@ def test_all_pairs_of_a_dense_vocabulary_once(spark):
 def test_every_position_and_kind_of_edit(spark):
     word = "abcdefghij"
     edited = {word[:i] + c + word[i + k :] for i in range(len(word) + 1) for k in (0, 1) for c in ("", "x", "ÿ", word[i % 10])} - {word}
-    rows = [(w, 2) for w in edited | {word}]
-    found = spelling.near_pairs(spark.createDataFrame(rows, "word string, n long")).where((F.col("word") == word) | (F.col("other") == word))
+    found = pairs_of(spark, edited | {word}).where((F.col("word") == word) | (F.col("other") == word))
     assert {r.word if r.other == word else r.other for r in found.collect()} == {w for w in edited if near(w, word)}
 
 
@@ -107,6 +110,15 @@ def test_masks_have_a_bit_for_each_letter(spark):
     assert len({tuple(r.b) for r in rows}) == 90 and all(sum(v.bit_count() for v in r.b) == 1 for r in rows)
 
 
+def test_long_words_are_compared_without_squares(spark):
+    rng = random.Random(13)
+    word = "".join(rng.choice("abc") for _ in range(200))
+    edited = [word[:i] + c + word[i + k :] for i in (0, 66, 67, 100, 133, 134, 199, 200) for k in (0, 1) for c in ("", "x", "a")] + [word[:50] + word[60:], "x" + word[1:-1] + "x"]
+    words = sorted({word, *edited})
+    got = sorted(tuple(sorted((r.word, r.other))) for r in pairs_of(spark, words).collect())
+    assert got == sorted((a, b) for i, a in enumerate(words) for b in words[i + 1 :] if near(a, b))
+
+
 def test_chains_of_forms(spark):
     forms = [(f"w{i:02d}", f"w{i + 1:02d}") for i in range(19)]
     got = {r.word: r.root for r in spelling.roots(spark.createDataFrame(forms, "word string, form string"), Scratch(spark)).collect()}
