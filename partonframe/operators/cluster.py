@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions import kinematics as K
 from ..plans.params import check_params, jet_name, same_params
-from ..schema import CLUSTERED, NODE_FLOATS, NODE_INTS, NODES, PARTICLES
+from ..schema import CLUSTERED, LIFETIMES, LIVED, NODE_FLOATS, NODE_INTS, NODES, PARTICLES
 from ..shared import file_system, read_text, write_text
 from .kernels import cone, genkt, spectral, wavelet
 from .kernels.physics import Nodes
@@ -65,13 +65,13 @@ def _events(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[tuple[in
         yield event, np.concatenate(parts), n
 
 
-def _cluster(batches: Iterator[pa.RecordBatch], kernel: Callable[..., Nodes], params: dict, most: float, rows_out: int = 20_000) -> Iterator[pa.RecordBatch]:
+def _cluster(batches: Iterator[pa.RecordBatch], kernel: Callable[..., Nodes], params: dict, most: float, lived: bool = False, rows_out: int = 20_000) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
         ids = np.concatenate([np.full(len(r), e) for e, r, *_ in held])
-        known = np.concatenate([np.full(len(r), s == "ok") for _, r, _, _, s, _ in held])
+        known = np.concatenate([np.full(len(r), s == "ok") for _, r, _, _, s, *_ in held])
         null = ~known
         root, ints, floats = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
         columns = [pa.array(ids, pa.int64()), pa.array(root, pa.int64(), mask=null)]
@@ -79,7 +79,9 @@ def _cluster(batches: Iterator[pa.RecordBatch], kernel: Callable[..., Nodes], pa
         columns += [pa.array(floats[:, k], pa.float64(), mask=null) for k in range(len(NODE_FLOATS))]
         columns.append(pa.array([h[4] for h in held for _ in range(len(h[1]))], pa.string()))
         columns.append(pa.array(np.concatenate([np.full(len(h[1]), h[5]) for h in held]), pa.float64()))
-        return pa.RecordBatch.from_arrays(columns, CLUSTERED.fieldNames())
+        if lived:
+            columns += [pa.array(np.concatenate([h[6][:, k] for h in held]), pa.int64(), mask=null) for k in range(len(LIFETIMES))]
+        return pa.RecordBatch.from_arrays(columns, (LIVED if lived else CLUSTERED).fieldNames())
 
     for event, values, n in _events(batches, most):
         px, py, pz, energy, pt, y, phi = values.T
@@ -88,12 +90,13 @@ def _cluster(batches: Iterator[pa.RecordBatch], kernel: Callable[..., Nodes], pa
             if n > most:
                 status = "too_large"
             else:
-                root, ints, floats = kernel(Nodes(px, py, pz, energy, pt, y, phi), **params).table()
+                made = kernel(Nodes(px, py, pz, energy, pt, y, phi), **params)
+                (root, ints, floats), lives = made.table(), made.lifetimes()
         except np.linalg.LinAlgError:
             status = "linalg_error"
         if status != "ok":
-            root, ints, floats = np.zeros(1, np.int64), np.zeros((1, len(NODE_INTS)), np.int64), np.zeros((1, len(NODE_FLOATS)))
-        held.append((event, root, ints, floats, status, time.perf_counter() - began if status == "ok" else float("nan")))
+            root, ints, floats, lives = np.zeros(1, np.int64), np.zeros((1, len(NODE_INTS)), np.int64), np.zeros((1, len(NODE_FLOATS))), np.zeros((1, 2), np.int64)
+        held.append((event, root, ints, floats, status, time.perf_counter() - began if status == "ok" else float("nan"), lives))
         size += len(root)
         if size >= rows_out:
             yield flush()
@@ -102,8 +105,8 @@ def _cluster(batches: Iterator[pa.RecordBatch], kernel: Callable[..., Nodes], pa
         yield flush()
 
 
-def cluster(particles: DataFrame, algorithm: str, params: Mapping[str, object] | None = None, most_particles: int | None = None, kernel: Callable[..., Nodes] | None = None, partitions: int | None = None, clustered: bool = False) -> DataFrame:
-    """Nodes of all events with status and duration (CLUSTERED).
+def cluster(particles: DataFrame, algorithm: str, params: Mapping[str, object] | None = None, most_particles: int | None = None, kernel: Callable[..., Nodes] | None = None, partitions: int | None = None, clustered: bool = False, lived: bool = False) -> DataFrame:
+    """Nodes of all events with status and duration (CLUSTERED), and if ``lived`` with the steps between which they are live (LIVED).
 
     ``algorithm`` is a name of the registry, or any name with a ``kernel`` of one's own (Nodes and parameters
     to Nodes). Events of more than ``most_particles`` (by default MOST_PARTICLES for algorithms that need a matrix
@@ -121,7 +124,7 @@ def cluster(particles: DataFrame, algorithm: str, params: Mapping[str, object] |
     rows = from_kinematics(particles)
     dealt = rows if clustered else rows.repartition(partitions, "event_id") if partitions else rows.repartition("event_id")
     ordered = dealt.sortWithinPartitions("event_id", "idx", *INPUTS[2:])
-    return ordered.mapInArrow(partial(_cluster, kernel=kernel, params=checked, most=most_particles), CLUSTERED)
+    return ordered.mapInArrow(partial(_cluster, kernel=kernel, params=checked, most=most_particles, lived=lived), LIVED if lived else CLUSTERED)
 
 
 def spectral_trace(particles: DataFrame, params: Mapping[str, object] | None = None) -> DataFrame:

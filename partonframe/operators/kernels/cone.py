@@ -7,16 +7,19 @@ import numpy as np
 from .physics import Nodes, ca_distance2, factor, rapidity
 
 STABLE, MOST_TURNS = 0.01, 100
+#: Transverse momenta that agree within this part of them are a tie: their last bits depend on how they were computed.
+TIE = 1e-9
 
 
 def cluster(nodes: Nodes, DeltaR: float = 0.8, SeedThreshold: float = 1.0, ExpofPTInput: float = 0.0, ExpofPTFormatInput: str | None = None, PhyDistance: str = "angular") -> Nodes:
-    """The hardest free particle above the threshold seeds a cone; the axis moves to the sum of the cone's
-    content until its energy is stable or the content repeats; the content is a jet. What is left has no parent."""
+    """The hardest free particle above the threshold seeds a cone, of equal ones the first; the axis moves to the sum of
+    the cone's content until its energy is stable or the content repeats; the content is a jet. What is left has no parent."""
     n = nodes.n
     free = np.ones(n, bool)
     while free.any():
         pt = np.where(free, nodes.pt[:n], -np.inf)
-        seed = int(pt.argmax())
+        hardest = pt.max()
+        seed = int(np.flatnonzero(pt >= hardest - TIE * abs(hardest))[0])
         if not pt[seed] > SeedThreshold:
             break
         y, phi, hard, energy = nodes.y[seed], nodes.phi[seed], nodes.pt[seed], nodes.floats[seed, 3]

@@ -8,13 +8,15 @@ from .physics import Nodes, ca_distance2, factor
 
 #: Particles up to which all distances are kept; with more, every node keeps its nearest one only.
 MOST_DENSE = 256
+#: Distances that agree within this part of them are a tie: their last bits depend on how they were computed.
+TIE = 1e-9
 
 
 def cluster(nodes: Nodes, DeltaR: float = 0.8, ExpofPTInput: float = 0.0, ExpofPTFormatInput: str | None = None, PhyDistance: str = "angular", steps: int | None = None) -> Nodes:
     """Merges the closest pair, or retires a node that is closer to the beam, until one node is left.
 
-    Distances are dR^2 f^2 between nodes and DeltaR^2 f^2 to the beam; of equal ones the first by (row, column)
-    in order of creation wins. ``steps`` stops after so many.
+    Distances are dR^2 f^2 between nodes and DeltaR^2 f^2 to the beam; of those that agree with the least within TIE
+    the first by (row, column) in order of creation wins. ``steps`` stops after so many.
     """
     n = nodes.n
     if n < 2:
@@ -23,6 +25,8 @@ def cluster(nodes: Nodes, DeltaR: float = 0.8, ExpofPTInput: float = 0.0, ExpofP
     left, done = n, 0
     while left > 1 and done != steps:
         i, j, distance2 = pairs.closest()
+        if i == j:
+            nodes.retire(i)
         pairs.replace(i, j, nodes.merge(i, j, distance2) if i != j else None)
         left -= 1
         done += 1
@@ -42,10 +46,10 @@ class Dense:
 
     def closest(self) -> tuple[int, int, float]:
         i, j = divmod(int(self.distance.argmin()), len(self.row))
+        ties = np.flatnonzero(self.distance <= self.distance[i, j] * (1 + TIE))
+        if len(ties) > 1:
+            i, j = min((divmod(t, len(self.row)) for t in ties.tolist()), key=lambda t: sorted(self.row[list(t)].tolist()))
         least = self.distance[i, j]
-        ties = np.argwhere(self.distance == least)
-        if len(ties) > 2:
-            i, j = min((tuple(sorted(t)) for t in ties.tolist()), key=lambda t: sorted(self.row[list(t)].tolist()))
         i, j = sorted((int(self.row[i]), int(self.row[j])))
         return i, j, float(least)
 
@@ -86,13 +90,12 @@ class Nearest:
     def _search(self, slot: int) -> None:
         distance = self._distances(int(self.row[slot]))
         self.least[slot] = distance.min()
-        self.partner[slot] = self.row[distance == self.least[slot]].min()
+        self.partner[slot] = self.row[distance <= self.least[slot] * (1 + TIE)].min()
 
     def closest(self) -> tuple[int, int, float]:
-        least = self.least.min()
-        at = np.flatnonzero(self.least == least)
-        i, j = min(tuple(sorted((int(self.row[s]), int(self.partner[s])))) for s in at)
-        return i, j, float(least)
+        at = np.flatnonzero(self.least <= self.least.min() * (1 + TIE))
+        i, j, slot = min((*sorted((int(self.row[s]), int(self.partner[s]))), int(s)) for s in at)
+        return i, j, float(self.least[slot])
 
     def replace(self, i: int, j: int, new: int | None) -> None:
         keep = (self.row != i) & (self.row != j)
@@ -100,7 +103,7 @@ class Nearest:
         lost = np.isin(self.partner, (i, j))
         if new is not None:
             self.row, self.least, self.partner, lost = np.append(self.row, new), np.append(self.least, np.inf), np.append(self.partner, new), np.append(lost, True)
-            closer = self._distances(new) < self.least
+            closer = self._distances(new) < self.least * (1 - TIE)
             closer[-1] = False
             if closer.any():
                 self.least[closer], self.partner[closer] = self._distances(new)[closer], new

@@ -65,7 +65,10 @@ def laplacian(affinities: np.ndarray, norm: np.ndarray | None) -> np.ndarray:
 
 
 class Nodes:
-    """Node table of an event that grows by merges. Inputs come first, in order of their index."""
+    """Node table of an event that grows by merges. Inputs come first, in order of their index.
+
+    ``born`` and ``last`` are the first and the last step before which a node is live; steps count from 0.
+    """
 
     def __init__(self, px, py, pz, energy, pt, y, phi, labels=None):
         n = len(px)
@@ -75,6 +78,7 @@ class Nodes:
         self.floats = np.full((rows, 9), np.nan)
         self.ints[:n, 0] = np.arange(n) if labels is None else labels
         self.floats[:n] = np.column_stack([pt, y, phi, energy, px, py, pz, np.zeros(n), np.ones(n)])
+        self.step, self.born, self.last = 0, np.zeros(rows, np.int64), np.full(rows, -1, np.int64)
 
     pt = property(lambda self: self.floats[:, 0])
     y = property(lambda self: self.floats[:, 1])
@@ -95,13 +99,29 @@ class Nodes:
         self.floats[row, 7] = np.sqrt(distance2)
         self.ints[[i, j], 1] = label
         self.used += 1
+        self._end([i, j])
+        self.born[row] = self.step
         return row
 
+    def retire(self, i: int) -> None:
+        """Row i is a jet and takes no part in later steps."""
+        self._end([i])
+
+    def _end(self, rows: list[int]) -> None:
+        self.last[rows] = self.step
+        self.step += 1
+
+    def lifetimes(self) -> np.ndarray:
+        """First and last step before which each used node is live; those left at the end are so before the step that isn't taken."""
+        last = self.last[: self.used]
+        return np.column_stack([self.born[: self.used], np.where(last < 0, self.step, last)])
+
     def gather(self, members) -> int:
         """A root over rows that have none yet: its own child, of rank 0, without join distance."""
         if self.used == len(self.ints):
             self.ints = np.vstack([self.ints, np.full((self.n + 1, 5), -1, np.int64)])
             self.floats = np.vstack([self.floats, np.full((self.n + 1, 9), np.nan)])
+            self.born, self.last = np.append(self.born, np.zeros(self.n + 1, np.int64)), np.append(self.last, np.full(self.n + 1, -1))
         row, label = self.used, self.ints[: self.used, 0].max() + 1
         self.ints[row] = [label, -1, label, label, 0]
         self._momentum(row, list(members))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.factors import antikt_weight, ca_distance2, exp_affinity, factor, singularity_factor
 
+#: Distances that agree within this part of them are a tie.
+TIE = 1e-9
 COLUMNS = ["pt", "rapidity", "phi"]
 
 
@@ -101,10 +103,11 @@ def min_distance(pairs: DataFrame, limit: float, by: str = "dist2") -> DataFrame
 def first_choice(particles: DataFrame, delta_r: float = 0.8, form: str | None = None, exponent: float = 0.0) -> DataFrame:
     """First step of sequential recombination: (event_id, i, j, dist2), i = j where the particle is nearest to the beam.
 
-    Of equal distances the first by (i, j) wins.
+    Of the distances that agree with the least within TIE the first by (i, j) wins.
     """
     between = with_distance2(pairs(particles), form, exponent).select("event_id", "i", "j", "dist2")
     own = factor(form, exponent, "pt", "pt")
     beam = particles.select("event_id", F.col("idx").alias("i"), F.col("idx").alias("j"), (F.lit(float(delta_r) ** 2) * own * own).alias("dist2"))
-    best = F.min(F.struct("dist2", "i", "j")).alias("b")
-    return between.union(beam).groupBy("event_id").agg(best).select("event_id", "b.i", "b.j", "b.dist2")
+    every = between.union(beam).withColumn("_least", F.min("dist2").over(Window.partitionBy("event_id")))
+    best = F.min(F.struct("i", "j", "dist2")).alias("b")
+    return every.where(F.col("dist2") <= F.col("_least") * (1 + TIE)).groupBy("event_id").agg(best).select("event_id", "b.i", "b.j", "b.dist2")

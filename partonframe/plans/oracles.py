@@ -11,6 +11,10 @@ DISTANCE2 = f"({GAP} * {GAP} + (a.rapidity - b.rapidity) * (a.rapidity - b.rapid
 RAPIDITY = "case when pz = 0 then 0e0 else sign(pz) * 0.5 * ln((pt * pt + greatest(energy * energy - pz * pz - pt * pt, 0)) / ((energy - abs(pz)) * (energy - abs(pz)))) end"
 
 
+#: Distances and momenta that agree within this part of them are a tie, and the first wins.
+TIE = "1e-9"
+
+
 def recombination(delta_r: float, factor: str = "1e0", own: str = "1e0") -> str:
     """Sequential recombination. ``n`` has the live nodes of every step, and the nodes that became jets in it; child1 and
     child2 of the node that was made. ``factor`` is of nodes a and b, ``own`` of a node."""
@@ -20,9 +24,9 @@ def recombination(delta_r: float, factor: str = "1e0", own: str = "1e0") -> str:
         union all
         select event_id, step, label, top, live, px, py, pz, energy, pt, phi, {RAPIDITY}, members, child1, child2, jet from (
             select event_id, step, label, top, live, px, py, pz, energy, sqrt(px * px + py * py) pt, atan2(py, px) phi, members, child1, child2, jet from (
-                with c as (select event_id, arg_min({{'i': i, 'j': j}}, {{'d': d, 'i': i, 'j': j}}) b from (
+                with c as (select event_id, min({{'i': i, 'j': j}}) b from (select *, min(d) over (partition by event_id) least from (
                     select a.event_id, a.label i, b.label j, {DISTANCE2} * {factor} * {factor} d from n a join n b on a.event_id = b.event_id and a.label < b.label where a.live > 1 and not a.jet and not b.jet
-                    union all select event_id, label, label, {delta_r}e0 * {delta_r}e0 * {own} * {own} from n where live > 1 and not jet) group by event_id)
+                    union all select event_id, label, label, {delta_r}e0 * {delta_r}e0 * {own} * {own} from n where live > 1 and not jet)) where d <= least * (1 + {TIE}) group by event_id)
                 select n.event_id, step + 1 as step, label, top + (c.b.i <> c.b.j)::int as top, live - 1 as live, px, py, pz, energy, members, -1::bigint as child1, -1::bigint as child2, label = c.b.i as jet
                     from n join c on n.event_id = c.event_id where not n.jet and (c.b.i = c.b.j or label <> c.b.i and label <> c.b.j)
                 union all
@@ -32,7 +36,7 @@ def recombination(delta_r: float, factor: str = "1e0", own: str = "1e0") -> str:
 
 
 def cone(delta_r: float, threshold: float = 1.0, stable: float = 0.01, turns: int = 100) -> str:
-    """Iterative cones. ``c`` has a row for every turn of a cone; ``made`` is the jet that ends with it."""
+    """Iterative cones. The hardest particles within TIE of one another are equal, and the first of them seeds. ``c`` has a row for every turn of a cone; ``made`` is the jet that ends with it."""
     each = lambda column: f"list_sum(list_transform(inside, lambda x: t.{column}[x + 1]))"
     gap = "least(abs(f.phi - t.phi[x + 1]) % (2 * pi()), 2 * pi() - abs(f.phi - t.phi[x + 1]) % (2 * pi()))"
     near = f"list_filter(f.free, lambda x: {gap} * {gap} + (f.y - t.y[x + 1]) * (f.y - t.y[x + 1]) < {delta_r}e0 * {delta_r}e0)"
@@ -47,7 +51,7 @@ def cone(delta_r: float, threshold: float = 1.0, stable: float = 0.01, turns: in
                 select f.event_id, f.free, f.e, f.members, f.seen, f.turn, inside, {each('e')} ne, {each('px')} px, {each('py')} py, {each('pz')} pz from (select f.*, {near} inside from c f join t on f.event_id = t.event_id where f.y is not null) f join t on f.event_id = t.event_id)))
         union all
         select f.event_id, f.free, t.y[s + 1], t.phi[s + 1], t.e[s + 1], [s], []::bigint[][], 0, null from (
-            select c.*, list_sort(list_transform(c.free, lambda x: {{'p': -t.pt[x + 1], 'i': x}}))[1].i s from c join t on c.event_id = t.event_id where c.y is null and len(c.free) > 0) f join t on f.event_id = t.event_id where t.pt[s + 1] > {threshold}e0)),
+            select c.*, list_min(list_filter(c.free, lambda x: t.pt[x + 1] >= (1 - {TIE}) * list_max(list_transform(c.free, lambda z: t.pt[z + 1])))) s from c join t on c.event_id = t.event_id where c.y is null and len(c.free) > 0) f join t on f.event_id = t.event_id where t.pt[s + 1] > {threshold}e0)),
     jets as (select event_id, made as members from c where made is not null union all
         select p.event_id, [p.idx] from p where not exists (select 1 from c where c.event_id = p.event_id and list_contains(c.made, p.idx)))"""
 

@@ -17,7 +17,7 @@ from ..functions import kinematics as K
 from ..functions import udtf
 from ..functions.angles import angular_distance, confine_angle
 from ..functions.factors import ca_distance2, factor, singularity_factor
-from ..operators import decay, integrity, jets, kmeans, matching, pairwise, references
+from ..operators import decay, history, integrity, jets, kmeans, matching, pairwise, references
 from ..operators.cluster import cluster, cluster_batch, from_kinematics, nodes, spectral_trace
 from ..operators.kernels import wavelet
 from ..sources import external, particle_data
@@ -219,7 +219,7 @@ def stop_min_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _first_sql(f: str, own: str) -> str:
-    return _sql(f"select event_id, i, j, {r('d', 'dist2')} from (select *, row_number() over (partition by event_id order by d, i, j) n from c) where n = 1", PAIRS + f", c as (select event_id, i, j, d2 * {f} * {f} d from q union all select event_id, idx, idx, 0.8e0 * 0.8e0 * {own} * {own} from p)")
+    return _sql(f"select event_id, i, j, {r('d', 'dist2')} from (select *, row_number() over (partition by event_id order by i, j) n from (select *, min(d) over (partition by event_id) least from c) where d <= least * (1 + 1e-9)) where n = 1", PAIRS + f", c as (select event_id, i, j, d2 * {f} * {f} d from q union all select event_id, idx, idx, 0.8e0 * 0.8e0 * {own} * {own} from p)")
 
 
 for _name, _form, _exponent, _f, _own in (("kt_first_pair", "genkt", 1, "least(pt_i, pt_j)", "pt"), ("ca_first_pair", None, 0, "1e0", "1e0"), ("antikt_first_pair", "genkt", -1, "least(1 / pt_i, 1 / pt_j)", "(1 / pt)")):
@@ -536,6 +536,33 @@ def merge_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.withColumn("step", F.col("step").cast("long"))
 
 
+# states of a clustering: the recursive SQL has the live nodes of every step
+_STATES = {"antikt": (ANTIKT, _INVERSE), "kt": (ANTIKT | {"ExpofPTInput": 1.0}, ("least(a.pt, b.pt)", "pt"))}
+_STEPS = (0, 1, 5, 20)
+
+
+def _history(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return history.history(particles(spark, sf_dir), "GeneralisedKT", _STATES[name][0], clustered=True)
+
+
+for _name in _STATES:
+    _duck = oracles.recombination(0.4, *_STATES[_name][1])
+    query(f"{_name}_live_nodes", _jets_sql(_duck, f"select event_id, step, label, {r('pt', 'pt')} from n where not jet and step in {_STEPS}"))(
+        lambda s, d, k=_name: history.at_steps(_history(s, d, k), particles(s, d).select("event_id").distinct().withColumn("step", F.explode(F.array(*map(F.lit, _STEPS))))).select("event_id", "step", "label", rounded("pt", "pt")))
+    query(f"{_name}_live_trace", _jets_sql(_duck, "select event_id, step::bigint as step, count(*) as n_live, sum(label)::bigint as labels, sum(len(members))::bigint as leaves from n where not jet group by event_id, step"))(
+        lambda s, d, k=_name: history.running(_history(s, d, k), {"n_live": F.lit(1), "labels": F.col("label"), "leaves": F.col("size")}))
+
+
+@query("antikt_live_minor", _jets_sql(oracles.recombination(0.4, *_INVERSE), f"""select a.event_id, a.step::bigint as step, count(*) as n, {r('sum(sqrt(' + oracles.DISTANCE2 + '))', 'total')}, {r('min(' + oracles.DISTANCE2 + ')', 'least')}
+    from n a join n b on a.event_id = b.event_id and a.step = b.step and a.label < b.label and not a.jet and not b.jet where a.step in {_STEPS} group by all"""))
+def antikt_live_minor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distances between the live nodes of some states, from the pairs that are ever live at once."""
+    pairs = history.live_pairs(_history(spark, sf_dir, "antikt"), ["rapidity", "phi"])
+    states = pairs.select("event_id").distinct().withColumn("step", F.explode(F.array(*map(F.lit, _STEPS))))
+    d = history.at_steps(pairs, states).withColumn("d2", _dist2())
+    return d.groupBy("event_id", "step").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum(F.sqrt("d2")), "total"), rounded(F.min("d2"), "least"))
+
+
 @query("resume_batches", _ANTIKT_SQL)
 def resume_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two calls, the second of which does what the first has left; every event is clustered once."""

@@ -18,5 +18,8 @@ NODES = T.StructType([
 ])
 #: Nodes with the outcome of their event: a failed event has one row, whose node columns are null.
 CLUSTERED = T.StructType([*NODES.fields, T.StructField("status", T.StringType()), T.StructField("duration_s", T.DoubleType())])
+#: Nodes with the first and the last step before which they are live, and the outcome of their event.
+LIFETIMES = ["born", "last"]
+LIVED = T.StructType([*CLUSTERED.fields, *[T.StructField(c, T.LongType()) for c in LIFETIMES]])
 RUN_LOG = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("jet_name", T.StringType()), T.StructField("duration_s", T.DoubleType()), T.StructField("status", T.StringType())])
 PARAMS = T.StructType([T.StructField(c, T.StringType()) for c in ("jet_name", "algorithm", "name", "value_json")])
