@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import apply
+from ..functions.arrays import apply, flatten
 
 
 def zero_based(refs: Column, depth: int = 1) -> Column:
@@ -24,6 +27,57 @@ def reflect_references(source: DataFrame, target: DataFrame) -> DataFrame:
     return target.select("event_id", "idx").join(back, ["event_id", "idx"], "left").withColumn("ref", F.coalesce("ref", F.lit(-1)))
 
 
+def objects(tables: Mapping[str, DataFrame], uid: str = "uid") -> DataFrame:
+    """The typed pointer table (event_id, uid, kind, target) of several tables (event_id, idx, ``uid``) whose objects share one space of unique ids in an event."""
+    each = [t.select("event_id", F.col(uid).cast("long").alias("uid"), F.lit(kind).alias("kind"), F.col("idx").cast("long").alias("target")) for kind, t in tables.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+def resolve(sources: DataFrame, objects: DataFrame, refs: str = "refs") -> DataFrame:
+    """(event_id, idx, place, uid, kind, target): every reference of ragged lists and the object that it points to.
+
+    ``sources`` has event_id, idx and ``refs``, unique ids in lists of lists of any depth; places count along the
+    flattened list. A reference without an object in its event has kind null and target -1. One join answers for
+    all kinds, by event and id; objects that share an id are all found.
+    """
+    each = sources.select("event_id", F.col("idx").cast("long").alias("idx"), F.posexplode(flatten(sources, refs)).alias("place", "uid")).withColumn("uid", F.col("uid").cast("long"))
+    found = each.join(objects, ["event_id", "uid"], "left")
+    return found.select("event_id", "idx", "place", "uid", "kind", F.coalesce("target", F.lit(-1).cast("long")).alias("target"))
+
+
+def by_kind(sources: DataFrame, resolved: DataFrame, kinds: list[str], refs: str = "refs") -> DataFrame:
+    """``sources`` with a list for each kind, as long as the flattened references: the targets of this kind in order of
+    place, -1 where a reference points to another kind or nowhere. Sources without references have empty lists."""
+    at = lambda k: F.transform("_all", lambda x: F.when(x["kind"].eqNullSafe(F.lit(k)), x["target"]).otherwise(F.lit(-1).cast("long"))).alias(k)
+    listed = resolved.groupBy("event_id", "idx").agg(F.sort_array(F.collect_list(F.struct("place", "kind", "target"))).alias("_all"))
+    none = F.array().cast("array<bigint>")
+    listed = listed.select("event_id", "idx", *[at(k) for k in kinds])
+    return sources.join(listed, ["event_id", "idx"], "left").withColumns({k: F.coalesce(k, none) for k in kinds})
+
+
+def back_pointers(resolved: DataFrame, objects: DataFrame) -> DataFrame:
+    """(event_id, kind, idx, ref) of every object: the last source that points to it, -1 without one."""
+    back = resolved.where("kind is not null").groupBy("event_id", "kind", "target").agg(F.max("idx").alias("ref"))
+    every = objects.select("event_id", "kind", "target").join(back, ["event_id", "kind", "target"], "left")
+    return every.select("event_id", "kind", F.col("target").alias("idx"), F.coalesce("ref", F.lit(-1)).alias("ref"))
+
+
+def reflected(refs: Column, size: Column, deep: bool) -> Column:
+    """Back-pointers of an event that is one row: a list of ``size`` with the last place of ``refs``, or with ``deep``
+    of its lists, that has this index; -1 without one. References outside of the list are left out."""
+    pair = lambda ref, i: F.struct(ref.cast("long").alias("ref"), i.cast("long").alias("i"))
+    pairs = F.flatten(F.transform(refs, lambda x, i: F.transform(x, lambda y: pair(y, i)))) if deep else F.transform(refs, pair)
+    ordered = F.array_sort(F.filter(pairs, lambda p: p["ref"].isNotNull() & (p["ref"] >= 0) & (p["ref"] < size)))
+
+    def last_of_each(a: Column) -> Column:
+        return F.map_from_entries(F.filter(a, lambda p, i: (F.get(a, i + 1)["ref"] != p["ref"]) | (i + 1 == F.size(a))))
+
+    none = F.lit(-1).cast("long")
+    indices = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    of = lambda table: F.transform(indices, lambda p: F.coalesce(F.try_element_at(table, p.cast("long")), none))
+    return F.transform(F.array(ordered), lambda a: F.transform(F.array(last_of_each(a)), of)[0])[0]
+
+
 def birr(pt: Column, pz: Column) -> Column:
     """Momentum of a track whose own column is wrong."""
     return F.sqrt(pt * pt + pz * pz)

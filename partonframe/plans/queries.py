@@ -376,6 +376,64 @@ def reflect_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.reflect_references(source, target).select("idx", "ref")
 
 
+#: Pointers of orders into parts and suppliers: a key's event is its remainder, its index the quotient; ids of parts are even, of suppliers odd.
+#: Parts of some sizes don't exist, so references to them lead nowhere. An order's references are lists by return flag.
+_WAYS = 40
+_POINTERS = f"""p as (select p_partkey % {_WAYS} event_id, p_partkey // {_WAYS} idx from part where p_size % 10 <> 0), s as (select s_suppkey % {_WAYS} event_id, s_suppkey // {_WAYS} idx from supplier),
+    g as (select l_orderkey % {_WAYS} event_id, l_orderkey // {_WAYS} idx, case when l_linenumber % 2 = 1 then 2 * (l_partkey // {_WAYS}) else 2 * (l_suppkey // {_WAYS}) + 1 end uid, l_returnflag f, l_linenumber n from lineitem),
+    e as (select *, row_number() over (partition by event_id, idx order by f, n, uid) - 1 place from g),
+    o as (select event_id, idx * 2 uid, 'part' kind, idx target from p union all select event_id, idx * 2 + 1, 'supplier', idx from s),
+    x as (select e.event_id, e.idx, e.place, e.uid, o.kind, coalesce(o.target, -1) target from e left join o on e.event_id = o.event_id and e.uid = o.uid)"""
+
+
+def _pointers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(sources with ragged references, the typed pointer table)."""
+    split = lambda c: [F.pmod(F.col(c), F.lit(_WAYS)).alias("event_id"), F.floor(F.col(c) / _WAYS).alias("idx")]
+    parts = read(spark, sf_dir, "part").where("p_size % 10 != 0").select(*split("p_partkey")).withColumn("uid", F.col("idx") * 2)
+    suppliers = read(spark, sf_dir, "supplier").select(*split("s_suppkey")).withColumn("uid", F.col("idx") * 2 + 1)
+    uid = F.when(F.col("l_linenumber") % 2 == 1, 2 * F.floor(F.col("l_partkey") / _WAYS)).otherwise(2 * F.floor(F.col("l_suppkey") / _WAYS) + 1)
+    lines = read(spark, sf_dir, "lineitem").select(*split("l_orderkey"), F.struct("l_linenumber", uid.alias("uid")).alias("x"), "l_returnflag")
+    inner = lines.groupBy("event_id", "idx", "l_returnflag").agg(F.sort_array(F.collect_list("x")).alias("l"))
+    ragged = inner.groupBy("event_id", "idx").agg(F.sort_array(F.collect_list(F.struct("l_returnflag", "l"))).alias("all"))
+    sources = ragged.select("event_id", "idx", F.transform("all", lambda f: F.transform(f["l"], lambda y: y["uid"])).alias("refs"))
+    return sources, references.objects({"part": parts, "supplier": suppliers})
+
+
+@query("typed_pointers", f"with {_POINTERS} select event_id, idx, place, uid, kind, target from x")
+def typed_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reference of ragged lists into two tables, resolved by one join."""
+    return references.resolve(*_pointers(spark, sf_dir)).withColumn("place", F.col("place").cast("long"))
+
+
+@query("pointers_by_kind", f"""with {_POINTERS} select event_id, idx, string_agg(case when kind = 'part' then target else -1 end, ',' order by place) part, string_agg(case when kind = 'supplier' then target else -1 end, ',' order by place) supplier from x group by event_id, idx""")
+def pointers_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list for each kind of target, put together again by place."""
+    sources, objects = _pointers(spark, sf_dir)
+    listed = references.by_kind(sources, references.resolve(sources, objects), ["part", "supplier"])
+    return listed.select("event_id", "idx", *[F.array_join(k, ",").alias(k) for k in ("part", "supplier")])
+
+
+@query("back_pointers", f"with {_POINTERS} select o.event_id, o.kind, o.target as idx, coalesce(max(x.idx), -1) as ref from o left join x on o.event_id = x.event_id and o.kind = x.kind and o.target = x.target group by all")
+def back_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last order that points to each part and supplier."""
+    sources, objects = _pointers(spark, sf_dir)
+    return references.back_pointers(references.resolve(sources, objects), objects)
+
+
+@query("wide_back_pointers", f"""with {_POINTERS}, n as (select event_id, max(idx) + 1 as n from p group by event_id), i as (select event_id, unnest(range(n)) idx from n)
+    select i.event_id, string_agg(coalesce(r, -1), ',' order by i.idx) refs from i left join (select event_id, uid // 2 idx, max(idx) r from e where uid % 2 = 0 group by all) b on i.event_id = b.event_id and i.idx = b.idx group by i.event_id""")
+def wide_back_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where an event is one row: lists of lists of references, and a list as long as the particles."""
+    sources, objects = _pointers(spark, sf_dir)
+    own = F.transform(F.filter(F.flatten("refs"), lambda x: x % 2 == 0), lambda x: F.floor(x / 2))
+    last = Window.partitionBy("event_id")
+    # a list's place is the order's index, so orders that aren't there have empty lists
+    lists = sources.withColumn("own", own).groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "own"))).alias("by"), F.max("idx").alias("top"))
+    wide = lists.select("event_id", F.transform(F.sequence(F.lit(0).cast("long"), "top"), lambda i: F.coalesce(F.try_element_at("by", i), F.array().cast("array<bigint>"))).alias("refs"))
+    sizes = objects.where("kind = 'part'").withColumn("n", F.max("target").over(last) + 1).select("event_id", F.col("n").cast("int").alias("n")).distinct()
+    return wide.join(sizes, "event_id").select("event_id", F.array_join(references.reflected(F.col("refs"), F.col("n"), deep=True), ",").alias("refs"))
+
+
 # event sets
 def _customers(spark: SparkSession, sf_dir: str) -> EventSet:
     return EventSet(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("event_id"), F.col("c_acctbal").alias("balance")), {"weight": 1.0})
