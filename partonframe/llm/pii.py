@@ -1,14 +1,15 @@
 """Personal data by patterns and by bootstrapped contextual extraction.
 
-Base patterns find e-mail addresses, IP addresses, card and phone numbers. These are seeds; long runs of hex
-digits, which no pattern can tell from harmless digests, are weak seeds. The words around a seed make lexical
+Base patterns find e-mail addresses, IP addresses, card and phone numbers. These are seeds; values behind a label
+that names a secret (LABELS), which base patterns don't know, are labelled seeds. The words around a seed make lexical
 patterns: the two words to its left, and the words on either side. Every word of the corpus that occurs in a
 pattern is an instance of it. Spark scores the bipartite graph of patterns and instances: a pattern is as good
 as the share of its distinct instances that are believed, an instance is believed as its best pattern is
 good, for a few rounds. Patterns of high score and support discover their instances, but for words that occur
 mostly elsewhere. The words discovered are seeds of another round, whose contexts make patterns of their own.
 
-Weak seeds are reported only where a pattern discovers them. DataFrame operations only. Places of matches come
+Labelled seeds are reported only where a pattern discovers them, and n_discovered counts what no seed's pattern
+matches, so that the method's own share can be told. DataFrame operations only. Places of matches come
 from the lengths of the pieces between them, since SQL's extraction functions give matches without places.
 """
 
@@ -30,7 +31,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-WEAK = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"
+#: Names of secrets and documents of a person; a value with a digit behind one, a colon or equals sign and perhaps a quote is a labelled seed.
+LABELS = ["access_key", "account", "api_key", "apikey", "iban", "passport", "passwd", "password", "secret", "ssn", "token"]
+_NAMES = "|".join(LABELS)
+LABELLED = rf"""(?i)(?<=(?:{_NAMES})["']{{0,1}}[\x20\t]{{0,3}}[:=][\x20\t]{{0,3}}["']{{0,1}})[^\x20\x09-\x0D"',;]{{8,}}+"""
 BLANK = r"[\x20\x09-\x0D]"
 #: A word with the blanks before it.
 PIECE = rf"{BLANK}*+[^\x20\x09-\x0D]++"
@@ -67,8 +71,7 @@ def _valid(kind: Column, match: Column) -> Column:
     digits = F.regexp_replace(match, "[^0-9]", "")
     byte = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
     card = F.when(F.length(digits).between(12, 19), _luhn(digits)).otherwise(False)
-    weak = match.rlike("[0-9]") & match.rlike("[A-Fa-f]")
-    return F.when(kind == "ip", match.rlike(rf"^{byte}(?:\.{byte}){{3}}$")).when(kind == "card", card).when(kind == "phone", F.length(digits).between(9, 15)).when(kind == "weak", weak).otherwise(True)
+    return F.when(kind == "ip", match.rlike(rf"^{byte}(?:\.{byte}){{3}}$")).when(kind == "card", card).when(kind == "phone", F.length(digits).between(9, 15)).when(kind == "labelled", match.rlike("[0-9]")).otherwise(True)
 
 
 def _placed(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -92,16 +95,17 @@ def searched(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> t
         there = F.contains(text, F.lit(NEEDS[name])) if name in NEEDS else digit
         return F.when(there & digit if name != "email" else there, _found(text, pattern)).alias(name)
 
-    kinds = [kind(k, p) for k, p in PATTERNS.items()] + [kind("weak", WEAK)]
+    named = digit & text.rlike(f"(?i)(?:{_NAMES})[^A-Za-z]*[:=]")
+    kinds = [kind(k, p) for k, p in PATTERNS.items()] + [F.when(named, _found(text, LABELLED)).alias("labelled")]
     found = docs.select(F.col(id_col).alias("id"), _mark(text).alias("mark"), F.monotonically_increasing_id().alias("row"), text.alias("text"), *kinds)
-    some = F.greatest(*[F.coalesce(F.size(k), F.lit(0)) for k in (*KINDS, "weak")]) > 0
+    some = F.greatest(*[F.coalesce(F.size(k), F.lit(0)) for k in (*KINDS, "labelled")]) > 0
     facts = scratch.table(found.withColumn("text", F.when(some, F.col("text"))))
     matches = None
-    for name in (*KINDS, "weak"):
+    for name in (*KINDS, "labelled"):
         one = facts.select("row", F.lit(name).alias("kind"), F.posexplode(name).alias("place", "x")).select("row", "kind", "place", "x.gap", "x.match")
         matches = one if matches is None else matches.unionByName(one)
     spans = _placed(matches, ["row", "kind"]).where(_valid(F.col("kind"), F.col("match"))).select("row", "kind", "start", "end", "match")
-    return facts.drop(*KINDS, "weak"), scratch.table(spans)
+    return facts.drop(*KINDS, "labelled"), scratch.table(spans)
 
 
 def _patterns(two_left: Column, left: Column, right: Column) -> list[Column]:
@@ -231,39 +235,48 @@ def _context_spans(docs: DataFrame, id_col: str, text_col: str, hits: DataFrame)
     return hit.select("id", "mark", (F.col("start") + F.when(whole, blanks).otherwise(head)).alias("start"), (F.col("end") - F.when(whole, 0).otherwise(tail)).alias("end"))
 
 
+def _clear(first: Column, other: Column) -> Column:
+    """Whether a span (row, start, end) overlaps none of the ``other`` spans; ``first`` is larger for spans that are asked about."""
+    far = (Window.unboundedPreceding, -1)
+    before = F.max(F.when(other, F.col("end"))).over(Window.partitionBy("row").orderBy("start", first, "end").rowsBetween(*far))
+    after = F.min(F.when(other, F.col("start"))).over(Window.partitionBy("row").orderBy(F.col("start").desc(), first.desc(), F.col("end").desc()).rowsBetween(*far))
+    return (F.coalesce(before, F.col("start")) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
+
+
 def _apart(spans: DataFrame) -> DataFrame:
-    """Spans (row, kind, start, end) without those of kind context that overlap others."""
-    first = F.when(F.col("kind") == "context", 1).otherwise(0)
-    other, far = F.col("kind") != "context", (Window.unboundedPreceding, -1)
-    before = F.max(F.when(other, F.col("end"))).over(Window.partitionBy("row").orderBy("start", "first", "end").rowsBetween(*far))
-    after = F.min(F.when(other, F.col("start"))).over(Window.partitionBy("row").orderBy(F.col("start").desc(), F.col("first").desc(), F.col("end").desc()).rowsBetween(*far))
-    fits = (F.coalesce(before, F.col("start")) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
-    return spans.withColumn("first", first).withColumn("fits", other | fits).where("fits").drop("first", "fits")
+    """Base and context spans (row, kind, start, end, seeded) without context spans that overlap base spans; ``seeded`` says that a labelled seed overlaps it."""
+    kind = F.col("kind")
+    first = F.when(kind == "context", 1).otherwise(0)
+    base, labelled = ~kind.isin("context", "labelled"), kind == "labelled"
+    judged = spans.withColumns({"fits": base | _clear(first, base), "seeded": ~_clear(first, labelled)})
+    return judged.where(F.col("fits") & ~labelled).drop("fits")
 
 
 def _listed(facts: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
     """A row for each of ``facts`` with its numbers and lists of spans."""
     spans = spans.withColumn("order", F.array_position(F.array(*map(F.lit, [*KINDS, "context"])), F.col("kind")))
-    listed = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "order", "kind", "end"))).alias("all"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in (*KINDS, "context")])
+    found = F.count_if((F.col("kind") == "context") & ~F.col("seeded")).alias("n_discovered") if "seeded" in spans.columns else F.lit(0).alias("n_discovered")
+    listed = spans.groupBy("row").agg(found, F.sort_array(F.collect_list(F.struct("start", "order", "kind", "end"))).alias("all"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in (*KINDS, "context")])
     text_of = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     joined = facts.select("id", "row").join(listed, "row", "left")
     return joined.select(
         F.col("id").alias(id_col), *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.coalesce(text_of(F.filter("all", lambda x: x["kind"] != "context")), F.lit("")), 256).alias("base_sha256"),
-        F.coalesce(text_of(F.col("all")), F.lit("")).alias("spans"), F.coalesce("n_context", F.lit(0)).cast("long").alias("n_context"), F.coalesce(F.size("all"), F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce(text_of(F.col("all")), F.lit("")).alias("spans"), F.coalesce("n_context", F.lit(0)).cast("long").alias("n_context"),
+        F.coalesce("n_discovered", F.lit(0)).cast("long").alias("n_discovered"), F.coalesce(F.size("all"), F.lit(0)).cast("long").alias("n_spans"),
     )
 
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """What the base patterns alone find: ``id_col``, n_email, n_ip, n_card, n_phone and base_sha256 as in :func:`find`."""
     facts, spans = searched(docs, id_col, text_col, scratch or Scratch(docs.sparkSession))
-    return _listed(facts, spans.where("kind != 'weak'").select("row", "kind", "start", "end"), id_col).drop("spans", "n_context", "n_spans")
+    return _listed(facts, spans.where("kind != 'labelled'").select("row", "kind", "start", "end"), id_col).drop("spans", "n_context", "n_discovered", "n_spans")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """Every row's personal data: ``id_col``, n_email, n_ip, n_card, n_phone (of the base patterns), base_sha256,
-    spans, a comma-joined list of kind:start:end by start and kind, discovered ones of kind context, n_context
-    and n_spans (of all kinds).
+    spans, a comma-joined list of kind:start:end by start and kind, discovered ones of kind context, n_context,
+    n_discovered (those that no labelled seed overlaps) and n_spans (of all kinds).
 
     Places are code points, the end exclusive. Base matches are leftmost and don't overlap within a kind;
     matches that fail their check are dropped without another try. Discovered words don't overlap base spans.
@@ -272,7 +285,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratc
     """
     scratch = scratch or Scratch(docs.sparkSession)
     facts, spans = searched(docs, id_col, text_col, scratch)
-    base = spans.where("kind != 'weak'").select("row", "kind", "start", "end")
+    base = spans.where("kind != 'labelled'").select("row", "kind", "start", "end")
     near, corpus = _Corpus(facts.where(F.col("text").isNotNull()), "id", "text"), _Corpus(docs, id_col, text_col)
     hits, seeds = None, scratch.table(_seeds(facts, spans))
     for turn in range(BOOTSTRAPS):
@@ -290,7 +303,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratc
     places = _context_spans(docs, id_col, text_col, scratch.table(hits.select("id", "mark", "i").distinct()))
     named = facts.select("row", F.col("id").alias("_id"), F.col("mark").alias("_mark"))
     more = places.join(named, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("row", F.lit("context").alias("kind"), "start", "end")
-    return _listed(facts, scratch.table(_apart(base.unionByName(more))), id_col)
+    labelled = spans.where("kind = 'labelled'").select("row", "kind", "start", "end")
+    return _listed(facts, scratch.table(_apart(base.unionByName(more).unionByName(labelled))), id_col)
 
 
 def _duck(kind: str, pattern: str, valid: str) -> str:
