@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections import defaultdict
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kinematics as K
@@ -74,38 +77,53 @@ def from_nested(table: DataFrame) -> DataFrame:
     return rows.select("event_id", "jet_id", *[F.col(f"n.{c}") for c in names])
 
 
-def descendants(nodes: DataFrame, start: DataFrame, last_only: bool = True) -> DataFrame:
-    """(event_id, start, label) of the nodes below each start (event_id, label); the leaves only, or all but the start.
+def interval_labels(nodes: DataFrame) -> DataFrame:
+    """(event_id, label, leaf, enter, last): places of nodes in their event's trees, depth first, and the last place below each.
 
-    A recursive walk along child pointers; roots that are their own children are walked by their leaves' parent.
+    What is below a node has places in (enter, last], so descent is a comparison and takes no walk, however deep a tree
+    is. Trees are told by parents alone; siblings and roots go by label. Nodes that no root leads to, those of a cycle
+    or below a parent that isn't there, have null places.
     """
-    spark = nodes.sparkSession
-    edges = nodes.select("event_id", F.col("parent").alias("above"), "label", "child1").where("above != -1")
-    walk(spark, start.select("event_id", F.col("label").alias("start"), F.col("label").alias("at")), edges.select("event_id", F.col("above").alias("src"), F.col("label").alias("dst")), "_below")
-    found = spark.table("_below").where("depth > 0").select("event_id", "start", F.col("at").alias("label")).distinct()
-    if last_only:
-        lone = start.select("event_id", F.col("label").alias("start"), "label")
-        found = found.union(lone).join(nodes.where("child1 = -1").select("event_id", "label"), ["event_id", "label"], "left_semi").select("event_id", "start", "label")
-    return found
-
+    schema = "event_id bigint, label bigint, leaf boolean, enter bigint, last bigint"
+    rows = nodes.select(F.col("event_id").cast("long"), F.col("label").cast("long"), F.col("parent").cast("long"), (F.col("child1") == -1).alias("leaf"))
+    return rows.groupBy("event_id").applyInArrow(_numbered, schema)
+
+
+def _numbered(event: pa.Table) -> pa.Table:
+    labels = event["label"].to_pylist()
+    children: defaultdict[int, list[int]] = defaultdict(list)
+    for parent, label in sorted(zip(event["parent"].to_pylist(), labels, strict=True), reverse=True):
+        children[parent].append(label)
+    enter, last, stack = {}, {}, [(root, False) for root in children.pop(-1, [])]
+    while stack:
+        label, done = stack.pop()
+        if done:
+            last[label] = len(enter) - 1
+        else:
+            enter[label] = len(enter)
+            stack.append((label, True))
+            stack += [(child, False) for child in children.get(label, ())]
+    places = [pa.array([d.get(x) for x in labels], pa.int64()) for d in (enter, last)]
+    return pa.Table.from_arrays([event["event_id"], event["label"], event["leaf"], *places], ["event_id", "label", "leaf", "enter", "last"])
 
-def walk(spark: SparkSession, start: DataFrame, edges: DataFrame, name: str, depth: int = 1000) -> None:
-    """View ``name`` (event_id, start, at, depth) of all places that edges (event_id, src, dst) lead to from the starts.
 
-    The path so far guards against cycles; levels and rows are bounded by the session's recursion limits.
-    """
-    start.createOrReplaceTempView(f"{name}_start")
-    edges.createOrReplaceTempView(f"{name}_edges")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(depth))
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    spark.sql(f"""
-        with recursive w(event_id, start, at, depth, path) as (
-            select event_id, start, at, 0, array(at) from {name}_start
-            union all
-            select w.event_id, w.start, e.dst, w.depth + 1, concat(w.path, array(e.dst))
-            from w join {name}_edges e on w.event_id = e.event_id and w.at = e.src
-            where not array_contains(w.path, e.dst))
-        select event_id, start, at, depth from w""").createOrReplaceTempView(name)
+def descendants(nodes: DataFrame, start: DataFrame, last_only: bool = True) -> DataFrame:
+    """(event_id, start, label) of the nodes below each start (event_id, label); the leaves only, a start that is one
+    included, or all but the start. A range join of places within the event."""
+    places = interval_labels(nodes)
+    asked = start.select("event_id", F.col("label").alias("start")).distinct()
+    own = places.select("event_id", F.col("label").alias("start"), F.col("enter").alias("_from"), F.col("last").alias("_to"))
+    below = asked.join(own, ["event_id", "start"]).join(places, "event_id").where(F.col("enter").between(F.col("_from"), F.col("_to")))
+    return below.where("leaf" if last_only else "label != start").select("event_id", "start", "label")
+
+
+def leaf_counts(nodes: DataFrame) -> DataFrame:
+    """(event_id, label, n_leaves): leaves below every node, itself if it is one, from running numbers of leaves by place."""
+    places = interval_labels(nodes)
+    by_place = Window.partitionBy("event_id").orderBy("enter")
+    so_far = places.where("enter is not null").withColumn("_n", F.sum(F.col("leaf").cast("long")).over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = so_far.select("event_id", F.col("enter").alias("last"), F.col("_n").alias("_upto"))
+    return so_far.join(ends, ["event_id", "last"]).select("event_id", "label", (F.col("_upto") - F.col("_n") + F.col("leaf").cast("long")).alias("n_leaves"))
 
 
 def merge_sequence(nodes: DataFrame) -> DataFrame:
