@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from ..functions import kinematics as K
 from ..plans.params import check_params, jet_name, same_params
 from ..schema import CLUSTERED, LIFETIMES, LIVED, NODE_FLOATS, NODE_INTS, NODES, PARTICLES
-from ..shared import file_system, read_text, write_text
+from ..shared import file_system, read_text, write_text, written
 from .kernels import cone, genkt, spectral, wavelet
 from .kernels.physics import Nodes
 
@@ -163,10 +163,12 @@ def unfinished(particles: DataFrame, finished: DataFrame) -> DataFrame:
     return particles.join(finished.select("event_id").distinct(), "event_id", "left_anti")
 
 
-def cluster_batch(particles: DataFrame, path: str, algorithm: str, params: Mapping[str, object] | None = None, name: str | None = None, batch_events: int | None = None) -> bool:
+def cluster_batch(particles: DataFrame, path: str, algorithm: str, params: Mapping[str, object] | None = None, name: str | None = None, batch_events: int | None = None, save_events: int | None = None) -> bool:
     """Clusters events that the table at ``path`` doesn't have yet and appends them; whether none is left.
 
     The table is partitioned by jet name. ``batch_events`` limits the events of a call, the least ids first.
+    With ``save_events`` a call saves after some so many events, so that a call that fails has saved what came before;
+    the next call does the rest. Each save is a job of its own that reads the particles again.
     The parameters of a name are stored beside the table; ValueError if they are others now.
     """
     spark = particles.sparkSession
@@ -190,7 +192,14 @@ def cluster_batch(particles: DataFrame, path: str, algorithm: str, params: Mappi
     if batch_events is not None:
         ids = todo.select("event_id").distinct().orderBy("event_id").limit(batch_events)
         chosen = todo.join(ids, "event_id", "left_semi")
-    cluster(chosen, algorithm, params).withColumn("jet_name", F.lit(name)).write.mode("append").partitionBy("jet_name").parquet(path)
+    parts = 1
+    if save_events is not None:
+        # which events are to do is settled before the first save adds to the table
+        chosen = particles.join(written(chosen.select("event_id").distinct()), "event_id", "left_semi")
+        parts = max(1, -(-chosen.select("event_id").distinct().count() // save_events))
+    for part in range(parts):
+        some = chosen.where(F.pmod(F.xxhash64("event_id"), F.lit(parts)) == part) if parts > 1 else chosen
+        cluster(some, algorithm, params).withColumn("jet_name", F.lit(name)).write.mode("append").partitionBy("jet_name").parquet(path)
     if batch_events is None:
         return True
     spark.catalog.refreshByPath(path)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from partonframe.operators import cluster as cluster_module
 from partonframe.operators import decay, integrity, jets, matching, pairwise, references
 from partonframe.operators.cluster import cluster, cluster_batch, nodes, run_log
 from partonframe.operators.kernels import genkt
@@ -182,3 +183,31 @@ def test_parity_and_assignment(spark):
     assert {r.dim: r.parity for r in references.parity(one, two).collect()} == {0: 1, 1: -1}
     centres = spark.createDataFrame([(0, [0.0, 0.0]), (1, [3.0, 0.0])], "centre int, position array<double>")
     assert [r.centre for r in references.kmeans_assign(one, centres).orderBy("vec_id").collect()] == [0, 1]
+
+
+def fragile(nodes, **_):
+    """Clusters nothing, and fails on events of seven particles."""
+    if nodes.n == 7:
+        raise RuntimeError("event of seven")
+    return nodes
+
+
+def test_a_failed_call_has_saved_what_came_before(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    p = particles(spark, [1 + e % 3 for e in range(20)] + [7]).cache()
+    good = cluster_module.KERNELS["GeneralisedKT"]
+    monkeypatch.setitem(cluster_module.KERNELS, "GeneralisedKT", fragile)
+    # the part of the large event decides how many saves come before it
+    parts = 5
+    last = p.where("event_id = 20").select(F.pmod(F.xxhash64("event_id"), F.lit(parts))).first()[0]
+    with pytest.raises(Exception, match="event of seven"):
+        cluster_batch(p, path, "GeneralisedKT", {"DeltaR": 0.5}, save_events=5)
+    saved = {r[0] for r in spark.read.parquet(path).select("event_id").collect()} if last else set()
+    before = {r[0] for r in p.where(F.pmod(F.xxhash64("event_id"), F.lit(parts)) < last).select("event_id").collect()}
+    assert saved == before
+    monkeypatch.setitem(cluster_module.KERNELS, "GeneralisedKT", good)
+    assert cluster_batch(p, path, "GeneralisedKT", {"DeltaR": 0.5}, save_events=4)
+    found = spark.read.parquet(path)
+    assert found.select("event_id").distinct().count() == 21 and found.where("child1 = -1").count() == p.count()
+    assert cluster_batch(p, path, "GeneralisedKT", {"DeltaR": 0.5}, batch_events=3, save_events=2)
+    assert spark.read.parquet(path).count() == found.count()
