@@ -5,11 +5,14 @@ from __future__ import annotations
 import numpy as np
 
 from .physics import Nodes, ca_distance2, factor
+from .tiled import Tiled
 
-#: Particles up to which all distances are kept; with more, every node keeps its nearest one only.
+#: Particles up to which all distances are kept; with more, every node keeps its nearest one only, found on a grid where the factor allows it.
 MOST_DENSE = 256
 #: Distances that agree within this part of them are a tie: their last bits depend on how they were computed.
 TIE = 1e-9
+#: PT formats with the less of two nodes' own factors, or none: the closest pair is one of nearest neighbours on the plane.
+PLANAR = {None, "genkt"}
 
 
 def cluster(nodes: Nodes, DeltaR: float = 0.8, ExpofPTInput: float = 0.0, ExpofPTFormatInput: str | None = None, PhyDistance: str = "angular", steps: int | None = None) -> Nodes:
@@ -21,7 +24,11 @@ def cluster(nodes: Nodes, DeltaR: float = 0.8, ExpofPTInput: float = 0.0, ExpofP
     n = nodes.n
     if n < 2:
         return nodes
-    pairs = (Dense if n <= MOST_DENSE else Nearest)(nodes, DeltaR, ExpofPTInput, ExpofPTFormatInput)
+    how = (nodes, DeltaR, ExpofPTInput, ExpofPTFormatInput)
+    if n <= MOST_DENSE:
+        pairs = Dense(*how)
+    else:
+        pairs = Tiled(*how, TIE) if DeltaR > 0 and ExpofPTFormatInput in PLANAR else Nearest(*how)
     left, done = n, 0
     while left > 1 and done != steps:
         i, j, distance2 = pairs.closest()

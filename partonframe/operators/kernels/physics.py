@@ -78,6 +78,7 @@ class Nodes:
         self.floats = np.full((rows, 9), np.nan)
         self.ints[:n, 0] = np.arange(n) if labels is None else labels
         self.floats[:n] = np.column_stack([pt, y, phi, energy, px, py, pz, np.zeros(n), np.ones(n)])
+        self.top = int(self.ints[:n, 0].max(initial=-1))
         self.step, self.born, self.last = 0, np.zeros(rows, np.int64), np.full(rows, -1, np.int64)
 
     pt = property(lambda self: self.floats[:, 0])
@@ -85,6 +86,10 @@ class Nodes:
     phi = property(lambda self: self.floats[:, 2])
     size = property(lambda self: self.floats[:, 8])
 
+    def _label(self) -> int:
+        self.top += 1
+        return self.top
+
     def _momentum(self, row: int, members) -> None:
         total = self.floats[members, 3:7].sum(0)
         energy, px, py, pz = total
@@ -93,7 +98,7 @@ class Nodes:
 
     def merge(self, i: int, j: int, distance2: float) -> int:
         """A new node of rows i and j; its row."""
-        row, label = self.used, self.ints[: self.used, 0].max() + 1
+        row, label = self.used, self._label()
         self.ints[row] = [label, -1, self.ints[i, 0], self.ints[j, 0], max(self.ints[i, 4], self.ints[j, 4]) + 1]
         self._momentum(row, [i, j])
         self.floats[row, 7] = np.sqrt(distance2)
@@ -122,7 +127,7 @@ class Nodes:
             self.ints = np.vstack([self.ints, np.full((self.n + 1, 5), -1, np.int64)])
             self.floats = np.vstack([self.floats, np.full((self.n + 1, 9), np.nan)])
             self.born, self.last = np.append(self.born, np.zeros(self.n + 1, np.int64)), np.append(self.last, np.full(self.n + 1, -1))
-        row, label = self.used, self.ints[: self.used, 0].max() + 1
+        row, label = self.used, self._label()
         self.ints[row] = [label, -1, label, label, 0]
         self._momentum(row, list(members))
         self.ints[list(members), 1] = label

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from partonframe.operators.kernels import cone, genkt, kmeans, spectral, wavelet
+from partonframe.operators.kernels import cone, genkt, kmeans, spectral, tiled, wavelet
 from partonframe.operators.kernels import physics as P
 from partonframe.plans.params import defaults
 from partonframe.plans.queries import GOLDEN, GOLDEN_JETS
@@ -123,6 +123,70 @@ def test_nearest_neighbours_give_what_all_distances_give(seed, n, how):
     assert np.array_equal(slow[0], fast[0]) and np.array_equal(slow[1], fast[1])
 
 
+def shower(seed, n):
+    """Particles spread over the plane, of unequal momenta, some of them twice."""
+    rng = np.random.default_rng(seed)
+    y, phi, pt = rng.normal(0, 2.5, n), rng.uniform(-np.pi, np.pi, n), rng.pareto(2, n) + 0.1
+    p = np.column_stack([pt * np.cos(phi), pt * np.sin(phi), pt * np.sinh(y), pt * np.cosh(y) * 1.0001])
+    copies = rng.integers(0, n, n // 10)
+    p[rng.integers(0, n, n // 10)] = p[copies]
+    return lambda: nodes(*p.T)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10_000), st.integers(2, 200), st.sampled_from([0.01, 0.4, 1.0, 2.5, 7.0, 100.0]), st.sampled_from([(0.0, None), (1.0, "genkt"), (-1.0, "genkt"), (0.3, "genkt")]))
+def test_grids_give_what_all_distances_give(seed, n, delta_r, how):
+    make = shower(seed, n)
+
+    def run(kind, *more):
+        made = make()
+        pairs = kind(made, delta_r, *how, *more)
+        for _ in range(n - 1):
+            i, j, distance2 = pairs.closest()
+            if i == j:
+                made.retire(i)
+            pairs.replace(i, j, made.merge(i, j, distance2) if i != j else None)
+        return made
+
+    slow, fast = run(genkt.Dense), run(tiled.Tiled, genkt.TIE)
+    assert np.array_equal(slow.ints[: slow.used], fast.ints[: fast.used]) and np.array_equal(slow.lifetimes(), fast.lifetimes())
+    assert np.allclose(slow.floats[: slow.used], fast.floats[: fast.used], rtol=1e-9, atol=1e-12)
+
+
+def test_grids_close_on_themselves_in_azimuth():
+    px, py, pz = np.array([1.0, 1, 3, 2]), [1e-3, -1e-3, 0, 1], [0.1, 0.1, 0.2, 3]
+    for turn in (1, -1):  # azimuths around 0, then around pi
+        tables = []
+        for kind, *more in ((genkt.Dense,), (tiled.Tiled, genkt.TIE)):
+            made = nodes(turn * px, py, pz, [1.1, 1.1, 3.1, 4])
+            pairs = kind(made, 0.4, 1.0, "genkt", *more)
+            for _ in range(3):
+                i, j, d = pairs.closest()
+                pairs.replace(i, j, made.merge(i, j, d) if i != j else None)
+            tables.append(made.table()[1])
+        assert np.array_equal(*tables) and (tables[0][:2, 1] == 4).all()
+
+
+def test_particles_of_infinite_rapidity_meet_the_beam_only():
+    made = nodes([0, 0, 1, 1], [0, 0, 0, 0.1], [5, -5, 0.1, 0.1], [5, 5, 1.1, 1.1])
+    pairs = tiled.Tiled(made, 0.4, 1.0, "genkt", genkt.TIE)
+    taken = []
+    for _ in range(3):
+        i, j, d = pairs.closest()
+        taken.append((i, j))
+        pairs.replace(i, j, made.merge(i, j, d) if i != j else None)
+    assert taken == [(0, 0), (1, 1), (2, 3)]
+
+
+def test_an_event_of_many_particles_is_clustered_on_grids():
+    made = genkt.cluster(shower(3, 6000)(), 0.4, -1.0, "genkt")
+    root, ints, floats = made.table()
+    jets = np.flatnonzero(ints[:, 1] < 0)
+    assert floats[jets, 8].sum() == 6000 and np.allclose(floats[jets, 3].sum(), floats[:6000, 3].sum())
+    # every jet's parts were nearer to one another than to the beam
+    assert (floats[6000:, 7] >= 0).all() and len(jets) > 100
+
+
 def brute_spectral(px, py, pz, e, mean_update=False, sigma=0.15, knn=5, limit=0.4, beta=1.4, clip=1e-3, single=1e-4, stop=1.26):
     """Spectral clustering with the default parameters, from scratch at every step; the jets as sets of particles."""
     live = [({i}, np.array([px[i], py[i], pz[i], e[i]])) for i in range(len(px))]
