@@ -1,51 +1,71 @@
 """Clustering as a table function of SQL.
 
     select * from cluster_events(table(particles) partition by event_id order by (idx), 'GeneralisedKT', '{"DeltaR": 0.4}')
+
+Events end as in ``operators.cluster.cluster``: one that is too large for its algorithm, or whose eigen-decomposition
+fails, has one row with its status and no node, and the query goes on.
 """
 
 from __future__ import annotations
 
 import json
+import time
 
 import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from ..operators.cluster import KERNELS
+from ..operators.cluster import KERNELS, LINEAR, MOST_PARTICLES
 from ..operators.kernels.physics import Nodes, rapidity
 from ..plans.params import check_params
-from ..schema import NODES
+from ..schema import CLUSTERED, NODES
 
 
 class ClusterEvents:
     """Rows of a partition, one event at a time, in; nodes out."""
 
     def __init__(self):
-        self.event, self.rows, self.how = None, [], None
+        self.event, self.rows, self.n, self.how = None, [], 0, None
+
+    def _most(self) -> float:
+        return float("inf") if self.how[0] in LINEAR else MOST_PARTICLES
 
     def _nodes(self):
-        if not self.rows:
+        if not self.n:
             return
         algorithm, text = self.how
         params = check_params(algorithm, json.loads(text))
         if algorithm.startswith("Spectral"):
             params.pop("PhyDistance")
-        px, py, pz, energy = np.array(self.rows, float).T
-        pt = np.hypot(px, py)
-        root, ints, floats = KERNELS[algorithm](Nodes(px, py, pz, energy, pt, rapidity(pt, pz, energy), np.arctan2(py, px)), **params).table()
-        for r, i, f in zip(root.tolist(), ints.tolist(), floats.tolist(), strict=True):
-            yield (self.event, r, *i, *f)
-        self.rows = []
+        began, status, nodes = time.perf_counter(), "ok", ()
+        if self.n > self._most():
+            status = "too_large"
+        else:
+            px, py, pz, energy = np.array(self.rows, float).T
+            pt = np.hypot(px, py)
+            try:
+                root, ints, floats = KERNELS[algorithm](Nodes(px, py, pz, energy, pt, rapidity(pt, pz, energy), np.arctan2(py, px)), **params).table()
+                nodes = zip(root.tolist(), ints.tolist(), floats.tolist(), strict=True)
+            except np.linalg.LinAlgError:
+                status = "linalg_error"
+        self.rows, self.n = [], 0
+        if status != "ok":
+            yield (self.event, *[None] * (len(NODES) - 1), status, float("nan"))
+        seconds = time.perf_counter() - began
+        for r, i, f in nodes:
+            yield (self.event, r, *i, *f, status, seconds)
 
     def eval(self, row, algorithm: str, params: str):
         if self.event is not None and row["event_id"] != self.event:
             yield from self._nodes()
         self.event, self.how = row["event_id"], (algorithm, params)
-        self.rows.append([row[c] for c in ("px", "py", "pz", "energy")])
+        self.n += 1
+        if self.n <= self._most():
+            self.rows.append([row[c] for c in ("px", "py", "pz", "energy")])
 
     def terminate(self):
         yield from self._nodes()
 
 
 def register(spark: SparkSession, name: str = "cluster_events") -> None:
-    spark.udtf.register(name, udtf(ClusterEvents, returnType=NODES))
+    spark.udtf.register(name, udtf(ClusterEvents, returnType=CLUSTERED))

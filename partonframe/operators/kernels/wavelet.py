@@ -69,6 +69,23 @@ def wavelet(matrix: np.ndarray, seed: int, high: float = 2.0, degree: int = DEGR
     return filtered(np.eye(len(matrix))[seed], matrix, heat(degree, high), (0.0, high))[0]
 
 
+def wavelets(matrix: np.ndarray, chosen: np.ndarray, high: float = 2.0, degree: int = DEGREE) -> np.ndarray:
+    """The heat wavelets at several particles, a column each, in one recurrence over all of them."""
+    out = np.zeros((len(matrix), len(chosen)))
+    if not np.any(matrix):
+        return out
+    c, half = heat(degree, high), high / 2
+    shifted = (matrix - half * np.eye(len(matrix))) / half
+    before = np.zeros_like(out)
+    before[chosen, np.arange(len(chosen))] = 1.0
+    now = shifted[:, chosen]
+    out = 0.5 * c[0] * before
+    for weight in c[1:]:
+        out += weight * now
+        before, now = now, 2 * (shifted @ now) - before
+    return out
+
+
 def scaled(values: np.ndarray) -> np.ndarray:
     """To [-1, 1]; NaN where all are equal."""
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -98,13 +115,18 @@ def seeds(y: np.ndarray, phi: np.ndarray, pt: np.ndarray) -> np.ndarray:
 def groups(y: np.ndarray, phi: np.ndarray, pt: np.ndarray, sigma: float, cutoff: float, rounds: int, normalised: bool = True, degree: int = DEGREE) -> list[np.ndarray]:
     """Free particles below the cutoff, for each seed in turn; every free seed counts as a round, and may give an empty group."""
     matrix, free, out = graph(y, phi, sigma, normalised), np.ones(len(y), bool), []
-    for seed in seeds(y, phi, pt):
-        if len(out) >= rounds or not free.any():
+    order, at = seeds(y, phi, pt), 0
+    while len(out) < rounds and at < len(order):
+        # the next free seeds, no more than there can be rounds yet; some may be taken before their turn
+        chosen = order[at:][free[order[at:]]][: rounds - len(out)]
+        if not len(chosen):
             break
-        if free[seed]:
-            found = np.flatnonzero(free & (scaled(wavelet(matrix, seed, degree=degree)) < cutoff))
-            free[found] = False
-            out.append(found)
+        at = int(np.flatnonzero(order == chosen[-1])[0]) + 1
+        for seed, values in zip(chosen, wavelets(matrix, chosen, degree=degree).T, strict=True):
+            if free[seed]:
+                found = np.flatnonzero(free & (scaled(values) < cutoff))
+                free[found] = False
+                out.append(found)
     return out
 
 

@@ -367,3 +367,18 @@ def test_kmeans_rejects_impossible_numbers():
     for k in (0, 3):
         with pytest.raises(ValueError):
             kmeans.fit(np.zeros((2, 2)), k)
+
+
+@pytest.mark.parametrize("n, rounds, cutoff", [(1, 15, 0.0), (2, 15, 0.0), (30, 15, 0.0), (60, 4, 0.5), (60, 60, -0.6), (25, 0, 0.0)])
+def test_wavelets_of_many_seeds_at_once_are_those_of_one_after_another(n, rounds, cutoff):
+    made = event(n, n)
+    y, phi, pt = (x[:n] for x in (made.y, made.phi, made.pt))
+    matrix, free, want = wavelet.graph(y, phi, 0.1), np.ones(n, bool), []
+    for seed in wavelet.seeds(y, phi, pt):
+        if len(want) < rounds and free[seed]:
+            want.append(np.flatnonzero(free & (wavelet.scaled(wavelet.wavelet(matrix, seed)) < cutoff)))
+            free[want[-1]] = False
+    found = wavelet.groups(y, phi, pt, 0.1, cutoff, rounds)
+    assert [g.tolist() for g in found] == [g.tolist() for g in want]
+    some = np.arange(n)[::2]
+    assert np.allclose(wavelet.wavelets(matrix, some), np.column_stack([wavelet.wavelet(matrix, s) for s in some]))

@@ -211,3 +211,19 @@ def test_a_failed_call_has_saved_what_came_before(spark, tmp_path, monkeypatch):
     assert found.select("event_id").distinct().count() == 21 and found.where("child1 = -1").count() == p.count()
     assert cluster_batch(p, path, "GeneralisedKT", {"DeltaR": 0.5}, batch_events=3, save_events=2)
     assert spark.read.parquet(path).count() == found.count()
+
+
+def test_table_function_goes_on_after_events_that_fail(spark, monkeypatch):
+    from partonframe.functions.udtf import ClusterEvents
+    from partonframe.operators import cluster as C
+
+    def fails(nodes, **_):
+        raise np.linalg.LinAlgError if nodes.n == 3 else AssertionError
+
+    monkeypatch.setitem(C.KERNELS, "Spectral", fails)
+    monkeypatch.setattr("partonframe.functions.udtf.MOST_PARTICLES", 3)
+    one = ClusterEvents()
+    rows = [{"event_id": e, "px": 1.0 + i, "py": 0.5, "pz": 0.1, "energy": 5.0} for e, n in ((1, 3), (2, 9), (3, 3)) for i in range(n)]
+    out = [x for row in rows for x in one.eval(row, "Spectral", "{}")] + list(one.terminate())
+    assert [(x[0], x[1], x[-2]) for x in out] == [(1, None, "linalg_error"), (2, None, "too_large"), (3, None, "linalg_error")]
+    assert all(len(x) == len(C.CLUSTERED) for x in out) and not one.rows
