@@ -30,28 +30,40 @@ def cluster_stream(particles: DataFrame, path: str, checkpoint: str, algorithm:
     return particles.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def gather_events(particles: DataFrame, time: str = "ts", delay: str = "10 seconds", quiet_ms: int = 10_000) -> DataFrame:
+def gather_events(particles: DataFrame, time: str = "ts", delay: str = "10 seconds", quiet_ms: int = 10_000, keep_ms: int = 600_000) -> DataFrame:
     """Events whose particles arrive as separate rows, one row each once nothing has come for ``quiet_ms`` of event time:
-    event_id and lists idx, px, py, pz, energy. State is one event's particles."""
-    state = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in PARTICLE[1:]])
-    out = T.StructType([T.StructField("event_id", T.LongType()), *state.fields])
+    event_id, revision and lists idx, px, py, pz, energy.
+
+    Particles that come later, but not behind the watermark, give the whole event again once it is quiet, with the next
+    revision; the greatest one counts. An event is kept for ``keep_ms`` after each of its rows, so that later
+    particles find it; those that come later still begin it anew, at revision 0. State is the particles of events that are kept.
+    """
+    lists = [T.StructField(c, T.ArrayType(T.DoubleType())) for c in PARTICLE[1:]]
+    state = T.StructType([T.StructField("revision", T.LongType()), T.StructField("waits", T.BooleanType()), *lists])
+    out = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("revision", T.LongType()), *lists])
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        lists = [list(x) for x in held.get] if held.exists else [[] for _ in PARTICLE[1:]]
+        revision, waits, *kept = held.get if held.exists else (0, True, *([] for _ in lists))
         if held.hasTimedOut:
-            held.remove()
-            order = sorted(range(len(lists[0])), key=lists[0].__getitem__)
-            yield pd.DataFrame({"event_id": [key[0]], **{c: [[x[i] for i in order]] for c, x in zip(PARTICLE[1:], lists, strict=True)}})
+            if waits:
+                order = sorted(range(len(kept[0])), key=kept[0].__getitem__)
+                yield pd.DataFrame({"event_id": [key[0]], "revision": [revision], **{c: [[x[i] for i in order]] for c, x in zip(PARTICLE[1:], kept, strict=True)}})
+            if waits and keep_ms > 0:
+                held.update((revision + 1, False, *kept))
+                held.setTimeoutTimestamp(held.getCurrentWatermarkMs() + keep_ms)
+            else:
+                held.remove()
             return
-        latest = 0
+        kept, latest = [list(x) for x in kept], 0
         for chunk in chunks:
-            for c, x in zip(PARTICLE[1:], lists, strict=True):
+            for c, x in zip(PARTICLE[1:], kept, strict=True):
                 x += chunk[c].astype(float).tolist()
-            latest = max(latest, int(chunk[time].max().timestamp() * 1000))
-        held.update(tuple(lists))
+            latest = max(latest, int(chunk["_pf_ms"].max()))
+        held.update((revision, True, *kept))
         held.setTimeoutTimestamp(max(latest, held.getCurrentWatermarkMs()) + quiet_ms)
 
-    return particles.withWatermark(time, delay).select(time, *PARTICLE).groupBy("event_id").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = particles.withWatermark(time, delay).select(time, F.unix_millis(time).alias("_pf_ms"), *PARTICLE)
+    return rows.groupBy("event_id").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed(events: DataFrame, window: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:

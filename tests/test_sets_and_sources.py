@@ -180,6 +180,38 @@ def test_stream_gathers_events(spark, tmp_path):
     assert {0, 1, 2} <= set(got) and got[0] == [0.0, 1.0]
 
 
+def _arriving(spark, folder, at, event, idx):
+    rows = [(f"2024-01-01 00:{at}", event, i, 1.0, 2.0, 3.0, 9.0) for i in idx]
+    df = spark.createDataFrame(rows, "ts string, event_id long, idx long, px double, py double, pz double, energy double")
+    df.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(str(folder))
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo"])
+def test_late_particles_revise_an_event_also_after_a_restart(spark, tmp_path, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+
+    def caught_up():
+        stream = spark.readStream.schema("ts timestamp, event_id long, idx long, px double, py double, pz double, energy double").parquet(str(tmp_path / "in"))
+        found = gather_events(stream, quiet_ms=5000, keep_ms=60_000)
+        q = found.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start(str(tmp_path / "out"))
+        q.processAllAvailable()
+        q.stop()
+        return sorted((r.event_id, r.revision, [int(i) for i in r.idx]) for r in spark.read.schema(found.schema).parquet(str(tmp_path / "out")).where("event_id = 7").collect())
+
+    try:
+        steps = []
+        for at, event, idx in [("00:00", 7, [2, 0]), ("00:30", 50, [0]), ("00:25", 7, [1]), ("01:00", 51, [0]), ("03:00", 52, [0]), ("02:55", 7, [3]), ("05:00", 53, [0])]:
+            _arriving(spark, tmp_path / "in", at, event, idx)
+            steps.append(caught_up())  # each time another query from the checkpoint
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    first, second, third = (7, 0, [0, 2]), (7, 1, [0, 1, 2]), (7, 0, [3])
+    assert steps[0] == [] and steps[1] == steps[2] == [first]  # late, but not behind the watermark: waits until it is quiet again
+    assert steps[3] == steps[4] == steps[5] == [first, second]
+    assert steps[6] == sorted([first, second, third])  # no longer kept, so it begins anew
+
+
 def test_windows(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:01", "a", 1.0), ("2024-01-01 00:00:09", "a", 2.0), ("2024-01-01 00:00:11", "b", 4.0)], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((r.event_type, r.n, r.total) for r in windowed(df, "10 seconds").collect()) == [("a", 2, 3.0), ("b", 1, 4.0)]
