@@ -3,8 +3,10 @@
 import numpy as np
 import pytest
 
-from partonframe.operators.kernels import genkt
+from partonframe.operators.cluster import spectral_trace
+from partonframe.operators.kernels import genkt, spectral
 from partonframe.operators.kernels.physics import Nodes, rapidity
+from partonframe.plans.params import check_params
 
 
 def events(count=60, most=40, seed=0):
@@ -17,12 +19,12 @@ def events(count=60, most=40, seed=0):
     return out
 
 
-def same(got, made):
+def same(got, made, close=1e-12):
     want = (*made.table(), made.lifetimes())
     assert got is not None and [x.shape for x in got] == [x.shape for x in want]
     for k in (0, 1, 3):
         assert np.array_equal(got[k], want[k])
-    assert np.allclose(got[2], want[2], rtol=1e-12, atol=1e-12, equal_nan=True)
+    assert np.allclose(got[2], want[2], rtol=close, atol=close, equal_nan=True)
 
 
 @pytest.mark.parametrize("form, exponent", [(None, 0.0), ("genkt", -1.0), ("genkt", 1.0), ("ratiokt", 1.0), ("suppressedkt", 2.0)])
@@ -40,3 +42,20 @@ def test_an_event_without_finite_distances_is_left_to_the_kernel_of_one():
     some[2][:, 4] = 0.0
     how = {"DeltaR": 0.4, "ExpofPTFormatInput": "genkt", "ExpofPTInput": -1.0}
     assert [k for k, x in enumerate(genkt.many(some, **how)) if x is None] == [2]
+
+
+@pytest.mark.parametrize("update", ["recompute", "mean"])
+@pytest.mark.parametrize("more", [{}, {"EmbedDistance": "euclidiean", "CutoffKNN": None, "Laplacian": "pt", "EmbedHardness": "pt"}, {"EmbedDistance": "angular", "SingularitySuppression": None, "Laplacian": "symmetric", "MaxMinDist": 0.3}, {"MaxMeanDist": None, "EigenvalueLimit": 2.0}])
+def test_spectral(update, more):
+    how = check_params("Spectral", more)
+    how.pop("PhyDistance")
+    some = events(40, seed=1)
+    for event, got in zip(some, spectral.many(some, embedding_update=update, **how), strict=True):
+        same(got, spectral.cluster(Nodes(*event.T), embedding_update=update, **how), 1e-6)  # arcs of cosines near 1 show their last bits
+
+
+def test_trace_of_the_first_steps(spark):
+    rows = [(e, i, *map(float, r[:4])) for e, event in enumerate(events(6)) for i, r in enumerate(event)]
+    df = spark.createDataFrame(rows, "event_id long, idx long, px double, py double, pz double, energy double")
+    every = sorted(map(str, spectral_trace(df).where("step < 2").collect()))  # as text, for NaN
+    assert sorted(map(str, spectral_trace(df, steps=2).collect())) == every
