@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from partonframe.operators.cluster import spectral_trace
-from partonframe.operators.kernels import genkt, spectral
+from partonframe.operators.kernels import genkt, spectral, wavelet
 from partonframe.operators.kernels.physics import Nodes, rapidity
 from partonframe.plans.params import check_params
 
@@ -59,3 +59,11 @@ def test_trace_of_the_first_steps(spark):
     df = spark.createDataFrame(rows, "event_id long, idx long, px double, py double, pz double, energy double")
     every = sorted(map(str, spectral_trace(df).where("step < 2").collect()))  # as text, for NaN
     assert sorted(map(str, spectral_trace(df, steps=2).collect())) == every
+
+
+def test_wavelets_at_the_first_seed():
+    some = [e[:, [5, 6, 4]] for e in events() if len(e) > 1]
+    for e, got in zip(some, wavelet.first_scaled(some), strict=True):
+        y, phi, pt = e.T
+        want = wavelet.scaled(wavelet.wavelet(wavelet.graph(y, phi, 0.1), int(wavelet.seeds(y, phi, pt)[0])))
+        assert np.allclose(got, want, atol=1e-9, equal_nan=True)
