@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -21,12 +22,38 @@ def kmeans(points: DataFrame, k: int, vector: str = "embedding", distance: str =
     return model.transform(ready).drop("_features")
 
 
-def kmeans_by_event(points: DataFrame, k: int, columns: list[str], distance: Callable[[np.ndarray, np.ndarray], np.ndarray] = kernel.euclidean, seed: int = 0, patience: int = 5) -> DataFrame:
-    """(event_id, idx, cluster): k-means within each event by any distance of points to centres; fewer points than k get a cluster each."""
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("idx")
-        labels, _, _ = kernel.fit(g[columns].to_numpy(float), min(k, len(g)), distance, patience=patience, seed=seed)
-        return pd.DataFrame({"event_id": g["event_id"], "idx": g["idx"], "cluster": labels})
-
-    return points.select("event_id", "idx", *columns).groupBy("event_id").applyInPandas(one, "event_id long, idx long, cluster long")
+def _by_event(batches: Iterator[pa.RecordBatch], width: int, run: Callable[[list[np.ndarray]], list[np.ndarray]], rows_out: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Events are held until they have so many rows and clustered together; one event is held at least."""
+
+    def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, points = rows.column(0).to_numpy(), np.column_stack([rows.column(2 + c).to_numpy() for c in range(width)])
+        labels = np.concatenate(run(np.split(points, np.flatnonzero(ids[1:] != ids[:-1]) + 1)))
+        yield from rows.append_column("cluster", pa.array(labels, pa.int64())).combine_chunks().to_batches()
+
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows_out:
+            rows = pa.Table.from_batches(held)
+            ids = rows.column(0).to_numpy()
+            # the last event may go on in the next batch
+            whole = int(np.searchsorted(ids, ids[-1]))
+            if whole:
+                yield from flush(rows.slice(0, whole))
+                held = rows.slice(whole).to_batches()
+                size = len(rows) - whole
+    if held:
+        yield from flush(pa.Table.from_batches(held))
+
+
+def kmeans_by_event(points: DataFrame, k: int, columns: list[str], distance: Callable[[np.ndarray, np.ndarray], np.ndarray] = kernel.euclidean, seed: int = 0, patience: int = 5, clustered: bool = False) -> DataFrame:
+    """(event_id, idx, ``columns``, cluster): k-means within each event by any distance of points to centres; fewer points than k get a cluster each.
+
+    ``clustered`` says that the rows of an event are in one partition already."""
+    rows = points.select(F.col("event_id").cast("long"), F.col("idx").cast("long"), *[F.col(c).cast("double") for c in columns])
+    ordered = (rows if clustered else rows.repartition("event_id")).sortWithinPartitions("event_id", "idx")
+    run = partial(kernel.many, k=k, distance=distance, patience=patience, seed=seed)
+    return ordered.mapInArrow(partial(_by_event, width=len(columns), run=run), f"event_id long, idx long, {', '.join(f'`{c}` double' for c in columns)}, cluster long")

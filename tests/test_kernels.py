@@ -369,6 +369,16 @@ def test_kmeans_rejects_impossible_numbers():
             kmeans.fit(np.zeros((2, 2)), k)
 
 
+def test_kmeans_of_many_groups_together_is_that_of_one_after_another():
+    rng = np.random.default_rng(3)
+    groups = [rng.normal(size=(n, 2)) for n in [1, 2, 3, 17, 40, 40, 9, 33, 1, 2] * 4]
+    groups += [np.zeros((5, 2)), np.ones((7, 2)), np.where(rng.random((12, 2)) < 0.2, np.nan, rng.normal(size=(12, 2)))]
+    want = [kmeans.fit(g, min(3, len(g)), patience=2)[0].tolist() for g in groups]
+    assert [x.tolist() for x in kmeans.many(groups, 3, patience=2)] == want
+    city = lambda points, centres: np.abs(points[:, None] - centres[None]).sum(2)
+    assert [x.tolist() for x in kmeans.many(groups[:10], 3, city)] == [kmeans.fit(g, min(3, len(g)), city)[0].tolist() for g in groups[:10]]
+
+
 @pytest.mark.parametrize("n, rounds, cutoff", [(1, 15, 0.0), (2, 15, 0.0), (30, 15, 0.0), (60, 4, 0.5), (60, 60, -0.6), (25, 0, 0.0)])
 def test_wavelets_of_many_seeds_at_once_are_those_of_one_after_another(n, rounds, cutoff):
     made = event(n, n)

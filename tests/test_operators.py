@@ -1,6 +1,7 @@
 """Operators on small tables."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +228,16 @@ def test_table_function_goes_on_after_events_that_fail(spark, monkeypatch):
     out = [x for row in rows for x in one.eval(row, "Spectral", "{}")] + list(one.terminate())
     assert [(x[0], x[1], x[-2]) for x in out] == [(1, None, "linalg_error"), (2, None, "too_large"), (3, None, "linalg_error")]
     assert all(len(x) == len(C.CLUSTERED) for x in out) and not one.rows
+
+
+def test_kmeans_of_events_that_go_on_in_the_next_batch(spark):
+    from partonframe.operators import kmeans
+    from partonframe.operators.kernels import kmeans as kernel
+
+    rng = np.random.default_rng(5)
+    rows = [(e, i, *map(float, rng.normal(size=2))) for e, n in enumerate([30, 1, 7, 45, 2]) for i in range(n)]
+    want = {(e, i): int(x) for e in range(5) for i, x in enumerate(kernel.fit(np.array([r[2:] for r in rows if r[0] == e]), min(3, sum(r[0] == e for r in rows)), patience=2)[0])}
+    batches = list(kmeans._by_event((pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + 10], strict=True)], ["event_id", "idx", "x", "y"]) for a in range(0, len(rows), 10)), 2, lambda g: kernel.many(g, 3, patience=2), 8))
+    assert {(r["event_id"], r["idx"]): r["cluster"] for b in batches for r in b.to_pylist()} == want and sum(b.num_rows for b in batches) == len(rows)
+    found = kmeans.kmeans_by_event(spark.createDataFrame(rows, "event_id int, idx int, x double, y double"), 3, ["x", "y"], patience=2)
+    assert {(r.event_id, r.idx): r.cluster for r in found.collect()} == want
