@@ -241,3 +241,23 @@ def test_kmeans_of_events_that_go_on_in_the_next_batch(spark):
     assert {(r["event_id"], r["idx"]): r["cluster"] for b in batches for r in b.to_pylist()} == want and sum(b.num_rows for b in batches) == len(rows)
     found = kmeans.kmeans_by_event(spark.createDataFrame(rows, "event_id int, idx int, x double, y double"), 3, ["x", "y"], patience=2)
     assert {(r.event_id, r.idx): r.cluster for r in found.collect()} == want
+
+
+def test_kmeans_goes_on_until_no_vector_is_nearer_to_another_mean(spark):
+    from partonframe.operators import kmeans
+
+    x = np.random.default_rng(8).normal(size=(1500, 4))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+    def misplaced(found):
+        label = np.array([r.cluster for r in found.orderBy("vec_id").collect()])
+        means = np.stack([x[label == c].mean(0) for c in range(7)])
+        gaps = ((x[:, None] - means[None]) ** 2).sum(2)
+        return int((gaps[np.arange(len(x)), label] > gaps.min(1) + 1e-9).sum())
+
+    assert misplaced(kmeans.kmeans(rows, 7, max_iter=3, tolerance=0.0)) > 0
+    assert misplaced(kmeans.kmeans(rows, 7, max_iter=3, tolerance=0.0, settle=True)) == 0
+    # nearly all vectors are copies of one
+    few = spark.createDataFrame([(i, [float(max(i - 95, 0)), 1.0]) for i in range(100)], "vec_id long, embedding array<double>")
+    assert kmeans.kmeans(few, 5, settle=True).select("cluster").distinct().count() == 5
+    assert kmeans.kmeans(few, 9, settle=True).select("cluster").distinct().count() == 5
