@@ -261,3 +261,17 @@ def test_kmeans_goes_on_until_no_vector_is_nearer_to_another_mean(spark):
     few = spark.createDataFrame([(i, [float(max(i - 95, 0)), 1.0]) for i in range(100)], "vec_id long, embedding array<double>")
     assert kmeans.kmeans(few, 5, settle=True).select("cluster").distinct().count() == 5
     assert kmeans.kmeans(few, 9, settle=True).select("cluster").distinct().count() == 5
+
+
+@pytest.mark.parametrize("form, exponent", [("genkt", 1), ("genkt", -1), (None, 0)])
+def test_no_pair_is_sent_for_the_first_step(spark, form, exponent):
+    import io
+    from contextlib import redirect_stdout
+
+    rows = cluster_module.from_kinematics(particles(spark, [1, 2, 9, 30])).repartition("event_id")
+    found = pairwise.first_choice(rows, 0.8, form, exponent)
+    with redirect_stdout(io.StringIO()) as plan:
+        found.explain()
+    above = plan.getvalue().split("Join", 1)[0]
+    assert "Window" in above and "Exchange" not in above
+    assert found.count() == 4 and found.where("event_id = 0 and i = 0 and j = 0").count() == 1
