@@ -268,7 +268,7 @@ def test_no_pair_is_sent_for_the_first_step(spark, form, exponent):
     import io
     from contextlib import redirect_stdout
 
-    rows = cluster_module.from_kinematics(particles(spark, [1, 2, 9, 30])).repartition("event_id")
+    rows = cluster_module.from_kinematics(particles(spark, [1, 2, 9, 30]))
     found = pairwise.first_choice(rows, 0.8, form, exponent)
     with redirect_stdout(io.StringIO()) as plan:
         found.explain()
