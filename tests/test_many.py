@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from partonframe.operators.cluster import spectral_trace
-from partonframe.operators.kernels import genkt, spectral, wavelet
+from partonframe.operators.kernels import genkt, physics, spectral, wavelet
+from partonframe.operators.kernels.many import Many
 from partonframe.operators.kernels.physics import Nodes, rapidity
 from partonframe.plans.params import check_params
 
@@ -67,3 +68,31 @@ def test_wavelets_at_the_first_seed():
         y, phi, pt = e.T
         want = wavelet.scaled(wavelet.wavelet(wavelet.graph(y, phi, 0.1), int(wavelet.seeds(y, phi, pt)[0])))
         assert np.allclose(got, want, atol=1e-9, equal_nan=True)
+
+
+def test_a_step_lists_no_ties_and_angles_within_a_turn_need_no_remainder(monkeypatch):
+    """Far particles of C/A tie with the beam, all at every step; listing them made steps grow with the square of an event."""
+    n, listed = 60, []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def nonzero(self, x):
+            found = np.nonzero(x)
+            listed.append(len(found[0]))
+            return found
+
+        def mod(self, *_):
+            raise AssertionError("a remainder of angles within a turn")
+
+    phi = np.linspace(-3.0, 3.0, n)
+    y = np.arange(n) * 1.0 - n / 2
+    event = np.column_stack([np.cos(phi), np.sin(phi), np.sinh(y), np.cosh(y), np.ones(n), y, phi])
+    want = genkt.cluster(Nodes(*event.T), DeltaR=0.4)
+    monkeypatch.setattr(genkt, "np", Counted())
+    made = Many([event])
+    assert not len(genkt._together(made, 0.16, 0.0, None)) and sum(listed) <= 2 * n
+    assert np.array_equal(made.last[0, :n], want.last[:n])
+    monkeypatch.setattr(physics, "np", Counted())
+    assert physics.angle_gap(phi[:, None], phi).max() <= np.pi
