@@ -115,3 +115,12 @@ def test_beam_distances_that_agree_are_taken_in_order():
                 order.append((i, j))
                 pairs.replace(i, j, None)
             assert order == [(0, 0), (1, 1), (2, 2)]
+
+
+def clusterings(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+
+
+def test_running_sums_cluster_once(spark):
+    found = history.history(particles(spark, [6]), "GeneralisedKT", {"DeltaR": 0.7})
+    assert clusterings(history.running(found, {"n": F.lit(1)})) == 1
