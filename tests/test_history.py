@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from partonframe.operators import history
 from partonframe.operators.cluster import KERNELS, cluster
 from partonframe.operators.kernels import cone, genkt, spectral
+from partonframe.plans.queries import QUERIES
 from tests.test_kernels import event, nodes, spectral_params
 from tests.test_operators import particles
 
@@ -124,3 +125,16 @@ def clusterings(df):
 def test_running_sums_cluster_once(spark):
     found = history.history(particles(spark, [6]), "GeneralisedKT", {"DeltaR": 0.7})
     assert clusterings(history.running(found, {"n": F.lit(1)})) == 1
+
+
+def test_steps_that_all_events_share_need_no_join(spark):
+    found = history.history(particles(spark, [0, 1, 2, 8, 15]), "GeneralisedKT", {"DeltaR": 0.7})
+    steps = (0, 3, 9)
+    want = found.select("event_id").distinct().withColumn("step", F.explode(F.array(*map(F.lit, steps))))
+    pairs = history.live_pairs(found, ["pt"])
+    few = history.by_step(history.live_pairs(history.ever(found, steps), ["pt"]), steps, {"total": (F.sum, F.col("pt_i"))})
+    every = history.at_steps(pairs, want).groupBy("event_id", "step").agg(F.count(F.lit(1)), F.sum("pt_i"))
+    key = lambda df: sorted((e, s, n, round(x, 9)) for e, s, n, x in df.collect())
+    assert {s for _, s, *_ in key(few)} == set(steps) and key(few) == key(every)
+    # both sides of the pairs read one exchange, and nothing else clusters
+    assert clusterings(QUERIES["antikt_live_minor"](spark, "/root/testdata/sf0.001")) == 2
