@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,34 +78,82 @@ def from_nested(table: DataFrame) -> DataFrame:
     return rows.select("event_id", "jet_id", *[F.col(f"n.{c}") for c in names])
 
 
-def interval_labels(nodes: DataFrame) -> DataFrame:
-    """(event_id, label, leaf, enter, last): places of nodes in their event's trees, depth first, and the last place below each.
+def interval_labels(nodes: DataFrame, clustered: bool = False) -> DataFrame:
+    """(event_id, label, leaf, enter, last, n_leaves): places of nodes in their event's trees, depth first, the last place
+    below each, and the leaves there, itself if it is one.
 
     What is below a node has places in (enter, last], so descent is a comparison and takes no walk, however deep a tree
     is. Trees are told by parents alone; siblings and roots go by label. Nodes that no root leads to, those of a cycle
-    or below a parent that isn't there, have null places.
+    or below a parent that isn't there, have null places. ``clustered`` is as in :func:`cluster.cluster`.
     """
-    schema = "event_id bigint, label bigint, leaf boolean, enter bigint, last bigint"
+    schema = "event_id bigint, label bigint, leaf boolean, enter bigint, last bigint, n_leaves bigint"
     rows = nodes.select(F.col("event_id").cast("long"), F.col("label").cast("long"), F.col("parent").cast("long"), (F.col("child1") == -1).alias("leaf"))
-    return rows.groupBy("event_id").applyInArrow(_numbered, schema)
-
-
-def _numbered(event: pa.Table) -> pa.Table:
-    labels = event["label"].to_pylist()
-    children: defaultdict[int, list[int]] = defaultdict(list)
-    for parent, label in sorted(zip(event["parent"].to_pylist(), labels, strict=True), reverse=True):
-        children[parent].append(label)
-    enter, last, stack = {}, {}, [(root, False) for root in children.pop(-1, [])]
-    while stack:
-        label, done = stack.pop()
-        if done:
-            last[label] = len(enter) - 1
-        else:
-            enter[label] = len(enter)
-            stack.append((label, True))
-            stack += [(child, False) for child in children.get(label, ())]
-    places = [pa.array([d.get(x) for x in labels], pa.int64()) for d in (enter, last)]
-    return pa.Table.from_arrays([event["event_id"], event["label"], event["leaf"], *places], ["event_id", "label", "leaf", "enter", "last"])
+    dealt = rows if clustered else rows.repartition("event_id")
+    return dealt.sortWithinPartitions("event_id", "label").mapInArrow(_numbered, schema)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], rows_out: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Whole events are held until they have so many rows, and numbered together."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < rows_out:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        ids = table["event_id"].to_numpy()
+        whole = int(np.searchsorted(ids, ids[-1]))  # the last event may go on in the next batch
+        if whole:
+            yield _places(table.slice(0, whole))
+        held = table.slice(whole).to_batches()
+        size = len(ids) - whole if whole else 0  # an event that is larger than all that is held is copied as seldom as it doubles
+        rows_out = max(rows_out, 2 * len(ids)) if not whole else rows_out
+    if held:
+        yield _places(pa.Table.from_batches(held))
+
+
+def _places(table: pa.Table) -> pa.RecordBatch:
+    """The places of all nodes of some events (rows by event and label), level by level of all trees at once."""
+    event, label, parent = (table[c].to_numpy() for c in ("event_id", "label", "parent"))
+    leaf = table["leaf"].to_numpy(zero_copy_only=False).astype(bool)
+    n = len(label)
+    first = np.r_[True, event[1:] != event[:-1]]
+    which = np.cumsum(first) - 1
+    # (event, label) as one number that ascends with the rows
+    known, place = np.unique(label, return_inverse=True)
+    at = np.searchsorted(known, parent)
+    there = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == parent) & (parent != -1)
+    key, asked = which * len(known) + place, which * len(known) + at
+    up = np.minimum(np.searchsorted(key, asked), n - 1)
+    up = np.where(there & (key[up] == asked), up, -1)
+    root = parent == -1
+    # levels from the roots; rows by parent, of which the children are a range each
+    order = np.argsort(up, kind="stable")
+    lo, hi = np.searchsorted(up[order], np.arange(n), "left"), np.searchsorted(up[order], np.arange(n), "right")
+    levels, seen = [np.flatnonzero(root)], root.copy()
+    while len(levels[-1]):
+        counts = (hi - lo)[levels[-1]]
+        below = order[np.repeat(lo[levels[-1]] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+        seen[below] = True
+        levels.append(below)
+    size, leaves = seen.astype(np.int64), (leaf & seen).astype(np.int64)
+    for rows in levels[:0:-1]:
+        np.add.at(size, up[rows], size[rows])
+        np.add.at(leaves, up[rows], leaves[rows])
+    # a node comes after its parent and the trees of siblings of lesser label, a root after those of lesser roots
+    enter = np.zeros(n, np.int64)
+    for k, rows in enumerate(levels):
+        if not len(rows):
+            continue
+        group = up[rows] if k else which[rows]
+        before = np.cumsum(size[rows]) - size[rows]
+        heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        enter[rows] = before - np.repeat(before[heads], np.diff(np.r_[heads, len(rows)])) + (enter[group] + 1 if k else 0)
+    null = ~seen
+    columns = [pa.array(x, pa.int64(), mask=null) for x in (enter, enter + size - 1, leaves)]
+    return pa.RecordBatch.from_arrays([pa.array(event), pa.array(label), pa.array(leaf), *columns], ["event_id", "label", "leaf", "enter", "last", "n_leaves"])
 
 
 def descendants(nodes: DataFrame, start: DataFrame, last_only: bool = True) -> DataFrame:
@@ -117,13 +166,9 @@ def descendants(nodes: DataFrame, start: DataFrame, last_only: bool = True) -> D
     return below.where("leaf" if last_only else "label != start").select("event_id", "start", "label")
 
 
-def leaf_counts(nodes: DataFrame) -> DataFrame:
-    """(event_id, label, n_leaves): leaves below every node, itself if it is one, from running numbers of leaves by place."""
-    places = interval_labels(nodes)
-    by_place = Window.partitionBy("event_id").orderBy("enter")
-    so_far = places.where("enter is not null").withColumn("_n", F.sum(F.col("leaf").cast("long")).over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = so_far.select("event_id", F.col("enter").alias("last"), F.col("_n").alias("_upto"))
-    return so_far.join(ends, ["event_id", "last"]).select("event_id", "label", (F.col("_upto") - F.col("_n") + F.col("leaf").cast("long")).alias("n_leaves"))
+def leaf_counts(nodes: DataFrame, clustered: bool = False) -> DataFrame:
+    """(event_id, label, n_leaves): leaves below every node, itself if it is one; ``clustered`` is as in :func:`cluster.cluster`."""
+    return interval_labels(nodes, clustered).where("enter is not null").select("event_id", "label", "n_leaves")
 
 
 def merge_sequence(nodes: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from partonframe.operators import jets
 from partonframe.operators.cluster import cluster, nodes
 from tests.test_operators import particles
@@ -66,3 +68,20 @@ def test_jets_of_groups_and_of_clusters(spark):
         counts = jets.leaf_counts(found)
         want = jets.jets(found).selectExpr("event_id", "jet_id as label", "n_leaves")
         assert sorted(map(tuple, want.collect())) == sorted(map(tuple, counts.join(want.select("event_id", "label"), ["event_id", "label"]).collect()))
+
+
+def test_events_are_numbered_together_whatever_batches_they_come_in():
+    rng = random.Random(2)
+    rows = [(e, x, rng.randrange(-1, x) if x else -1) for e, n in enumerate((3, 1, 40, 200, 7, 2)) for x in range(n)]
+    event, label, parent = map(pa.array, zip(*rows, strict=True))
+    inner = {(e, p) for e, _, p in rows}
+    table = pa.table({"event_id": event, "label": label, "parent": parent, "leaf": [(e, x) not in inner for e, x, _ in rows]})
+    want = jets._places(table).to_pylist()
+    for size, held in ((7, 10), (7, 1), (50, 100), (1000, 1)):
+        got = list(jets._numbered(iter(table.to_batches(size)), held))
+        assert [r for b in got for r in b.to_pylist()] == want
+        assert all(b["event_id"][0] != a["event_id"][-1] for a, b in zip(got[:-1], got[1:], strict=True))
+    for r in want:
+        under = [x for x in want if x["event_id"] == r["event_id"] and r["enter"] <= x["enter"] <= r["last"]]
+        tree = {x: p for e, x, p in rows if e == r["event_id"]}
+        assert {x["label"] for x in under} == below(tree, r["label"]) | {r["label"]} and r["n_leaves"] == sum(x["leaf"] for x in under)
