@@ -3,8 +3,8 @@
 import numpy as np
 import pytest
 
-from partonframe.operators.cluster import spectral_trace
-from partonframe.operators.kernels import genkt, physics, spectral, wavelet
+from partonframe.operators.cluster import MANY, spectral_trace
+from partonframe.operators.kernels import cone, genkt, physics, spectral, wavelet
 from partonframe.operators.kernels.many import Many
 from partonframe.operators.kernels.physics import Nodes, rapidity
 from partonframe.plans.params import check_params
@@ -96,3 +96,14 @@ def test_a_step_lists_no_ties_and_angles_within_a_turn_need_no_remainder(monkeyp
     assert np.array_equal(made.last[0, :n], want.last[:n])
     monkeypatch.setattr(physics, "np", Counted())
     assert physics.angle_gap(phi[:, None], phi).max() <= np.pi
+
+
+@pytest.mark.parametrize("form, exponent", [(None, 0.0), ("genkt", -1.0), ("ratiokt", 1.0)])
+@pytest.mark.parametrize("delta_r, threshold", [(0.6, 1.0), (3.0, 0.0), (0.3, 4.0)])
+def test_cones(form, exponent, delta_r, threshold):
+    how = {"DeltaR": delta_r, "SeedThreshold": threshold, "ExpofPTFormatInput": form, "ExpofPTInput": exponent}
+    some = events()
+    some[3] = some[3].copy()
+    some[3][0, 5] = np.inf
+    for k, (event, got) in enumerate(zip(some, MANY[cone.cluster](some, **how), strict=True)):
+        assert got is None if k == 3 else same(got, cone.cluster(Nodes(*event.T), **how)) is None
