@@ -107,3 +107,11 @@ def test_cones(form, exponent, delta_r, threshold):
     some[3][0, 5] = np.inf
     for k, (event, got) in enumerate(zip(some, MANY[cone.cluster](some, **how), strict=True)):
         assert got is None if k == 3 else same(got, cone.cluster(Nodes(*event.T), **how)) is None
+
+
+@pytest.mark.parametrize("more", [{}, {"NRounds": 5}, {"Cutoff": 0.3, "Sigma": 0.5}, {"Normalised": False}])
+def test_wavelets(more):
+    how = check_params("CALE", more)
+    some = events(200, 8, 2) + events(20, 40, 3)
+    for event, got in zip(some, MANY[wavelet.cluster](some, **how), strict=True):
+        assert got is None if len(event) > 2 * how["NRounds"] else same(got, wavelet.cluster(Nodes(*event.T), **how)) is None
