@@ -13,6 +13,7 @@ from ..functions import kinematics as K
 from ..functions.angles import confine_angle
 from ..plans.params import JET_CUTS
 from ..schema import NODES
+from .batches import whole_events
 
 
 def create_jets(particles: DataFrame, group: str = "jet_id") -> DataFrame:
@@ -93,25 +94,7 @@ def interval_labels(nodes: DataFrame, clustered: bool = False) -> DataFrame:
 
 
 def _numbered(batches: Iterator[pa.RecordBatch], rows_out: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """Whole events are held until they have so many rows, and numbered together."""
-    held, size = [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.num_rows
-        if size < rows_out:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        ids = table["event_id"].to_numpy()
-        whole = int(np.searchsorted(ids, ids[-1]))  # the last event may go on in the next batch
-        if whole:
-            yield _places(table.slice(0, whole))
-        held = table.slice(whole).to_batches()
-        size = len(ids) - whole if whole else 0  # an event that is larger than all that is held is copied as seldom as it doubles
-        rows_out = max(rows_out, 2 * len(ids)) if not whole else rows_out
-    if held:
-        yield _places(pa.Table.from_batches(held))
+    return map(_places, whole_events(batches, rows_out))
 
 
 def _places(table: pa.Table) -> pa.RecordBatch:

@@ -275,3 +275,18 @@ def test_no_pair_is_sent_for_the_first_step(spark, form, exponent):
     above = plan.getvalue().split("Join", 1)[0]
     assert "Window" in above and "Exchange" not in above
     assert found.count() == 4 and found.where("event_id = 0 and i = 0 and j = 0").count() == 1
+
+
+@pytest.mark.parametrize("cells", [50, 400_000])
+def test_nearest_of_particles_are_those_of_pairs(spark, monkeypatch, cells):
+    from partonframe.operators import pairwise
+
+    rng = np.random.default_rng(3)
+    rows = [(e, 3 * i, float(y), float(phi), 1.0) for e, n in enumerate([1, 2, 9, 30, 9]) for i, (y, phi) in enumerate(zip(rng.integers(-3, 4, n) / 2, rng.integers(0, 62, n) * 0.1 - np.pi, strict=True))]
+    rows += [(9, i, y, 7.0 * i, 1.0) for i, y in enumerate((0.5, float("nan"), 1.0, 0.0))]
+    p = spark.createDataFrame(rows, "event_id long, idx long, rapidity double, phi double, pt double")
+    want = pairwise.knn(pairwise.with_distance2(pairwise.pairs(p, ordered=True)), 3)
+    monkeypatch.setattr(pairwise, "MOST_CELLS", cells)
+    ordered = pa.Table.from_pylist([dict(zip(("event_id", "idx", "rapidity", "phi"), r, strict=False)) for r in rows])
+    got = [tuple(r.values()) for b in pairwise._nearest(iter(ordered.to_batches(7)), 3, 20) for r in b.to_pylist()]
+    assert sorted(got) == sorted(map(tuple, want.collect())) and sorted(map(tuple, pairwise.nearest(p, 3).collect())) == sorted(got)
