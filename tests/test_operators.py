@@ -230,6 +230,76 @@ def test_table_function_goes_on_after_events_that_fail(spark, monkeypatch):
     assert all(len(x) == len(C.CLUSTERED) for x in out) and not one.rows
 
 
+def batches_of(rows, size):
+    columns = ["event_id", "idx", "px", "py", "pz", "energy"]
+    return [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + size], strict=True)], columns) for a in range(0, len(rows), size)]
+
+
+def taken(one, batches, algorithm, text="{}"):
+    out = [x for b in batches for x in one.eval(b, pa.array([algorithm] * b.num_rows), pa.array([text] * b.num_rows))]
+    return [r for b in [*out, *one.terminate()] for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("algorithm", ["GeneralisedKT", "Spectral", "IterativeCone", "CALE"])
+def test_table_function_takes_events_together(monkeypatch, algorithm):
+    from partonframe.functions import udtf
+
+    calls, kernel = [], cluster_module.KERNELS[algorithm]
+    good = cluster_module.MANY[kernel]
+    monkeypatch.setitem(cluster_module.MANY, kernel, lambda events, **how: calls.append(len(events)) or good(events, **how))
+    monkeypatch.setattr(udtf, "ROWS", 60)
+    rows = [(e, i, *p, float(np.linalg.norm(p) + 1)) for e, n in enumerate([3, 1, 40, 7, 2, 150, 9, 9, 5]) for i in range(n) for p in [RNG.uniform(-10, 10, 3).tolist()]]
+    plain = udtf.ClusterEvents()
+    want = [x for r in rows for x in plain.eval(dict(zip(["event_id", "idx", "px", "py", "pz", "energy"], r, strict=True)), algorithm, "{}")] + list(plain.terminate())
+    for size in (11, 64, 1000):
+        calls.clear()
+        found = taken(udtf.ClusterTogether(), batches_of(rows, size), algorithm)
+        assert sum(calls) == 8 and len(calls) <= 3, "the event of 150 goes alone"
+        assert [tuple(r.values())[:7] for r in found] == [x[:7] for x in want] and {r["status"] for r in found} == {"ok"}
+        assert np.allclose([[v for v in list(r.values())[7:16]] for r in found], [x[7:16] for x in want], equal_nan=True)
+
+
+def test_table_function_holds_no_more_of_an_event_than_its_algorithm_takes(monkeypatch):
+    from partonframe.functions import udtf
+
+    monkeypatch.setattr(udtf, "MOST_PARTICLES", 3)
+    rows = [(e, i, 1.0 + i, 0.5, 0.1, 9.0) for e, n in ((None, 2), (1, 3), (2, 40), (5, 1), (6, 4)) for i in range(n)]
+    one, held = udtf.ClusterTogether(), []
+    for b in batches_of(rows, 2):
+        assert not list(one.eval(b, pa.array(["Spectral"] * 2), pa.array(["{}"] * 2)))
+        held.append(sum(x.num_rows for x in one.open))
+    found = [r for b in one.terminate() for r in b.to_pylist()]
+    assert max(held) <= 5 and list(dict.fromkeys((r["event_id"], r["status"]) for r in found)) == [(None, "ok"), (1, "ok"), (2, "too_large"), (5, "ok"), (6, "too_large")]
+    assert [(r["event_id"], r["label"]) for r in found if r["status"] != "ok"] == [(2, None), (6, None)]
+    for wrong in (rows[5:7] + rows[2:5], rows[2:5] + rows[:2]):
+        for size in (1, 5):
+            with pytest.raises(ValueError, match="sorted by event_id"):
+                taken(udtf.ClusterTogether(), batches_of(wrong, size), "GeneralisedKT")
+    assert not taken(udtf.ClusterTogether(), [], "GeneralisedKT")
+
+
+def test_table_functions_agree_in_sql(spark):
+    from partonframe.functions import udtf
+    from partonframe.plans import queries
+
+    udtf.register(spark)
+    p = particles(spark, [4, 1, 30, 130, 8] * 4).select(F.when(F.col("event_id") != 7, F.col("event_id")).cast("int").alias("event_id"), "idx", "px", "py", "pz", F.col("energy").cast("decimal(20, 12)").alias("energy"))
+    p.cache().createOrReplaceTempView("some_particles")
+    how = """'GeneralisedKT', '{"DeltaR": 0.7}'"""
+    one = spark.sql(f"select * from cluster_events(table(some_particles) partition by event_id order by (idx), {how})").collect()
+    together = spark.sql(f"select * from cluster_events_together(table(select * from some_particles distribute by event_id sort by event_id, idx), {how})").collect()
+    by_event = spark.sql(f"select * from cluster_events_together(table(some_particles) partition by event_id order by (idx), {how})").collect()
+    key = lambda r: (r.event_id if r.event_id is not None else -1, r.label)
+    want = sorted(one, key=key)
+    for found in (together, by_event):
+        found = sorted(found, key=key)
+        assert [r[:7] for r in found] == [r[:7] for r in want] and np.allclose([r[7:16] for r in found], [r[7:16] for r in want], equal_nan=True)
+    # events that took their steps together share their time
+    assert len({r.duration_s for r in together}) < len({r.event_id for r in together}) == len({r.duration_s for r in one}) == 20
+    plan = queries.QUERIES["cluster_udtf"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "cluster_events_together" in plan
+
+
 def test_kmeans_of_events_that_go_on_in_the_next_batch(spark):
     from partonframe.operators import kmeans
     from partonframe.operators.kernels import kmeans as kernel
