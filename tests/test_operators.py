@@ -57,6 +57,15 @@ def test_batches_resume(spark, tmp_path):
     assert spark.read.parquet(path).where("label = 0").count() == 10
 
 
+@pytest.mark.parametrize("algorithm", ["Spectral", "CALE"])
+def test_events_of_any_size_stay(spark, monkeypatch, algorithm):
+    """Over 20,000 particles, events left the results of algorithms that need a matrix of all pairs."""
+    monkeypatch.setitem(cluster_module.KERNELS, algorithm, lambda nodes, **_: nodes)
+    n = 20_001
+    large = spark.range(n).select(F.lit(0).cast("long").alias("event_id"), F.col("id").alias("idx"), *[F.lit(x).alias(c) for c, x in (("px", 1.0), ("py", 0.5), ("pz", 0.1), ("energy", 5.0))])
+    assert nodes(cluster(large, algorithm)).count() == n
+
+
 def test_a_name_keeps_its_parameters(spark, tmp_path):
     p, path = particles(spark, [3, 5, 2, 4]), str(tmp_path / "jets")
     assert not cluster_batch(p, path, "GeneralisedKT", {"DeltaR": 0.1}, batch_events=2)
