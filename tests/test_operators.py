@@ -57,7 +57,7 @@ def test_batches_resume(spark, tmp_path):
     assert spark.read.parquet(path).where("label = 0").count() == 10
 
 
-@pytest.mark.parametrize("algorithm", ["Spectral", "CALE"])
+@pytest.mark.parametrize("algorithm", ["Spectral", "SpectralMean", "CALE"])
 def test_events_of_any_size_stay(spark, monkeypatch, algorithm):
     """Over 20,000 particles, events left the results of algorithms that need a matrix of all pairs."""
     monkeypatch.setitem(cluster_module.KERNELS, algorithm, lambda nodes, **_: nodes)
@@ -268,6 +268,17 @@ def test_table_function_takes_events_together(monkeypatch, algorithm):
         assert np.allclose([[v for v in list(r.values())[7:16]] for r in found], [x[7:16] for x in want], equal_nan=True)
 
 
+def test_table_function_takes_events_of_any_size(monkeypatch):
+    from partonframe.functions import udtf
+
+    monkeypatch.setitem(cluster_module.KERNELS, "SpectralMean", lambda nodes, **_: nodes)
+    rows = [(1, i, 1.0, 0.5, 0.1, 5.0) for i in range(20_001)]
+    assert len([r for r in taken(udtf.ClusterTogether(), batches_of(rows, 10_000), "SpectralMean") if r["status"] == "ok"]) == len(rows)
+    one = udtf.ClusterEvents()
+    out = [x for r in rows for x in one.eval(dict(zip(["event_id", "idx", "px", "py", "pz", "energy"], r, strict=True)), "SpectralMean", "{}")] + list(one.terminate())
+    assert len(out) == len(rows) and {x[-2] for x in out} == {"ok"}
+
+
 def test_table_function_holds_no_more_of_an_event_than_its_algorithm_takes(monkeypatch):
     from partonframe.functions import udtf
 
