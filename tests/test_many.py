@@ -115,3 +115,42 @@ def test_wavelets(more):
     some = events(200, 8, 2) + events(20, 40, 3)
     for event, got in zip(some, MANY[wavelet.cluster](some, **how), strict=True):
         assert got is None if len(event) > 2 * how["NRounds"] else same(got, wavelet.cluster(Nodes(*event.T), **how)) is None
+
+
+class Arcs:
+    """numpy that counts the arcs and refuses to sort."""
+
+    def __init__(self):
+        self.arcs = 0
+
+    def __getattr__(self, name):
+        return getattr(np, name)
+
+    def arccos(self, x):
+        self.arcs += x.size
+        return np.arccos(x)
+
+    def argsort(self, *_, **__):
+        raise AssertionError("nearest nodes of events without ties need no order")
+
+
+def random_events(count, n, seed=5):
+    p = np.random.default_rng(seed).uniform(-10, 10, (count, n, 3))
+    energy, pt = np.linalg.norm(p, axis=2) + 1, np.hypot(p[:, :, 0], p[:, :, 1])
+    return list(np.stack([*p.transpose(2, 0, 1), energy, pt, rapidity(pt, p[:, :, 2], energy), np.arctan2(p[:, :, 1], p[:, :, 0])], axis=2))
+
+
+@pytest.mark.parametrize("update, together", [("recompute", True), ("mean", True), ("mean", False)])
+def test_spectral_steps_take_each_pair_once(monkeypatch, update, together):
+    """A step took the arcs of all pairs in both orders; with "mean" only those of the new node are other than before."""
+    how, some, n = check_params("Spectral", {"MaxMeanDist": None}), random_events(6, 20), 20
+    how.pop("PhyDistance")
+    counted = Arcs()
+    monkeypatch.setattr(spectral, "np", counted)
+    made = spectral.many(some, embedding_update=update, **how) if together else [(0, spectral.cluster(Nodes(*e.T), embedding_update=update, **how).table()[1]) for e in some]
+    pairs = n * (n - 1) // 2
+    for event, found in zip(some, made, strict=True):
+        merges = len(found[1]) - n
+        assert merges > 10
+        counted.arcs -= sum((n - k) * (n - k - 1) // 2 for k in range(merges + 1)) if update == "recompute" else pairs + sum(n - 2 - k for k in range(merges))
+    assert counted.arcs <= (0 if together else len(some) * (n * n - pairs))
