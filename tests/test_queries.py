@@ -50,3 +50,13 @@ def test_a_kernel_that_does_nothing_fails(spark, db, monkeypatch):
 
 def test_flagship(spark):
     assert flagship(spark, SF).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables aren't here")
+def test_events_are_dealt_evenly(spark):
+    """Few bytes that take long went to few tasks, of which the last ones ran alone."""
+    dealt = particles(spark, SF, partitions=23)
+    assert dealt.rdd.getNumPartitions() == 23
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, particles(spark, SF).collect()))
+    plan = QUERIES["spectral_mean_jets"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning(event_id") == 2
