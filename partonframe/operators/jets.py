@@ -23,20 +23,25 @@ def create_jets(particles: DataFrame, group: str = "jet_id") -> DataFrame:
     particles, in order of their group. A particle with a null group stays without parent.
     """
     every = particles.withColumn("_g", F.col(group).cast("long"))
-    total = every.groupBy("event_id").agg(F.max("idx").alias("last"))
-    sums = every.where(F.col("_g").isNotNull()).groupBy("event_id", "_g").agg(*[F.sum(c).alias(c) for c in ("energy", "px", "py", "pz")], F.count(F.lit(1)).cast("double").alias("size"))
-    place = F.row_number().over(Window.partitionBy("event_id").orderBy("_g"))
-    roots = sums.join(total, "event_id").withColumn("label", F.col("last") + place)
-    roots = roots.withColumns({"pt": K.pt("px", "py"), "phi": K.phi("px", "py")}).withColumn("rapidity", K.rapidity("pt", "pz", "energy"))
+    if not {"pt", "rapidity", "phi"} <= set(every.columns):
+        every = every.withColumns({"pt": K.pt("px", "py"), "phi": K.phi("px", "py")}).withColumn("rapidity", K.rapidity("pt", "pz", "energy"))
+    # windows within the event, so that particles are read and dealt by event once
+    event, each = Window.partitionBy("event_id"), Window.partitionBy("event_id", "_g")
+    place = F.dense_rank().over(event.orderBy(F.col("_g").asc_nulls_last()))
+    every = every.withColumns({"_last": F.max("idx").over(event), "_place": place})
+    sums = {f"_{c}": F.sum(c).over(each) for c in ("energy", "px", "py", "pz")}
+    every = every.withColumns({"_first": F.row_number().over(each.orderBy("idx")) == 1, "_size": F.count(F.lit(1)).over(each).cast("double"), **sums})
+    every = every.withColumn("_root", F.when(F.col("_g").isNotNull(), F.col("_last") + F.col("_place")))
+    every = every.withColumns({"_pt": K.pt("_px", "_py"), "_phi": K.phi("_px", "_py")}).withColumn("_rapidity", K.rapidity("_pt", "_pz", "_energy"))
     none, nan = F.lit(-1).cast("long"), F.lit(float("nan"))
-    fields = {"event_id": F.col("event_id"), "jet_id": F.col("label"), "label": F.col("label"), "parent": none, "child1": F.col("label"), "child2": F.col("label"), "rank": F.lit(0).cast("long"), "join_distance": nan}
-    made = roots.select(*[fields.get(c, F.col(c)).alias(c) for c in NODES.fieldNames()])
-    named = every.join(roots.select("event_id", "_g", F.col("label").alias("root")), ["event_id", "_g"], "left")
-    if not {"pt", "rapidity", "phi"} <= set(named.columns):
-        named = named.withColumns({"pt": K.pt("px", "py"), "phi": K.phi("px", "py")}).withColumn("rapidity", K.rapidity("pt", "pz", "energy"))
-    fields = {"jet_id": F.coalesce("root", "idx"), "label": F.col("idx"), "parent": F.coalesce("root", none), "child1": none, "child2": none, "rank": none, "join_distance": F.lit(0.0), "size": F.lit(1.0)}
-    leaves = named.select(*[fields.get(c, F.col(c)).alias(c) for c in NODES.fieldNames()])
-    return leaves.union(made).withColumn("phi", confine_angle("phi"))
+    names = [c for c in NODES.fieldNames() if c != "event_id"]
+    own = {"jet_id": F.coalesce("_root", "idx"), "label": F.col("idx"), "parent": F.coalesce("_root", none), "child1": none, "child2": none, "rank": none, "join_distance": F.lit(0.0), "size": F.lit(1.0)}
+    made = {"jet_id": F.col("_root"), "label": F.col("_root"), "parent": none, "child1": F.col("_root"), "child2": F.col("_root"), "rank": F.lit(0).cast("long"), "join_distance": nan}
+    leaf = F.struct(*[own.get(c, F.col(c)).alias(c) for c in names])
+    root = F.struct(*[made.get(c, F.col(f"_{c}")).alias(c) for c in names])
+    nodes = F.when(F.col("_first") & F.col("_root").isNotNull(), F.array(leaf, root)).otherwise(F.array(leaf))
+    found = every.select("event_id", F.explode(nodes).alias("n")).select("event_id", *[F.col(f"n.{c}").alias(c) for c in names])
+    return found.withColumn("phi", confine_angle("phi"))
 
 
 def leaves(nodes: DataFrame) -> DataFrame:

@@ -60,3 +60,10 @@ def test_events_are_dealt_evenly(spark):
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, particles(spark, SF).collect()))
     plan = QUERIES["spectral_mean_jets"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning(event_id") == 2
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables aren't here")
+def test_nested_jets_read_and_deal_the_particles_once(spark):
+    """Five copies of the particles were joined, each of which read the tables and wrote them to shuffles."""
+    plan = QUERIES["nested_jets"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning(event_id") == 1
