@@ -170,6 +170,40 @@ def test_decay_chains(spark):
     assert sorted((r.parent, r.child) for r in decay.edges_from_lists(lists).collect()) == [(0, 1), (1, 2)]
 
 
+def test_decay_chains_of_many_events(spark):
+    """Against a walk from each start; with edges and ids given twice, null ids, indices and events, and cycles."""
+    rng = np.random.default_rng(8)
+    some = [(int(e), int(i), None if rng.random() < 0.05 else int(rng.integers(0, 2))) for e in range(-3, 30) for i in range(1, rng.integers(2, 25)) for _ in range(rng.integers(1, 3))]
+    steps = [(int(e), int(rng.integers(0, 26)), int(rng.integers(0, 26))) for e in range(-3, 30) for _ in range(rng.integers(0, 30))]
+    steps += steps[:20] + [(None, 1, 2), (1, None, 2), (1, 2, None)]
+    begin = [(int(e), int(i)) for e in range(-3, 31) for i in range(0, 28, 3)] + [(1, None), (1, None), (None, 3), (None, None)]
+    p, edges = spark.createDataFrame(some, "event_id long, idx long, pid int"), spark.createDataFrame(steps, "event_id long, parent long, child long")
+    starts = spark.createDataFrame(begin, "event_id long, idx long")
+    ids = {}
+    for e, i, k in some:
+        ids.setdefault((e, i), set()).update([] if k is None else [k])
+    for first in (True, False):
+        on = {}
+        for e, a, b in steps:
+            a, b = (b, a) if first else (a, b)
+            if ids.get((e, a), set()) & ids.get((e, b), set()):
+                on.setdefault((e, a), set()).add(b)
+        want = set()
+        for e, i in begin:
+            seen, todo = set(), [i]
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo += on.get((e, x), ())
+            want |= {(e, i, x) for x in seen if (e, x) not in on}
+        found = decay.edge_instance(p, edges, starts, first)
+        got = [tuple(r) for r in found.collect()]
+        assert set(got) == want and len(got) == len(want)
+    plan = decay.edge_instance(p, edges, starts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_integrity(spark):
     df = spark.createDataFrame([(1.0, 0.0, 0.0, 2.0, 1.0, 0.0, 0.0, 0.5, 7)], "A_Px double, A_Py double, A_Pz double, A_Energy double, B_Px double, B_Py double, B_Pz double, B_Energy double, other int")
     assert integrity.tachyons(df) == ["B"] and integrity.drop_tachyons(df).columns == ["A_Px", "A_Py", "A_Pz", "A_Energy", "other"]

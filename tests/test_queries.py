@@ -67,3 +67,10 @@ def test_nested_jets_read_and_deal_the_particles_once(spark):
     """Five copies of the particles were joined, each of which read the tables and wrote them to shuffles."""
     plan = QUERIES["nested_jets"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning(event_id") == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables aren't here")
+@pytest.mark.parametrize("name", ["decay_edge_first", "decay_edge_last"])
+def test_decay_walks_read_and_deal_the_particles_once(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning") == 1
